@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import byte_bpe, compression_rules, decontamination
+from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, quality_model, run_length_dedup, secrets
 from fieldbook.llm.common import read_table
 
 
@@ -14,6 +14,26 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(read_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,8 +44,18 @@ def op9_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality_model": op2_quality_model,
+    "op3_run_length_dedup": op3_run_length_dedup,
+    "op4_licenses": op4_licenses,
+    "op5_language_id": op5_language_id,
+    "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_compression_rules": op9_compression_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
