@@ -62,10 +62,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
         if b - a >= n:
             out.append(np.unique(rolled[a : b - n + 1]))
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.full(1, b - a, np.uint64)
             for h in hashes[a:b]:
                 x = x * np.uint64(0x9E3779B97F4A7C15) + h
-            out.append(mix(np.array([x], np.uint64)))
+            out.append(mix(x))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, quality_model, run_length_dedup, secrets
+from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, quality_model, run_length_dedup, secrets, surrogates
 from fieldbook.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_run_length_dedup": op3_run_length_dedup,
     "op4_licenses": op4_licenses,
     "op5_language_id": op5_language_id,
+    "op6_surrogates": op6_surrogates,
     "op7_secrets": op7_secrets,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_compression_rules": op9_compression_rules,
