@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -183,20 +184,21 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-_tables: dict[int, PairTable] = {}
+#: The table of the last vocabulary that this worker used.
+_tables: dict[str, PairTable] = {}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: its size is fixed
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex  # a vocabulary file: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        if shared.id not in _tables:
+        if name not in _tables:
             _tables.clear()
-            _tables[shared.id] = PairTable(shared.value)
-        table, cut, known = _tables[shared.id], regex.compile(pattern), {}
+            _tables[name] = PairTable(shared.value)
+        table, cut, known = _tables[name], regex.compile(pattern), {}
         flat, starts, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for i, j, texts in string_chunks(batch.column(1)):
