@@ -1 +1,190 @@
-"""Queries."""
+"""Candidate scoring over parts and documents, spatial joins over the first dimensions of embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldbook.functions.text import name_tokens
+from fieldbook.operators import spatial as S
+from fieldbook.plans.registry import query
+from fieldbook.plans.text_queries import _STOP
+from fieldbook.sources.tables import table
+
+_POINTS = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat, label FROM embeddings"
+#: Literal regions: a concave crescent, a square next to it, and a square that overlaps both.
+RINGS = (
+    ("crescent", ((-0.3, -0.3), (0.3, -0.3), (0.3, -0.1), (-0.1, -0.1), (-0.1, 0.1), (0.3, 0.1), (0.3, 0.3), (-0.3, 0.3))),
+    ("hollow", ((-0.1, -0.1), (0.3, -0.1), (0.3, 0.1), (-0.1, 0.1))),
+    ("corner", ((0.05, 0.05), (0.4, 0.05), (0.4, 0.4), (0.05, 0.4))),
+)
+BOX = (-0.2, -0.15, 0.2, 0.25)
+_RING_SQL = "(" + " UNION ALL ".join(f"SELECT '{r}' AS region, {[list(p) for p in ps]} AS ring" for r, ps in RINGS) + ")"
+_EDGES = f"edges AS (SELECT region, ring[i][1] AS x1, ring[i][2] AS y1, ring[i % len(ring) + 1][1] AS x2, ring[i % len(ring) + 1][2] AS y2 FROM (SELECT region, ring, unnest(range(1, len(ring) + 1)) AS i FROM {_RING_SQL}))"
+_CROSS = "(e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("lon"), F.get("embedding", F.lit(1)).cast("double").alias("lat"), "label")
+
+
+def rings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r, [{"lon": x, "lat": y} for x, y in ps]) for r, ps in RINGS], "region string, ring array<struct<lon: double, lat: double>>")
+
+
+_TITLE = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' / ' || p_brand WHEN 1 THEN p_name || ' (' || p_type || ')' WHEN 2 THEN p_brand || ' - ' || p_name ELSE p_name END"
+
+
+@query("query_variants", f"SELECT p_partkey, array_to_string(v, '|') AS variants FROM (SELECT p_partkey, list_filter([t, CASE WHEN contains(t, '/') THEN trim(string_split(t, '/')[1]) END, CASE WHEN contains(t, '(') THEN trim(string_split(t, '(')[1]) END, CASE WHEN contains(t, ' - ') THEN trim(string_split(t, ' - ')[-1]) END], lambda x: x IS NOT NULL) AS v FROM (SELECT p_partkey, {_TITLE} AS t FROM part))")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_TITLE).alias("t")).select("p_partkey", F.array_join(S.query_variants(F.col("t")), "|").alias("variants"))
+
+
+_WANT = f"list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t)))"
+_SCORED = f"""WITH t AS (SELECT p_partkey, p_name, p_size, {_WANT} AS words, CASE p_type WHEN 'ECONOMY' THEN 'strong' WHEN 'STANDARD' THEN 'weak' WHEN 'PROMO' THEN 'reject' ELSE 'other' END AS tier FROM part),
+pairs AS (SELECT DISTINCT s.p_partkey AS site, s.words AS want, c.p_partkey AS cand, c.words AS got, c.tier, c.p_size / 100.0 AS imp FROM (SELECT *, unnest(words) AS w FROM t WHERE p_partkey % 50 = 0) s JOIN (SELECT *, unnest(words) AS w FROM t WHERE p_partkey % 50 = 1) c ON s.w = c.w),
+o AS (SELECT *, CAST(len(list_intersect(want, got)) AS DOUBLE) / len(want) AS overlap FROM pairs),
+scored AS (SELECT site, cand, CASE WHEN tier = 'reject' THEN 0 ELSE CASE tier WHEN 'strong' THEN 3.0 WHEN 'weak' THEN 1.0 ELSE 0.25 END + 2 * overlap + 2 * least(imp, 0.5) END AS score, CASE WHEN tier = 'reject' THEN 'rejected by type' ELSE tier || ', name ' || CAST(round(overlap * 100) AS INT) || '%' END AS why FROM o)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tier = F.when(F.col("p_type") == "ECONOMY", "strong").when(F.col("p_type") == "STANDARD", "weak").when(F.col("p_type") == "PROMO", "reject").otherwise("other")
+    t = table(spark, sf_dir, "part").select("p_partkey", name_tokens(F.col("p_name")).alias("words"), tier.alias("tier"), (F.col("p_size") / 100).alias("imp"))
+    s = t.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("site"), F.col("words").alias("want"), F.explode("words").alias("w"))
+    c = t.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("cand"), F.col("words").alias("got"), "tier", "imp", F.explode("words").alias("w"))
+    pairs = s.join(c, "w").drop("w").distinct()
+    return S.score_candidates(pairs, F.col("want"), F.col("got"), F.col("tier"), F.col("imp"))
+
+
+@query("score_candidates", f"{_SCORED} SELECT site, cand, round(score, 6) AS score, why FROM scored")
+def score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).select("site", "cand", F.round("score", 6).alias("score"), "why")
+
+
+@query("best_candidate", f"{_SCORED} SELECT site, cand, round(score, 6) AS score, score >= 2.5 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, cand) AS r FROM scored) WHERE r = 1")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.best_candidate(scored(spark, sf_dir), "site", ["cand"]).select("site", "cand", F.round("score", 6).alias("score"), "accepted")
+
+
+_SOURCE = "CASE s_suppkey % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'proposed' WHEN 2 THEN 'placed-by-hand' END"
+
+
+@query("proposal_state", f"SELECT s_suppkey, CASE WHEN src = 'confirmed' THEN 'skip confirmed' WHEN src IS NOT NULL AND src <> 'proposed' THEN 'skip placed' WHEN s_acctbal >= 2500 THEN 'propose' WHEN src = 'proposed' THEN 'clear' ELSE 'reject' END AS action, CASE WHEN (src IS NULL OR src = 'proposed') AND s_acctbal >= 2500 THEN round(s_acctbal / 1000, 2) END AS lat FROM (SELECT *, {_SOURCE} AS src FROM supplier)")
+def proposal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").withColumn("src", F.expr(_SOURCE))
+    good = F.col("s_acctbal") >= 2500
+    action = F.when(F.col("src") == "confirmed", "skip confirmed").when(F.col("src").isNotNull() & (F.col("src") != "proposed"), "skip placed").when(good, "propose").when(F.col("src") == "proposed", "clear").otherwise("reject")
+    return s.select("s_suppkey", action.alias("action"), F.when((F.col("src").isNull() | (F.col("src") == "proposed")) & good, F.round(F.col("s_acctbal") / 1000, 2)).alias("lat"))
+
+
+_IN = f"lat BETWEEN {BOX[0]} AND {BOX[2]} AND lon BETWEEN {BOX[1]} AND {BOX[3]}"
+
+
+@query("within_bounds", f"SELECT id, {_IN} AS inside FROM ({_POINTS})")
+def within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("id", S.within_bounds(F.col("lat"), F.col("lon"), BOX).alias("inside"))
+
+
+_K = "cos(radians(0.0))"
+
+
+@query("project_equirect", f"SELECT id, round(10 + (lon - ({BOX[1]})) * {_K} * k, 6) AS x, round(10 + ({BOX[2]} - lat) * k, 6) AS y FROM ({_POINTS}), (SELECT least((400 - 20) / (({BOX[3]} - ({BOX[1]})) * {_K}), (300 - 20) / ({BOX[2]} - ({BOX[0]}))) AS k)")
+def project_equirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = S.project_equirect(F.col("lat"), F.col("lon"), BOX, 400, 300, 10)
+    return points(spark, sf_dir).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+_PINS = f"SELECT id, lat, lon, CASE WHEN label = 3 THEN 'confirmed' ELSE 'approximate' END AS confidence FROM ({_POINTS}) WHERE {_IN} AND label <> 9"
+
+
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with coordinates (label 9 has none) inside the box, and whether they are confirmed (label 3)."""
+    p = points(spark, sf_dir).where(S.within_bounds(F.col("lat"), F.col("lon"), BOX) & (F.col("label") != 9))
+    return p.select("id", "lat", "lon", F.when(F.col("label").eqNullSafe(3), "confirmed").otherwise("approximate").alias("confidence"))
+
+
+@query("mappable_pins", _PINS)
+def mappable_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pins(spark, sf_dir)
+
+
+@query("awaiting_pin", f"SELECT id, label FROM ({_POINTS}) WHERE id NOT IN (SELECT id FROM ({_PINS}))")
+def awaiting_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).join(pins(spark, sf_dir), "id", "left_anti").select("id", "label")
+
+
+@query("count_by_confidence", f"SELECT count(*) FILTER (WHERE confidence = 'confirmed') AS confirmed, count(*) FILTER (WHERE confidence = 'approximate') AS approximate, count(*) FILTER (WHERE confidence IS NULL) AS unplaced FROM embeddings LEFT JOIN ({_PINS}) ON id = vec_id")
+def count_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("confidence")
+    return points(spark, sf_dir).select("id").join(pins(spark, sf_dir), "id", "left").agg(F.count_if(c == "confirmed").alias("confirmed"), F.count_if(c == "approximate").alias("approximate"), F.count_if(c.isNull()).alias("unplaced"))
+
+
+_FIT = f"(SELECT min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM ({_POINTS}) WHERE label <> 0)"
+
+
+@query("fit_bbox_transform", f"SELECT id, round(-124 + (lon - a) / (b - a) * 7, 3) AS x, round(49 - (lat - c) / (d - c) * 4, 3) AS y FROM ({_POINTS}), {_FIT}")
+def fit_bbox_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extent of all groups but label 0 is mapped to a box; one row of figures is joined back."""
+    p = points(spark, sf_dir)
+    fit = p.where("label <> 0").agg(F.min("lon").alias("a"), F.max("lon").alias("b"), F.min("lat").alias("c"), F.max("lat").alias("d"))
+    f = fit.select(F.struct("a", "b", "c", "d").alias("f")).scalar()
+    q = p.select("id", "lon", "lat", f.alias("f"))
+    return q.select("id", F.round(-124 + (F.col("lon") - F.col("f.a")) / (F.col("f.b") - F.col("f.a")) * 7, 3).alias("x"), F.round(49 - (F.col("lat") - F.col("f.c")) / (F.col("f.d") - F.col("f.c")) * 4, 3).alias("y"))
+
+
+@query("ring_extents", f"SELECT label, count(*) AS n, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM ({_POINTS}) GROUP BY label")
+def ring_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+
+
+@query("point_in_polygon_join", f"WITH {_EDGES} SELECT p.id, e.region FROM ({_POINTS}) p, edges e GROUP BY p.id, e.region HAVING sum(CASE WHEN {_CROSS} THEN 1 ELSE 0 END) % 2 = 1")
+def point_in_polygon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.point_in_polygon_join(points(spark, sf_dir), rings(spark)).select("id", "region")
+
+
+_EXT = f"(SELECT label, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM ({_POINTS}) GROUP BY label)"
+
+
+@query("label_point", None)
+def label_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the quadrilaterals that span the labels' extents (their corners cut towards the middle)."""
+    e = points(spark, sf_dir).groupBy("label").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    p = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    ring = F.array(p(F.col("w"), mid("s", "n")), p(mid("w", "e"), F.col("s")), p(F.col("e"), mid("s", "n")), p(mid("w", "e"), F.col("n")))
+    return S.label_point(e.select(F.col("label").cast("string").alias("region"), ring.alias("ring")))
+
+
+@query("region_adjacency", f"SELECT DISTINCT a.label AS a, b.label AS b FROM ({_POINTS}) a JOIN ({_POINTS}) b ON a.label < b.label AND sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2) < 0.001")
+def region_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.near_groups(points(spark, sf_dir).select(F.col("label").alias("grp"), F.col("lon").alias("x"), F.col("lat").alias("y")), 0.001)
+
+
+@query("sampled_overlap", f"WITH {_EDGES}, hit AS (SELECT p.id, e.region FROM ({_POINTS}) p, edges e GROUP BY p.id, e.region HAVING sum(CASE WHEN {_CROSS} THEN 1 ELSE 0 END) % 2 = 1) SELECT count(*) AS covered, count(*) FILTER (WHERE n >= 2) AS doubly, round(count(*) FILTER (WHERE n >= 2) / count(*), 6) AS share FROM (SELECT id, count(*) AS n FROM hit GROUP BY id)")
+def sampled_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the covered points that two regions or more cover; the embeddings are the sample points."""
+    hit = S.point_in_polygon_join(points(spark, sf_dir), rings(spark)).groupBy("id").agg(F.count("*").alias("n"))
+    return hit.agg(F.count("*").alias("covered"), F.count_if(F.col("n") >= 2).alias("doubly")).select("covered", "doubly", F.round(F.col("doubly") / F.col("covered"), 6).alias("share"))
+
+
+@query("pin_edits", "WITH e AS (SELECT user_id % 100 AS site, arg_max(event_type, event_id) AS kind, arg_max(round(value, 5), event_id) AS v FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY 1) SELECT s_suppkey, CASE WHEN kind = 'error' THEN NULL WHEN kind = 'click' THEN v ELSE round(s_acctbal, 5) END AS lat, CASE kind WHEN 'click' THEN 'placed-by-hand' WHEN 'error' THEN NULL WHEN 'purchase' THEN CASE WHEN s_acctbal IS NOT NULL THEN 'confirmed' END WHEN 'signup' THEN 'placed-by-hand' ELSE 'proposed' END AS source FROM supplier LEFT JOIN e ON site = s_suppkey")
+def pin_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last edit of each site: click moves the pin, error clears it, purchase confirms, signup takes that back."""
+    log = table(spark, sf_dir, "events").where("event_type IN ('click', 'error', 'purchase', 'signup')").groupBy((F.col("user_id") % 100).alias("site")).agg(F.max_by(F.struct("event_type", F.round("value", 5).alias("v")), "event_id").alias("e"))
+    s = table(spark, sf_dir, "supplier").join(log, F.col("s_suppkey") == F.col("site"), "left")
+    kind, own = F.col("e.event_type"), F.round("s_acctbal", 5)
+    lat = F.when(kind == "error", None).when(kind == "click", F.col("e.v")).otherwise(own)
+    source = F.when(kind.isNull(), "proposed").when(kind.isin("click", "signup"), "placed-by-hand").when(kind == "purchase", F.when(own.isNotNull(), "confirmed"))
+    return s.select("s_suppkey", lat.alias("lat"), source.alias("source"))
+
+
+@query("focus_extent", f"WITH f AS (SELECT min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM ({_POINTS}) WHERE label = 2 AND id % 7 = 0), u AS (SELECT lon, lat FROM ({_POINTS}), f WHERE (label = 2 AND id % 7 = 0) OR (lon BETWEEN w - 0.35 * (e - w) AND e + 0.35 * (e - w) AND lat BETWEEN s - 0.35 * (n - s) AND n + 0.35 * (n - s))) SELECT min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM u")
+def focus_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    focus = (F.col("label") == 2) & (F.col("id") % 7 == 0)
+    f = p.where(focus).agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")).select(F.struct("w", "e", "s", "n").alias("f")).scalar()
+    q = p.select("*", f.alias("f"))
+    dx, dy = 0.35 * (F.col("f.e") - F.col("f.w")), 0.35 * (F.col("f.n") - F.col("f.s"))
+    near = F.col("lon").between(F.col("f.w") - dx, F.col("f.e") + dx) & F.col("lat").between(F.col("f.s") - dy, F.col("f.n") + dy)
+    return q.where(focus | near).agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
