@@ -1 +1,159 @@
-"""Queries."""
+"""Archive queries over pages, parts and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldbook.functions.text import asset_name
+from fieldbook.operators import archive as A
+from fieldbook.plans.registry import query
+from fieldbook.plans.text_queries import _ASSET
+from fieldbook.sources.tables import table
+
+HOSTS = r"\.example\.(?:com|net)$"
+PAGES, ASSETS = (r"^/?$", r"^/[a-z]{2}/\d+$"), (r"(?i)^/(?:images|css|js)/[^/]+$", r"(?i)\.(?:ico|png|jpg|css|js)$")
+_HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1)"
+_CANON = f"CASE WHEN regexp_matches({_HOST}, '\\.example\\.(?:com|net)$') AND {_PATH} <> '' THEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || {_HOST} || {_PATH} END"
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+@query("canonical_url", f"SELECT page_id, {_CANON} AS canonical FROM pages")
+def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", A.canonical_url(F.col("url"), HOSTS).alias("canonical"))
+
+
+_PATH0 = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+_KIND = f"CASE WHEN regexp_matches({_PATH0}, '^/?$|^/[a-z]{{2}}/[0-9]+$') THEN 'page' WHEN regexp_matches({_PATH0}, '(?i)^/(?:images|css|js)/[^/]+$|\\.(?:ico|png|jpg|css|js)$') THEN 'asset' END"
+
+
+@query("url_kind", f"SELECT page_id, {_KIND} AS kind FROM pages")
+def url_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", A.url_kind(F.col("url"), PAGES, ASSETS).alias("kind"))
+
+
+@query("archive_path", f"SELECT page_id, CASE WHEN regexp_replace({_PATH0}, '^/', '') = '' THEN 'pages/index.html' WHEN {_KIND} = 'asset' THEN 'assets/' || regexp_replace({_PATH0}, '^/', '') ELSE 'pages/' || regexp_replace({_PATH0}, '^/', '') || '.html' END AS path FROM pages")
+def archive_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", A.archive_path(F.col("url"), F.coalesce(A.url_kind(F.col("url"), PAGES, ASSETS), F.lit(""))).alias("path"))
+
+
+_NAME = "CASE p_partkey % 5 WHEN 0 THEN p_partkey || '_s.jpg' WHEN 1 THEN p_partkey || '_t.PNG' WHEN 2 THEN p_partkey || '_l.gif' WHEN 3 THEN p_partkey || '.jpg' ELSE p_partkey || '_x.jpg' END"
+
+
+@query("variant_siblings", f"SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p || '_t.jpg,' || p || '_l.jpg,' || p || '.jpg' WHEN 1 THEN p || '_s.PNG,' || p || '_l.PNG,' || p || '.PNG' WHEN 2 THEN p || '_s.gif,' || p || '_t.gif,' || p || '.gif' ELSE '' END AS siblings FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS p FROM part)")
+def variant_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(A.variant_siblings(F.expr(_NAME)), ",").alias("siblings"))
+
+
+_LINKS = """(SELECT page_id, i - 1 AS pos, src, CASE WHEN regexp_matches(link, '^[A-Za-z]+://') THEN link WHEN starts_with(link, '/') THEN regexp_extract(src, '^([A-Za-z]+://[^/?#]*)', 1) || link ELSE regexp_extract(src, '^([A-Za-z]+://[^/?#]*)', 1) || CASE WHEN regexp_extract(src, '^[A-Za-z]+://[^/?#]*((?:/[^/?#]*)*/)', 1) = '' THEN '/' ELSE regexp_extract(src, '^[A-Za-z]+://[^/?#]*((?:/[^/?#]*)*/)', 1) END || link END AS dst
+  FROM (SELECT page_id, url AS src, unnest(ls) AS link, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)(?:href|src|data-large_file|data-image_url)\\s*=\\s*["'']([^"'']+)["'']', 1) AS ls FROM pages)) WHERE NOT regexp_matches(link, '(?i)^(?:mailto:|javascript:|data:|#|tel:)'))"""
+
+
+@query("extract_links", f"SELECT page_id, pos, src, dst FROM {_LINKS}")
+def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.extract_links(pages(spark, sf_dir))
+
+
+@query("wrapper_links", "SELECT DISTINCT 'http://origin.example/wrapper?id=' || regexp_extract(url, '[?&]page=([0-9]+)', 1) || '&type=' || regexp_extract(url, '[?&]ref=([A-Za-z]+)', 1) AS wrapper FROM pages WHERE regexp_matches(url, '[?&]page=[0-9]+&ref=[A-Za-z]+')")
+def wrapper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.regexp_extract("url", r"[?&]page=([0-9]+)&ref=([A-Za-z]+)", k)
+    return pages(spark, sf_dir).where(at(1) != "").select(F.concat(F.lit("http://origin.example/wrapper?id="), at(1), F.lit("&type="), at(2)).alias("wrapper")).distinct()
+
+
+@query("crawl_frontier", f"SELECT dst AS url, arg_min(src, page_id * 1000000 + pos) AS referrer FROM {_LINKS} WHERE dst NOT IN (SELECT dst FROM {_LINKS} WHERE page_id % 3 = 0) GROUP BY dst")
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links of every third page lead to counts as fetched."""
+    links = A.extract_links(pages(spark, sf_dir))
+    fetched = links.where("page_id % 3 = 0").select(F.col("dst").alias("url"), F.lit(200).alias("status")).distinct()
+    return A.crawl_frontier(links, fetched)
+
+
+@query("reachable_set", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), r AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    return A.reachable_set(e, spark.range(1).select(F.col("id").alias("node")))
+
+
+@query("verify_integrity", "SELECT page_id AS path, CASE WHEN page_id % 17 = 0 THEN 'not fetched' WHEN page_id % 19 = 0 THEN 'missing' WHEN page_id % 23 = 0 THEN 'mismatch' ELSE 'ok' END AS verdict FROM pages")
+def verify_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).select(F.col("page_id").alias("path"), F.col("html").alias("content"))
+    manifest = p.select("path", F.sha2("content", 256).alias("sha256"), F.when(F.col("path") % 17 == 0, 404).otherwise(200).alias("status"))
+    files = p.where("path % 19 <> 0").withColumn("content", F.when(F.col("path") % 23 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return A.verify_integrity(manifest, files)
+
+
+_H = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+
+
+@query("coverage_vs_expected", f"SELECT h AS host, n AS got, 3 AS expected, 3 - n AS shortfall FROM (SELECT {_H} AS h, count(*) AS n FROM pages GROUP BY 1) WHERE n < 3")
+def coverage_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pages(spark, sf_dir).groupBy(F.expr(_H).alias("host")).agg(F.count("*").alias("got"))
+    return got.select("host", "got", F.lit(3).alias("expected"), F.greatest(3 - F.col("got"), F.lit(0)).alias("shortfall")).where("shortfall > 0")
+
+
+@query("missing_at_source", f"SELECT DISTINCT {_ASSET} AS name FROM pages WHERE page_id IN (SELECT user_id FROM events WHERE event_type = 'error') AND {_ASSET} IS NOT NULL")
+def missing_at_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of what failed in any log row, not in the latest alone; the user of an error stands for the page."""
+    failed = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("page_id"))
+    return pages(spark, sf_dir).join(failed, "page_id", "left_semi").select(asset_name(F.col("url")).alias("name")).where("name IS NOT NULL").distinct()
+
+
+_AP = "CASE WHEN regexp_replace({0}, '^/', '') = '' THEN 'pages/index.html' ELSE 'pages/' || regexp_replace({0}, '^/', '') || '.html' END"
+
+
+@query("rewrite_links", None)
+def rewrite_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, pos, dst, relative): links as paths relative to the page's own stored path."""
+    path = lambda c: A.archive_path(F.col(c), F.coalesce(A.url_kind(F.col(c), PAGES, ASSETS), F.lit("")))
+    links = A.extract_links(pages(spark, sf_dir)).select("page_id", "pos", "dst", path("src").alias("a"), path("dst").alias("b"))
+    return links.select("page_id", "pos", "dst", A.relative_path(F.col("a"), F.col("b")).alias("relative"))
+
+
+@query("strip_tracking", "SELECT page_id, sha256(regexp_replace(html, '(?is)<script\\b[^>]*>(?:var [a-z]=\"[^\"]*\";)?track\\([^<]*</script>', '', 'g')) AS sha, strlen(regexp_replace(html, '(?is)<script\\b[^>]*>(?:var [a-z]=\"[^\"]*\";)?track\\([^<]*</script>', '', 'g')) AS bytes FROM pages")
+def strip_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.regexp_replace("html", r"""(?is)<script\b[^>]*>(?:var [a-z]="[^"]*";)?track\([^<]*</script>""", "")
+    return pages(spark, sf_dir).select("page_id", F.sha2(bare, 256).alias("sha"), F.octet_length(bare).cast("long").alias("bytes"))
+
+
+@query("archive_inventory", f"SELECT coalesce({_KIND}, 'other') AS kind, count(*) AS n, sum(strlen(html)) AS bytes FROM pages GROUP BY 1")
+def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).groupBy(F.coalesce(A.url_kind(F.col("url"), PAGES, ASSETS), F.lit("other")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+
+
+_REFS = "SELECT DISTINCT CAST(p_partkey AS VARCHAR) || '.jpg' AS file, 'species' AS dest, 1 AS prio FROM part UNION SELECT DISTINCT CAST(l_partkey AS VARCHAR) || '.jpg', 'sites', 2 FROM lineitem WHERE l_quantity = 49 UNION SELECT DISTINCT CAST(s_suppkey AS VARCHAR) || '.jpg', 'ecoregions', 3 FROM supplier"
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = lambda t, c, d, n, w="true": table(spark, sf_dir, t).where(w).select(F.concat(F.col(c).cast("string"), F.lit(".jpg")).alias("file"), F.lit(d).alias("dest"), F.lit(n).alias("prio"))
+    every = ref("part", "p_partkey", "species", 1).unionByName(ref("lineitem", "l_partkey", "sites", 2, "l_quantity = 49")).unionByName(ref("supplier", "s_suppkey", "ecoregions", 3))
+    return every.groupBy("file").agg(F.max_by("dest", "prio").alias("dest"))
+
+
+@query("asset_job_plan", f"SELECT file, arg_max(dest, prio) AS dest FROM ({_REFS}) GROUP BY file")
+def asset_job_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job for each file; the last collection that refers to it wins."""
+    return jobs(spark, sf_dir)
+
+
+@query("best_rendition", "SELECT p_partkey || '_s.jpg' AS name, CASE WHEN p_partkey % 4 = 0 THEN p_partkey || '.JPG' WHEN p_partkey % 4 = 1 THEN p_partkey || '_L.jpg' WHEN p_partkey % 4 = 2 THEN p_partkey || '_t.jpg' END AS file FROM part")
+def best_rendition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    names = p.select(F.concat(k, F.lit("_s.jpg")).alias("name"))
+    r = F.col("p_partkey") % 4
+    made = F.when(r == 0, F.array(F.lit(".JPG"), F.lit("_t.jpg"))).when(r == 1, F.array(F.lit("_L.jpg"), F.lit("_t.jpg"))).when(r == 2, F.array(F.lit("_t.jpg"), F.lit("_s.jpg"))).otherwise(F.array().cast("array<string>"))
+    return A.best_rendition(names, p.select(k.alias("k"), F.explode(made).alias("v")).select(F.concat("k", "v").alias("file")))
+
+
+@query("asset_job_status", f"WITH j AS (SELECT file, arg_max(dest, prio) AS dest FROM ({_REFS}) GROUP BY file) SELECT dest, CASE WHEN CAST(replace(file, '.jpg', '') AS BIGINT) % 7 <> 0 THEN 'present' WHEN CAST(replace(file, '.jpg', '') AS BIGINT) % 2 = 0 THEN 'broken at source' ELSE 'not crawled' END AS status, count(*) AS n FROM j GROUP BY 1, 2")
+def asset_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.replace("file", F.lit(".jpg"), F.lit("")).cast("long")
+    j = jobs(spark, sf_dir)
+    present = j.where(number % 7 != 0).select(F.col("file").alias("f1"))
+    broken = j.where(number % 2 == 0).select(F.col("file").alias("f2"))
+    s = j.join(present, F.col("file") == F.col("f1"), "left").join(broken, F.col("file") == F.col("f2"), "left")
+    return s.groupBy("dest", F.when(F.col("f1").isNotNull(), "present").when(F.col("f2").isNotNull(), "broken at source").otherwise("not crawled").alias("status")).agg(F.count("*").alias("n"))
