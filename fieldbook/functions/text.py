@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: C1 controls and what they stand for in Windows-1252; a no-break space is a space.
 C1_FROM = "\x91\x92\x93\x94\x95\x96\x97\x85\xa0"
@@ -29,7 +30,7 @@ def unescape_entities(x: Column) -> Column:
     return x
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def unescape_all(x: pa.Array) -> pa.Array:
     """Every named, decimal and hexadecimal entity, in one pass."""
     import html

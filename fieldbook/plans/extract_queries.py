@@ -1 +1,165 @@
-"""Queries."""
+"""Extraction over pages, documents and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldbook.operators import extract as X
+from fieldbook.plans.registry import query
+from fieldbook.plans.text_queries import sql_collapse, sql_tags
+from fieldbook.sources.records import first_per_key
+from fieldbook.sources.tables import table
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def _sql_field(p: str) -> str:
+    return sql_collapse(sql_tags(f"regexp_extract(html, '{p}', 1)"))
+
+
+_RARE = "contains(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), 'the')"
+
+
+@query("extract_fields", f"SELECT page_id, regexp_extract(html, '(?i)<html lang=\"([a-z]+)\"', 1) AS lang, {_sql_field('(?is)<title>(.*?)</title>')} AS title, {_sql_field('(?is)<h1>(.*?)</h1>')} AS h1, len(regexp_extract_all(html, '(?i)<a href=', 0)) AS links, {_RARE} AS rare FROM pages")
+def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("html")
+    rare = F.contains(F.lower(F.regexp_extract(h, "(?is)<title>(.*?)</title>", 1)), F.lit("the"))
+    return pages(spark, sf_dir).select("page_id", F.regexp_extract(h, '(?i)<html lang="([a-z]+)"', 1).alias("lang"), X.field(h, "(?is)<title>(.*?)</title>").alias("title"), X.field(h, "(?is)<h1>(.*?)</h1>").alias("h1"), F.size(F.regexp_extract_all(h, F.lit("(?i)<a href="), F.lit(0))).cast("long").alias("links"), rare.alias("rare"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, pos, heading, body): a document's lines, headed by their language and number."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
+    return d.select("id", "pos", F.concat("lang", F.lit(" "), F.col("pos") % 4).alias("heading"), "body")
+
+
+_HEADS = {"en 0": "general", "en 1": "habitat", "fr 0": "general", "de 0": "general", "es 0": "general", "fr 1": "habitat"}
+_LINES = "(SELECT doc_id AS id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS body, lang FROM documents)"
+_CASE = "CASE lang || ' ' || (pos % 4) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _HEADS.items()) + " END"
+
+
+@query("section_map", f"SELECT id, key, arg_min(body, pos) AS body FROM (SELECT *, {_CASE} AS key FROM {_LINES}) WHERE key IS NOT NULL AND body <> '' GROUP BY id, key")
+def section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, _ = X.section_map(lines(spark, sf_dir), _HEADS, ("en 3", "fr 3", "de 3", "es 3"))
+    return s.select("id", F.explode("sections").alias("key", "body"))
+
+
+@query("extraction_warnings", f"SELECT id, 'unknown heading: ' || lang || ' ' || (pos % 4) AS warning, count(*) AS n FROM {_LINES} WHERE {_CASE} IS NULL AND pos % 4 <> 3 GROUP BY 1, 2")
+def extraction_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, w = X.section_map(lines(spark, sf_dir), _HEADS, ("en 3", "fr 3", "de 3", "es 3"))
+    return w.groupBy("id", "warning").agg(F.count("*").alias("n"))
+
+
+_BLOCKS = "(SELECT page_id AS id, i - 1 AS pos, lower(regexp_extract(b, '(?is)^<([a-z0-9]+)', 1)) AS tag0, regexp_replace(b, '(?s)<[^>]*>', '', 'g') AS text FROM (SELECT page_id, unnest(bs) AS b, unnest(range(1, len(bs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h1|p)>.*?</(?:h1|p)>', 0) AS bs FROM pages)))"
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, pos, tag, text) of h1 and p; every fourth paragraph stands for an h2, as pages have none."""
+    b = pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<(?:h1|p)>.*?</(?:h1|p)>"), F.lit(0))).alias("pos", "b"))
+    tag = F.lower(F.regexp_extract("b", "(?is)^<([a-z0-9]+)", 1))
+    return b.select("id", "pos", F.when((tag == "p") & (F.col("pos") % 4 == 0), "h2").otherwise(tag).alias("tag"), F.regexp_replace("b", "(?s)<[^>]*>", "").alias("text"))
+
+
+@query("sibling_sections", f"WITH b AS (SELECT id, pos, CASE WHEN tag0 = 'p' AND pos % 4 = 0 THEN 'h2' ELSE tag0 END AS tag, text FROM {_BLOCKS}), n AS (SELECT *, sum(CASE WHEN tag IN ('h1', 'h2') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS n FROM b) SELECT h.id, h.text AS heading, coalesce((SELECT string_agg(text, chr(10) || chr(10) ORDER BY pos) FROM n x WHERE x.id = h.id AND x.n = h.n AND x.tag NOT IN ('h1', 'h2') AND lower(trim(x.text)) NOT IN ('top', 'back to top', '')), '') AS body FROM n h WHERE h.tag = 'h2'")
+def sibling_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sibling_sections(blocks(spark, sf_dir))
+
+
+@query("skip_big_tables", "SELECT page_id AS id, CASE WHEN contains(lower(html), '<table') AND len(regexp_extract_all(html, '(?i)<tr\\b', 0)) > 5 THEN 'big' ELSE 'kept' END AS verdict FROM pages")
+def skip_big_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, skipped = X.skip_big_tables(pages(spark, sf_dir).select(F.col("page_id").alias("id"), "html"))
+    return kept.select("id", F.lit("kept").alias("verdict")).unionByName(skipped.select("id", F.lit("big").alias("verdict")))
+
+
+_REFS = "(SELECT page_id AS id, i - 1 AS pos, f AS file, i = 2 AS is_hero FROM (SELECT page_id, unnest(fs) AS f, unnest(range(1, len(fs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1) AS fs FROM pages)))"
+
+
+@query("extract_gallery", f"SELECT id, pos, file, row_number() OVER (PARTITION BY id ORDER BY h DESC, pos) = 1 AS hero FROM (SELECT id, file, min(pos) AS pos, max(CASE WHEN is_hero THEN 1 ELSE 0 END) AS h FROM {_REFS} GROUP BY id, file)")
+def extract_gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("pos", "file"))
+    return X.extract_gallery(r.withColumn("is_hero", F.col("pos") == 1))
+
+
+@query("extract_media", "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_user, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS first_assistant FROM conversations GROUP BY conv_id")
+def extract_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each class, blank ones skipped."""
+    first = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("user").alias("first_user"), first("assistant").alias("first_assistant"))
+
+
+_TABLE_SQL = "SELECT s.s_suppkey AS id, r.r_name AS region, m.month, CASE WHEN r.r_regionkey <> s.s_suppkey % 5 AND substring('CFURI-', 1 + CAST((s.s_suppkey + r.r_regionkey * 3 + m.month) % 6 AS INT), 1) <> '-' THEN substring('CFURI-', 1 + CAST((s.s_suppkey + r.r_regionkey * 3 + m.month) % 6 AS INT), 1) ELSE '' END AS code FROM supplier s CROSS JOIN (SELECT r_regionkey, lower(replace(r_name, ' ', '-')) AS r_name FROM region) r CROSS JOIN (SELECT unnest(range(1, 13)) AS month) m"
+
+
+@query("extract_presence_table", _TABLE_SQL)
+def extract_presence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page made of each supplier, with a row for each region; one row is short, '-' is no code."""
+    r = table(spark, sf_dir, "region").select("r_regionkey", F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))).alias("region"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey").join(F.broadcast(r), F.lit(True))  # five regions
+    cell = lambda m: F.concat(F.lit("<td>"), F.substring(F.lit("CFURI-"), (1 + (F.col("s_suppkey") + F.col("r_regionkey") * 3 + m) % 6).cast("int"), F.lit(1)), F.lit("</td>"))
+    cells = F.transform(F.sequence(F.lit(1), F.when(F.col("r_regionkey") == F.col("s_suppkey") % 5, 11).otherwise(12)), cell)
+    row = F.concat(F.lit('<tr><th><a href="/x/ecoregion/'), "region", F.lit('">r</a></th>'), F.array_join(cells, ""), F.lit("</tr>"))
+    html = s.groupBy(F.col("s_suppkey").alias("id")).agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
+    return X.extract_presence_table(html, r)[0]
+
+
+_SEEN = "SELECT s_suppkey AS entity, n_name AS region, n_nationkey AS pos, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE o_orderkey % 90 END AS number, o_orderkey AS seq FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity >= 45"
+
+
+@query("listing_index", f"SELECT entity, arg_min(number, seq) FILTER (WHERE number IS NOT NULL) AS number, array_to_string(list_transform(list_sort(list(DISTINCT pos)), lambda p: 'NATION_' || p), ',') AS regions FROM ({_SEEN}) GROUP BY entity")
+def listing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings turned round: of each entity the first number and its regions in canonical order."""
+    i = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_suppkey", "l_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = j.select(F.col("l_suppkey").alias("entity"), F.struct("n_nationkey", "n_name").alias("r"), F.when(F.col("l_suppkey") % 3 != 0, F.col("o_orderkey") % 90).alias("number"), F.col("o_orderkey").alias("seq"))
+    g = j.groupBy("entity").agg(F.min_by("number", F.when(F.col("number").isNotNull(), F.col("seq"))).alias("number"), F.array_sort(F.collect_set("r")).alias("r"))
+    return g.select("entity", "number", F.array_join("r.n_name", ",").alias("regions"))
+
+
+@query("site_record_region", "SELECT o_orderkey, coalesce(CASE WHEN c_nationkey % 3 <> 0 THEN n.n_name END, by_id.n_name, 'NATION_0') AS region, c_nationkey % 3 = 0 AND by_id.n_name IS NULL AS warned FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN nation by_id ON by_id.n_nationkey = o_orderkey % 40 - 1")
+def site_record_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing's region, else by number (from 1) in the canonical order, else the first with a warning."""
+    n = table(spark, sf_dir, "nation")
+    listed = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_nationkey") % 3 != 0, F.col("n_name")).alias("a"))
+    by_id = n.select((F.col("n_nationkey") + 1).cast("long").alias("k"), F.col("n_name").alias("b"))
+    j = table(spark, sf_dir, "orders").join(listed, F.col("o_custkey") == F.col("c_custkey")).join(by_id, F.col("o_orderkey") % 40 == F.col("k"), "left")
+    return j.select("o_orderkey", F.coalesce("a", "b", F.lit("NATION_0")).alias("region"), (F.col("a").isNull() & F.col("b").isNull()).alias("warned"))
+
+
+@query("first_page_per_key", "SELECT host, url, page_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url, page_id) AS r FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages)) WHERE r = 1")
+def first_page_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).select("page_id", "url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), F.struct("url", "page_id").alias("o"))
+    return first_per_key(p, "host", "o").select("host", "url", "page_id")
+
+
+@query("dedupe_groups", "SELECT lower(n_name) AS name, arg_min(s_name, s_suppkey) AS description, arg_max(c_name, c_custkey) AS label, any_value(n_regionkey) AS grp FROM nation JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, max(c_custkey) AS c_custkey, arg_max(c_name, c_custkey) AS c_name FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1")
+def dedupe_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A description from the first page of a group, its label from the last."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    first = s.groupBy(F.lower("n_name").alias("name")).agg(F.min_by("s_name", "s_suppkey").alias("description"), F.min("n_regionkey").alias("grp"), F.min("n_nationkey").alias("k"))
+    labels = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max_by("c_name", "c_custkey").alias("label"))
+    return first.join(labels, F.col("k") == F.col("c_nationkey"), "left").select("name", "description", "label", "grp")
+
+
+@query("page_blocks_markdown", None)
+def page_blocks_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.page_blocks_markdown(pages(spark, sf_dir).select(F.col("page_id").alias("id"), "html"))
+
+
+@query("image_map_polygons", "SELECT 'NATION_' || s_nationkey AS region, count(*) AS areas FROM supplier WHERE s_suppkey % 4 <> 0 AND s_nationkey < 20 GROUP BY 1")
+def image_map_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas made of suppliers: each fourth has two points only, numbers over 20 are unknown."""
+    s = table(spark, sf_dir, "supplier")
+    coords = F.when(F.col("s_suppkey") % 4 == 0, F.lit("0,0,1,1")).otherwise(F.concat(F.lit("0,0,1,"), F.col("s_suppkey").cast("string"), F.lit(",2,3")))
+    html = s.select(F.concat(F.lit('<area title="'), (F.col("s_nationkey") + 1).cast("string"), F.lit(' name" coords="'), coords, F.lit('">')).alias("html"))
+    return X.image_map_polygons(html, {k + 1: f"NATION_{k}" for k in range(20)}).groupBy("region").agg(F.count("*").alias("areas"))
+
+
+@query("warning_digest", f"SELECT id, count(*) AS n FROM {_LINES} WHERE {_CASE} IS NULL AND pos % 4 <> 3 GROUP BY id ORDER BY n DESC, id LIMIT 25")
+def warning_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, w = X.section_map(lines(spark, sf_dir), _HEADS, ("en 3", "fr 3", "de 3", "es 3"))
+    return X.warning_digest(w)
