@@ -103,7 +103,7 @@ class _Blocks(HTMLParser):
         elif tag in self.TAGS:
             if self.tag and (tag != "p" or self.tag == "p"):
                 if self.tag == tag == "p":
-                    self.close()  # an open paragraph ends where the next begins
+                    self.finish()  # an open paragraph ends where the next begins
                 else:
                     self.depth += 1
                     return
@@ -121,14 +121,13 @@ class _Blocks(HTMLParser):
             if self.depth:
                 self.depth -= 1
             elif tag == self.tag:
-                self.close()
+                self.finish()
 
     def handle_data(self, data: str) -> None:
         if self.tag and not self.skip:
             self.text.append(data)
 
-    def close(self) -> None:
-        super().close()
+    def finish(self) -> None:
         if self.tag:
             lines = (" ".join(x.split()) for x in "".join(self.text).split("\n"))
             text = "\n".join(x for x in lines if x)
@@ -147,6 +146,7 @@ def page_blocks_markdown(pages: DataFrame) -> DataFrame:
                 parser = _Blocks()
                 parser.feed(html or "")
                 parser.close()
+                parser.finish()
                 out.append("\n\n".join(dict.fromkeys(parser.out)))
             yield pd.DataFrame({"id": f["id"], "markdown": out})
 
