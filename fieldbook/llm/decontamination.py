@@ -68,6 +68,12 @@ def places(hashes: str, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
 
 
+def short_candidates(bit_map: Column, n: int) -> Column:
+    """Windows of n words whose hash the map has: for items below the span, whose hashes are taken whole."""
+    at = F.filter(places("h", n), lambda i: in_map(bit_map, gram("h", i, n)))
+    return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), run_of("w", i, n).alias("window")))
+
+
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
     """(n, window array<string>, items array<string>), one row for each different window."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(span)))
@@ -106,9 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     last = F.size("w") - span
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(F.greatest(p - guard + 1, F.lit(0)), F.least(p, last)))))
     found = [F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(span).alias("n"), run_of("w", i, span).alias("window")))]
-    for n in short:
-        at = F.filter(places("h", n), lambda i, n=n: in_map(bit_map, gram("h", i, n)))
-        found.append(F.transform(at, lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("n"), run_of("w", i, n).alias("window"))))
+    found += [short_candidates(bit_map, n) for n in short]
     d = d.select("row", "id", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(*found)).alias("c")).select("row", "id", "n_words", "c.*")
     right = windows.select("n", "window", "items")
     if sum(counts.values()) <= BROADCAST_WINDOWS:

@@ -188,8 +188,8 @@ class Index:
         return {g: rows[cuts[k] : cuts[k + 1]] for k, g in enumerate(self.wanted)}
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, spans array<struct<kind, start, end>>) of each row, spans in order."""
+def _scan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[str]) -> DataFrame:
+    """(_k_ and each kept column, _spans array<struct<kind, start, end>>) of each row, spans in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = [trigram_query(r.pattern) for r in rules]
@@ -209,12 +209,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
                         spans[row].extend((m.start(), k, m.end()) for m in pattern.finditer(text) if rule.holds(m))
                 out = pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(s)] for s in spans], pa.list_(kind))
                 columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns) if c != text_at]
-                yield pa.RecordBatch.from_arrays([*columns, out], names=[n for n in batch.schema.names if n != "_text"] + ["spans"])
+                yield pa.RecordBatch.from_arrays([*columns, out], names=[n for n in batch.schema.names if n != "_text"] + ["_spans"])
 
-    chosen = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_k_{c}") for c in keep], F.col(text_col).alias("_text"))
+    chosen = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text")
-    out = chosen.mapInArrow(run, f"{schema}, spans array<struct<kind: string, start: int, end: int>>")
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_k_{c}").alias(c) for c in keep], "spans")
+    return chosen.mapInArrow(run, f"{schema}, _spans array<struct<kind: string, start: int, end: int>>")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans array<struct<kind, start, end>>) of each row, spans in order."""
+    return _scan(docs, rules, text_col, [id_col]).select(F.col(f"_k_{id_col}").alias(id_col), F.col("_spans").alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -229,10 +233,9 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *[of(k) for k in base], F.sha2(joined(F.filter(s, lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), joined(s).alias("spans"))
 
 
-def redacted(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced by the mask; overlapping spans count as one."""
-    rest = [c for c in docs.columns if c != id_col]
-    found = scan(docs, id_col=id_col, text_col=text_col, keep=tuple(rest))
+    found = _scan(docs, RULES, text_col, docs.columns)
 
     def cut(text: Column, spans: Column) -> Column:
         start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
@@ -242,5 +245,5 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", te
         )
         return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
 
-    text = F.when(F.size("spans") > 0, cut(F.col(text_col), F.col("spans"))).otherwise(F.col(text_col))
-    return found.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.when(F.size("_spans") > 0, cut(F.col(f"_k_{text_col}"), F.col("_spans"))).otherwise(F.col(f"_k_{text_col}"))
+    return found.select(*[text.alias(c) if c == text_col else F.col(f"_k_{c}").alias(c) for c in docs.columns])
