@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def crawl_frontier(links: DataFrame, fetched: DataFrame) -> DataFrame:
     return new.groupBy(F.col("dst").alias("url")).agg(F.min_by("src", F.struct("page_id", "pos")).alias("referrer"))
 
 
-def reachable_set(edges: DataFrame, seed: DataFrame, limit: int = 50) -> DataFrame:
+def reachable_set(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """(node, hops) of all that edges (src, dst) lead to from seed (node).
 
     A round joins the frontier with the edges and drops what is known; checkpoints cut the lineage and
@@ -78,11 +80,11 @@ def reachable_set(edges: DataFrame, seed: DataFrame, limit: int = 50) -> DataFra
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldbook-"))  # none is set: a test
     seen = frontier = seed.select("node", F.lit(0).alias("hops"))
-    for hop in range(1, limit + 1):
+    for hop in count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier).checkpoint()
     return seen
 

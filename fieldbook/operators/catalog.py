@@ -78,7 +78,7 @@ def text_filter(q: str, *fields: str) -> Column:
     return out
 
 
-def connected_names(groups: DataFrame, rounds: int = 30) -> DataFrame:
+def connected_names(groups: DataFrame) -> DataFrame:
     """(name, cluster) from (name, key): names that share a key, directly or over others, get the least name.
 
     Each round a key passes on the least cluster of its names; it ends when a round changes nothing.
@@ -92,22 +92,21 @@ def connected_names(groups: DataFrame, rounds: int = 30) -> DataFrame:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldbook-"))  # none is set: a test
-    for _ in range(rounds):
+    while True:
         least = edges.join(labels, "name").groupBy("key").agg(F.min("cluster").alias("m"))
         new = edges.join(least, "key").groupBy("name").agg(F.min("m").alias("cluster")).checkpoint()
         changed = not new.join(labels.withColumnRenamed("cluster", "old"), "name").where("cluster <> old").isEmpty()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
 
 
-def suspected_variants(credits: DataFrame, rounds: int = 30) -> DataFrame:
+def suspected_variants(credits: DataFrame) -> DataFrame:
     """(cluster, name): groups of two and more names that agree but for case and marks, single letters, or share a URL."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9 ]", ""), " +", " "))
     short = F.trim(F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), "(?<= )[a-z](?= )", ""), " +", " "))
     url = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("u:"), F.rtrim("url", F.lit("/"))))
     keys = credits.where("trim(name) <> ''").select("name", F.explode(F.array_compact(F.array(F.concat(F.lit("p:"), plain), F.concat(F.lit("s:"), short), url))).alias("key")).where("key NOT IN ('p:', 's:')").distinct()
-    found = connected_names(keys, rounds)
+    found = connected_names(keys)
     many = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     return found.join(many, "cluster").select("cluster", "name")
