@@ -137,8 +137,9 @@ OTHERS = (
     ("wtfpl", "fuck", 0, 1.0, r"do what the fuck you want to public license"),
     ("apache-2.0", "compliance", 0, 1.0, r"you may not use this file except in compliance with the license"),
 )
-#: A text without any of these words or parts cannot match a rule.
-GATE = r"(?i)licen[cs]|spdx|under|domain|reserved|granted|redistribut|unencumbered|compliance"
+_SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A text that this does not find cannot match a rule.
+GATE = rf"(?i)licen[cs]|spdx|(?:released|distributed|available|published|provided|covered|shared){_SEP}under|public{_SEP}domain|rights{_SEP}reserved|hereby|redistribut|unencumbered"
 
 
 def rules() -> list[tuple[int, str, str, int, float, str]]:
@@ -162,22 +163,23 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table = spark.createDataFrame(rules(), "rule int, label string, keyword string, priority int, score double, pattern string")
     keywords = sorted({r[2] for r in rules()})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.where(text.rlike(GATE)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), normal(F.col(text_col)).alias("norm")).dropDuplicates(["id", "key"])
+    found = docs.where(text.rlike(GATE)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), normal(F.col(text_col)).alias("norm"), F.monotonically_increasing_id().alias("row"))
     found = found.select("*", F.explode(F.array_intersect(F.split("norm", " "), F.array(*map(F.lit, keywords)))).alias("keyword"))
     found = found.join(F.broadcast(table), "keyword")  # the rules: a few hundred rows
     found = found.where(F.expr("norm rlike concat('(?<= )(?:', pattern, ')(?= )')"))
-    whole = F.concat(F.lit(r"(?s)(.*?)(?<= )("), F.col("pattern"), F.lit(")(?= )"))
+    # \G holds each search to where the last match ended: else the rest of a text is tried from every place
+    whole = F.concat(F.lit(r"(?s)\G(.*?)(?<= )("), F.col("pattern"), F.lit(")(?= )"))
     pieces = F.arrays_zip(F.regexp_extract_all("norm", whole, F.lit(1)).alias("gap"), F.regexp_extract_all("norm", whole, F.lit(2)).alias("hit"))
-    each = found.select("id", "key", "rule", "label", "priority", "score", F.posexplode(pieces).alias("n", "p")).select("*", F.length("p.gap").alias("gap"), F.length("p.hit").alias("hit")).drop("p")
-    of_rule = W.partitionBy("id", "key", "rule").orderBy("n")
+    each = found.select("row", "id", "key", "rule", "label", "priority", "score", F.posexplode(pieces).alias("n", "p")).select("*", F.length("p.gap").alias("gap"), F.length("p.hit").alias("hit")).drop("p")
+    of_rule = W.partitionBy("row", "rule").orderBy("n")
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(of_rule)).withColumn("start", F.col("end") - F.col("hit"))
     # outer intervals come first; among equals the better priority, then the earlier rule
-    before = W.partitionBy("id", "key").orderBy("start", F.col("end").desc(), "priority", "rule").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("row").orderBy("start", F.col("end").desc(), "priority", "rule").rowsBetween(W.unboundedPreceding, -1)
     levels = sorted({r[3] for r in rules()})
     reach = {p: F.max(F.when(F.col("priority") <= p, F.col("end"))).over(before) for p in levels}
     covered = F.coalesce(*[F.when(F.col("priority") == p, reach[p]) for p in levels])
     each = each.withColumn("covered", covered)
-    return each.where("covered is null or covered < end").drop("covered", "gap", "hit", "n")
+    return each.where("covered is null or covered < end").drop("covered", "gap", "hit", "n", "row").distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
