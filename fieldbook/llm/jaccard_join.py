@@ -7,8 +7,7 @@ least one of the others; the short lists are merged, what occurs in them is prob
 binary search (DivideSkip), and a pair stays when it reaches the overlap that its sizes require.
 
 Blocks come from signatures that lose no link.  Sizes fall in levels; at each level shingles are dealt
-to so many parts by hash that linked sets, which differ in few shingles, agree in one part at least
-that is not empty.  Documents that share a signature of a part are joined to groups; equal sets are one
+to so many parts by hash that linked sets, which differ in few shingles, agree in some.  Documents that share a signature of a part are joined to groups; equal sets are one
 document throughout.  A group of over BLOCK documents is cut into blocks, searched pair by pair, so no
 task holds more than two blocks however large a group is.
 
@@ -33,6 +32,10 @@ from fieldbook.llm.common import RollingHash, components, materialise, mix, text
 
 #: Documents of a block.
 BLOCK = 1500
+#: Sizes up to which signatures are of two parts together.
+PAIRED_SIZE = 40
+#: Documents in groups (four numbers each) that are broadcast to pick out their texts; beyond, both sides are shuffled.
+BROADCAST_MEMBERS = 300_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,7 +75,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
 
 
 class Levels:
-    """Levels of sizes, and how many parts shingles are dealt to at each."""
+    """Levels of sizes, and the parts that shingles are dealt to at each.
+
+    Linked sets up to a level's top differ in `differ` shingles at most, so of differ + 1 + spare parts
+    at least 1 + spare agree.  Parts with few shingles say little (one shared phrase may fill them), so
+    signatures are of parts with three shingles or more where a set has so many that one of them must
+    be among those that agree; else of two or more, and so on.  At low levels, where parts hold few,
+    signatures are of two parts together.  Nothing is lost by it: what a set leaves out, it leaves out
+    only when another of its signatures must agree, and the partner has that one too.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -83,27 +94,38 @@ class Levels:
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.tops, size, "left"))
 
-    def parts(self, level: int) -> tuple[int, int]:
-        """(parts, spare): linked sets up to this level differ in parts - 1 - spare shingles at most."""
-        top = self.tops[level]
-        differ = 2 * top * (100 - self.percent) // (100 + self.percent)
-        spare = 0 if differ == 0 else 2 + differ // 40
-        return differ + 1 + spare, spare
+    def parts(self, level: int) -> tuple[int, int, bool]:
+        """(parts, spare, whether two go together); no parts where only equal sets link."""
+        differ = 2 * self.tops[level] * (100 - self.percent) // (100 + self.percent)
+        if differ == 0:
+            return 0, 0, False
+        if self.tops[level] <= PAIRED_SIZE:
+            return differ + 3, 2, True
+        spare = 2 + differ // 4
+        return differ + 1 + spare, spare, False
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
         """Signatures of a sorted set for its own level and the next, where it may be the smaller of a pair."""
-        out = []
+        out = [np.zeros(0, np.uint64)]
         weights = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-        for level in (self.of(len(shingles)), self.of(len(shingles)) + 1):
-            parts, spare = self.parts(level)
+        own = self.of(len(shingles))
+        for level in (own, own + 1):
+            parts, spare, paired = self.parts(level)
+            if not parts:
+                continue
             ends = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
             cuts = np.concatenate([[0], np.searchsorted(shingles, ends, "left"), [len(shingles)]])
-            held = weights[cuts[1:]] - weights[cuts[:-1]]
-            tag = mix(np.arange(parts, dtype=np.uint64) + np.uint64(level << 32))
-            filled = np.diff(cuts) > 0
-            signs = mix(held + tag)
-            # with few empty parts, one of those that agree is not empty; else empty ones count as well
-            out.append(signs[filled] if parts - filled.sum() <= spare else signs)
+            count = np.diff(cuts)
+            signs = mix(weights[cuts[1:]] - weights[cuts[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(level << 32)))
+            if paired:
+                i, j = np.triu_indices(parts, 1)
+                both = mix(signs[i] * np.uint64(3) + signs[j])
+                # the most parts of which no two hold three shingles together; three parts agree at least
+                weak = max((count < 2).sum(), (count == 0).sum() + (count == 2).any())
+                out.append(both[count[i] + count[j] >= 3] if weak < 3 else both)
+            else:
+                least = next(m for m in (3, 2, 1, 0) if (count < m).sum() <= spare)
+                out.append(signs[count >= least])
         return np.concatenate(out)
 
 
@@ -236,7 +258,9 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id"
     groups = materialise(components(near, "groups"), "group-of")
     members = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("g"))).distinct()
     blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    placed = members.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    placed = materialise(members.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")), "placed")
+    if placed.count() <= BROADCAST_MEMBERS:
+        placed = F.broadcast(placed)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(placed, "id")
     paired = texts.select("id", "text", "g", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     paired = paired.select("id", "text", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
