@@ -28,7 +28,7 @@ from fieldbook.llm.common import string_chunks
 NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Distinct pieces whose ids a task remembers between chunks.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -163,7 +163,7 @@ def encode_pieces(table: PairTable, pieces: list[bytes]) -> tuple[np.ndarray, np
             part, end = (by_size[start : start + 1], ids, np.array([len(ids)])), start + 1
         else:
             top = max(4, longest + longest // 4)
-            end = min(int(np.searchsorted(sizes[by_size], top, "right")), start + max(1, 2_000_000 // top))
+            end = min(int(np.searchsorted(sizes[by_size], top, "right")), start + max(1, 500_000 // top))
             bucket = by_size[start:end]
             width = int(sizes[bucket].max())
             raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in bucket), np.uint8).reshape(len(bucket), width)

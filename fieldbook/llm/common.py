@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,8 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_string())
     n = len(column)
     _, at, data = column.buffers()
     if n == 0:
@@ -100,26 +101,21 @@ class RollingHash:
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b), for each node of an edge.
+    """(node, component): the smallest node reachable over edges (a, b), for each node that is not one itself.
 
-    Rounds of star contraction: every node points to the smallest neighbour, then to what that one
-    points to, until nothing changes.  Each round is cut by a table in the shared folder, so only
-    one count reaches the driver.
+    Rounds of star contraction: every larger neighbour of a node moves to the smallest one around it,
+    then every node and its smaller neighbours move to the smallest of these, until all are stars.  Each
+    round is cut by a table in the shared folder; one flag a round reaches the driver.
     """
-    both = materialise(
-        edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{tag}-edges"
-    )
+    swapped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    current = materialise(edges.select("a", "b").unionByName(swapped).where("a <> b").distinct(), f"{tag}-edges")
     while True:
-        # large star: larger neighbours move to the smallest one around a node
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: a node and its smaller neighbours move to the smallest of them
-        small_in = large.where("a <> b").distinct()
-        small_in = materialise(small_in, f"{tag}-large")
-        least2 = small_in.groupBy("a").agg(F.min("b").alias("m"))
-        small = small_in.join(least2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least2.select("a", F.col("m").alias("b")))
-        new = materialise(small.distinct(), f"{tag}-small")
-        # a forest of stars: no node both has a parent and is one
-        if new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty() and new.groupBy("a").count().where("count > 1").isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        least = current.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = current.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        stars = materialise(small.distinct(), f"{tag}-stars")
+        twice = stars.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        if twice.unionByName(stars.join(stars.select(F.col("b").alias("a")), "a", "left_semi").select("a")).isEmpty():
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        current = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
