@@ -35,7 +35,7 @@ SPAN, GRAM = 100, 20
 #: Segments that a task holds before it drops equal ones and hands on.
 HELD = 400_000
 #: Bytes of an index, and segments of a mark above which it is dealt out by window.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 600_000
 HOT = 10_000
 #: Place of a segment: its first window, count of windows and offset of the mark in one number.
 _N_BITS, _M_BITS = 7, 7
@@ -55,7 +55,8 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(mark hash, segment hash, row, first window, windows, offset of the mark), piece by piece of the text."""
-    piece = 2_000_000
+    piece = 1_000_000
+    of_byte = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for p in range(0, max(0, len(data) - span + 1), piece):
         part = data[p : p + piece + span - 1]
         if len(part) < span:
@@ -65,7 +66,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> Ite
         hashes = rolling.of(at, at + gram)
         marks = (sliding_least((hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), span - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.arange(len(marks))
-        rows = np.searchsorted(offsets, first + p, "right") - 1
+        rows = of_byte[p : p + len(first)]
         ok = first + p + span <= offsets[rows + 1]
         first, rows, marks = first[ok], rows[ok], marks[ok]
         if not len(first):
@@ -198,29 +199,53 @@ class RunLengthIndex:
         self.sample, self.above, self.shared = place[by_place], above[by_place], common[by_place]
 
     @staticmethod
-    def suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order by doubling; end marks make suffixes of different segments differ only by place."""
+    def suffixes(text: np.ndarray) -> np.ndarray:
+        """Suffix order by doubling.  Suffixes of different segments that end alike are ordered by place.
+
+        Ranks and places are packed into one number, as sorting plain numbers is ten times faster than
+        sorting by a key.
+        """
         n = len(text)
-        padded = np.concatenate([text, np.zeros(7, np.int64)])
-        packed, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(7):  # seven symbols of nine bits; nothing after an end mark counts
+        bits = max(1, int(n + 1).bit_length())
+        place = np.arange(n)
+        padded = np.concatenate([text, np.zeros(3, np.int64)])
+        key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(4):  # four symbols of nine bits; nothing after an end mark counts
             symbol = np.where(open_, padded[k : k + n], 0)
-            packed = packed << 9 | symbol
+            key = key << 9 | symbol
             open_ &= symbol > 0
-        depth, key = 7, packed
-        ended = ~open_
+        order = RunLengthIndex.sorted_places([key], [36], bits)
+        depth, ended = 4, ~open_
         while True:
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
+            ordered = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-            if rank[order[-1]] == n - 1 or ended.all():
+            rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+            if rank[order[-1]] == n - 1:
                 return order
-            ahead = np.minimum(np.arange(n) + depth, n - 1)
-            key = rank * (n + 1) + np.where(ended | (np.arange(n) + depth >= n), 0, rank[ahead] + 1)
-            ended = ended | (np.arange(n) + depth >= n) | ended[ahead]
+            ahead = np.minimum(place + depth, n - 1)
+            second = np.where(ended, place, rank[ahead] + 1)
+            key = rank << bits | second
+            order = RunLengthIndex.sorted_places([rank, second], [bits, bits], bits)
+            ended = ended | ended[ahead]
             depth *= 2
 
+    @staticmethod
+    def sorted_places(keys: list[np.ndarray], widths: list[int], bits: int) -> np.ndarray:
+        """Places in the order of the keys, first key first."""
+        mask = (1 << bits) - 1
+        if sum(widths) + bits <= 63:
+            packed = np.arange(len(keys[0]))
+            for k, shift in zip(reversed(keys), np.cumsum([bits, *reversed(widths)])[:-1].tolist(), strict=True):
+                packed = packed | k << shift
+            packed.sort()
+            return packed & mask
+        order = np.arange(len(keys[0]))
+        for k in reversed(keys):  # from the last key on, keeping the order of equals
+            packed = k[order] << bits | np.arange(len(order))
+            packed.sort()
+            order = order[packed & mask]
+        return order
+
     @staticmethod
     def common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix length of suffixes, up to the end marks (b -1: 0), by halving on hashes."""
@@ -228,11 +253,13 @@ class RunLengthIndex:
         stops = np.flatnonzero(text == 0)
         room = np.minimum(stops[np.searchsorted(stops, a)] - a, np.where(b < 0, 0, stops[np.searchsorted(stops, np.maximum(b, 0))] - b))
         rolling = RollingHash(text.astype(np.uint64))
-        low, high = np.zeros(len(a), np.int64), room.copy()
+        sums = rolling.sums
         b = np.maximum(b, 0)
+        low, high = np.zeros(len(a), np.int64), room.copy()
+        ua, ub, sa, sb = rolling.up[a], rolling.up[b], sums[a], sums[b]
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            equal = rolling.of(a, np.minimum(a + mid, n)) == rolling.of(b, np.minimum(b + mid, n))
+            equal = (sums[a + mid] - sa) * ua == (sums[b + mid] - sb) * ub
             low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
         return low
 
@@ -263,10 +290,8 @@ class RunLengthIndex:
 def match_blocks(rows: DataFrame, span: int) -> DataFrame:
     """(doc, start, end) of repeats among segments (key, doc, start, bytes), which come sorted by these."""
 
-    def index(keys: list, docs: list, starts: list, data: list[bytes]) -> pa.RecordBatch:
-        doc, start = np.array(docs, np.int64), np.array(starts, np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-        made = RunLengthIndex(np.frombuffer(b"".join(data), np.uint8), offsets)
+    def index(doc: np.ndarray, start: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        made = RunLengthIndex(data, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
         at = made.repeats(span)
         seg = np.searchsorted(made.starts, at, "right") - 1
         begin = start[seg] + at - made.starts[seg]
@@ -274,22 +299,56 @@ def match_blocks(rows: DataFrame, span: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["doc", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BLOCK_BYTES and row[0] != held[0][-1]:
-                    yield index(*held)
-                    held, size = ([], [], [], []), 0
-                for to, x in zip(held, row, strict=True):
-                    to.append(x)
-                size += len(row[3])
-        if size:
-            yield index(*held)
+            for i, j, data, offsets in text_chunks(batch.column(3).cast(pa.large_binary()), BLOCK_BYTES):
+                held.append([*(batch.column(c).slice(i, j - i).to_numpy() for c in range(3)), np.diff(offsets), data])
+                size += len(data)
+                if size < BLOCK_BYTES:
+                    continue
+                key, doc, start, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+                held = [[key, doc, start, sizes, data]]
+                change = np.flatnonzero(key[1:] != key[:-1]) + 1
+                if len(change):  # all marks but the last are complete
+                    c = int(change[-1])
+                    b = int(sizes[:c].sum())
+                    yield index(doc[:c], start[:c], sizes[:c], data[:b])
+                    held = [[x[c:].copy() for x in (key, doc, start, sizes)] + [data[b:].copy()]]
+                    size = len(held[0][4])
+        if held:
+            _, doc, start, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield index(doc, start, sizes, data)
 
     return rows.mapInArrow(run, "doc long, start long, end long")
 
 
+def cut_segments(joined: DataFrame, span: int) -> DataFrame:
+    """(key, doc, start, bytes) of the undecided segments of each document; those of a hot mark window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch.column(1)):
+                part = batch.column(2).slice(i, j - i)
+                counts = part.value_lengths().to_numpy()
+                key, start, end, hot = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+                row = np.repeat(np.arange(j - i), counts)
+                if hot.any():
+                    n = np.where(hot, end - start - span + 1, 1)
+                    start = np.repeat(start, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+                    hot, row, key = np.repeat(hot, n), np.repeat(row, n), np.repeat(key, n)
+                    end = np.where(hot, start + span, np.repeat(end, n))
+                    a = offsets[row[hot]] + start[hot]
+                    key[hot] = RollingHash(data).of(a, a + span).view(np.int64)
+                sizes = end - start
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                raw = data[np.arange(int(at[-1])) + np.repeat(offsets[row] + start - at[:-1], sizes)]
+                cut = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(start), cut], names=["key", "doc", "start", "bytes"])
+
+    return joined.mapInArrow(run, "key long, doc long, start long, bytes binary")
+
+
 def cut_segments(joined: DataFrame, span: int) -> DataFrame:
     """(key, doc, start, bytes) of the undecided segments of each document; those of a hot mark window by window."""
 
