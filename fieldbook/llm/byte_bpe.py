@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import string_chunks
+from fieldbook.llm.common import small_batches, string_chunks
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -190,6 +190,7 @@ _tables: dict[str, PairTable] = {}
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each row."""
+    small_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex  # a vocabulary file: its size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

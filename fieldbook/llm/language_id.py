@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import text_chunks
+from fieldbook.llm.common import small_batches, text_chunks
 
 #: Cells that grams of one to three bytes are hashed to.
 CELLS = 1 << 14
@@ -119,6 +119,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept columns, lang_pred, score, ambiguous) of each row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import text_chunks
+from fieldbook.llm.common import small_batches, text_chunks
 
 
 @dataclass(frozen=True)
@@ -211,6 +211,7 @@ def _scan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[st
                 columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns) if c != text_at]
                 yield pa.RecordBatch.from_arrays([*columns, out], names=[n for n in batch.schema.names if n != "_text"] + ["_spans"])
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text")
     return chosen.mapInArrow(run, f"{schema}, _spans array<struct<kind: string, start: int, end: int>>")
