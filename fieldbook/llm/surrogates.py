@@ -5,7 +5,14 @@ A surrogate comes from a keyed hash of kind, entity and attempt.  It keeps the f
 counts of digits, a card's check digit, the script and case of letters, the gender that a title shows.
 All mentions of an entity (compared without regard to case or separators) get one surrogate.  Distinct
 entities of a kind that meet in a surrogate are told apart by further attempts for all but the first,
-as are surrogates that equal an entity of the corpus; the loop ends when none is left.
+as are surrogates that equal an entity of the corpus; the loop ends when none is left, as attempts widen
+the space: names by a syllable each, the others when ATTEMPTS have found no free surrogate in the format.
+
+A name is a family name and maybe a first name.  Family names have surrogates of their own, so that a
+surname alone and the full name keep it in common; a first name's surrogate is one of a number that
+stands for a name of either gender, and is told apart from the others of its family.  As no two family
+names and no first names of one family meet, and no family name's surrogate is a family name of the
+corpus, written names are apart from each other and from real ones whatever gender they are written in.
 
 Only distinct entities are shuffled, then texts of documents that hold some.
 
@@ -27,7 +34,7 @@ from pyspark.sql import Window as W
 
 from fieldbook.llm.common import materialise, string_chunks
 
-#: Attempts after which a space of surrogates counts as used up.
+#: Attempts after which the space of a format counts as used up: then addresses may be any, digits and letters are added.
 ATTEMPTS = 50
 KINDS = ("email", "phone", "ip", "card", "name")
 _TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "doña": "f", "dr": "n", "prof": "n"}
@@ -40,7 +47,9 @@ _PATTERNS = {
     "name": re.compile(rf"(?<!\w)({'|'.join(sorted((t.title() for t in _TITLES), key=len, reverse=True))})(\.? )({_NAME}(?: {_NAME})?)"),
 }
 #: First names by gender (n: either), and family names are made of syllables of the script of Latin.
-_FIRST = {"m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Max Noel Oscar Paul Rene Simon Theo Victor".split(), "f": "Ada Berta Clara Diana Emma Frida Greta Helen Ida Julia Klara Lena Marta Nora Olga Paula Rosa Sofia Tina Vera".split(), "n": "Alex Andrea Chris Dominique Jo Kim Lee Maxime Noa Robin Sam Sascha".split()}
+_FIRST = {"m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Max Noel Oscar Paul Rene Simon Theo Victor".split(), "f": "Ada Berta Clara Diana Emma Frida Greta Helen Ida Julia Klara Lena Marta Nora Olga Paula Rosa Sofia Tina Vera".split(), "n": "Alex Andrea Chris Dominique Jo Kim Lee Maxime Noa Robin Sam Sascha Toni Mika Eden Charlie Jamie Nicola Ulli Bente".split()}
+#: Places in each of the lists: a first name's surrogate is one, whatever the gender it is written in.
+_FIRSTS = 20
 _SYLLABLES = "ba be bi bo da de di do ga ge go la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split()
 
 
@@ -70,11 +79,17 @@ def canonical(kind: str, mention: str) -> str:
     """What mentions of one entity have in common."""
     if kind == "email":
         return mention.lower()
-    if kind == "name":
-        return " ".join(mention.split()[1:]).lower()
     return mention if kind == "ip" else re.sub(r"\D", "", mention)
 
 
+def parts(kind: str, mention: str) -> list[tuple[str, str]]:
+    """(kind, entity) of what has a surrogate of its own: of a name the family name, then the first name within the family."""
+    if kind != "name":
+        return [(kind, canonical(kind, mention))]
+    *first, family = mention.lower().split(" ")[1:]
+    return [("family", family)] + [("first", f"{family} {f}") for f in first]
+
+
 def _stream(key: bytes, *parts: str) -> Iterator[int]:
     block = 0
     while True:
@@ -83,53 +98,57 @@ def _stream(key: bytes, *parts: str) -> Iterator[int]:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The canonical form of the replacement (for names with the gender still open: two name parts)."""
+    """The canonical form of the replacement; of a first name: its family, and #, its place in the lists and further syllables."""
     r = _stream(key, kind, entity, str(attempt))
+    more = attempt // ATTEMPTS
     if kind == "email":
         name, _, host = entity.partition("@")
         letters = lambda s: "".join(chr(97 + next(r) % 26) if c.isalpha() else str(next(r) % 10) if c.isdigit() else c for c in s)
         first, *rest = host.split(".")
+        name += "x" * more
         return f"{letters(name)}@{letters(first)}.{'.'.join(rest)}" if rest else letters(name) + "@" + letters(host)
     if kind == "ip":
-        return "10." + ".".join(str(next(r)) for _ in range(3))
+        return ".".join([str(next(r)) if more else "10", *(str(next(r)) for _ in range(3))])
     if kind == "card":
-        body = entity[:1] + "".join(str(next(r) % 10) for _ in range(len(entity) - 2))
+        body = entity[:1] + "".join(str(next(r) % 10) for _ in range(len(entity) - 2 + more))
         last = next(str(d) for d in range(10) if luhn(body + str(d)))
         return body + (last if luhn(entity) else str((int(last) + 1 + next(r) % 9) % 10))
     if kind == "phone":
         fixed = len(entity) - 10 if len(entity) > 10 else 0  # the country stays
-        return entity[:fixed] + "".join(str(next(r) % 8 + 2) if i == 0 else str(next(r) % 10) for i in range(len(entity) - fixed))
-    parts = entity.split(" ")
-    family = lambda: "".join(_SYLLABLES[next(r) % len(_SYLLABLES)] for _ in range(3)).capitalize()
-    return " ".join([f"#{next(r)}", family()] if len(parts) > 1 else [family()])
+        return entity[:fixed] + "".join(str(next(r) % 8 + 2) if i == 0 else str(next(r) % 10) for i in range(len(entity) - fixed + more))
+    syllables = lambda n: "".join(_SYLLABLES[next(r) % len(_SYLLABLES)] for _ in range(n))
+    if kind == "family":
+        return syllables(3 + attempt).capitalize()
+    return f"{entity.split(' ')[0]} #{next(r) % _FIRSTS} {syllables(attempt)}"
 
 
-def shaped(kind: str, mention: str, new: str) -> str:
-    """The surrogate in the format of a mention."""
+def shaped(kind: str, mention: str, new: list[str]) -> str:
+    """The surrogates of a mention's parts in its format."""
     if kind in ("card", "phone"):
-        digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        digits = iter(new[0])
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "email":
-        return new.upper() if mention.isupper() else new
+        return new[0].upper() if mention.isupper() else new[0]
     if kind == "name":
         title = mention.split()[0]
-        gender = _TITLES[title.rstrip(".").lower()]
-        first = lambda p: _FIRST[gender][int(p[1:]) % len(_FIRST[gender])]
-        return title + " " + " ".join(first(p) if p[0] == "#" else p for p in new.split(" "))
-    return new
+        names = _FIRST[_TITLES[title.rstrip(".").lower()]]
+        family, *first = new
+        return " ".join([title, *(names[int(place[1:])] + more for _, place, more in (f.split(" ") for f in first)), family])
+    return new[0]
 
 
-_MENTIONS = "array<struct<start: int, end: int, kind: string, mention: string, entity: string>>"
+_MENTIONS = "array<struct<start: int, end: int, kind: string, mention: string, parts: array<struct<kind: string, entity: string>>>>"
 
 
 def detected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, mentions) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("mention", pa.string()), ("entity", pa.string())]))
+        part = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("mention", pa.string()), ("parts", part)]))
         for batch in batches:
             for i, j, texts in string_chunks(batch.column(1)):
-                found = [[{"start": a, "end": b, "kind": k, "mention": m, "entity": canonical(k, m)} for a, b, k, m in entities(t)] for t in texts]
+                found = [[{"start": a, "end": b, "kind": k, "mention": m, "parts": [{"kind": x, "entity": e} for x, e in parts(k, m)]} for a, b, k, m in entities(t)] for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(found, kind)], names=["id", "text", "mentions"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -145,31 +164,32 @@ def mapping(distinct: DataFrame, key: bytes) -> DataFrame:
 
     current = materialise(distinct.select("kind", "entity", F.lit(0).alias("attempt")).withColumn("surrogate", made("kind", "entity", "attempt")), "surrogates")
     real = distinct.select(F.col("kind").alias("rk"), F.col("entity").alias("re"))
-    for _ in range(ATTEMPTS):
+    while True:
         nth = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
-        marked = current.withColumn("nth", nth).join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("re")), "left")
+        marked = current.withColumn("nth", nth).join(real, (F.col("kind") == F.col("rk")) & (F.lower("surrogate") == F.col("re")), "left")
         clash = (F.col("nth") > 1) | F.col("re").isNotNull()
         if marked.where(clash).isEmpty():
             return current.select("kind", "entity", "surrogate")
         again = marked.select("kind", "entity", F.when(clash, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), F.col("surrogate").alias("old"), clash.alias("clash"))
         again = again.withColumn("surrogate", F.when(F.col("clash"), made("kind", "entity", "attempt")).otherwise(F.col("old")))
         current = materialise(again.select("kind", "entity", "attempt", "surrogate"), "surrogates")
-    raise ValueError("surrogates of some kind are used up")
 
 
 def replaced(docs: DataFrame, key: bytes = b"fieldbook", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text with surrogates, replacements array<struct<start, end, kind, surrogate>>) of each row; places are of the old text."""
     found = detected(docs, id_col, text_col)
     dirty = materialise(found.where(F.size("mentions") > 0).withColumn("row", F.monotonically_increasing_id()), "mentions")
-    each = dirty.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    each = dirty.select("row", F.explode("mentions").alias("m")).select("row", "m.start", F.posexplode("m.parts").alias("part", "p")).select("row", "start", "part", "p.*")
     names = mapping(materialise(each.select("kind", "entity").distinct(), "entities"), key)
+    new = each.join(names, ["kind", "entity"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "part", "surrogate"))).alias("new"))
 
-    @F.arrow_udf("string")
-    def formed(kind: pa.Array, mention: pa.Array, new: pa.Array) -> pa.Array:
-        return pa.array([shaped(*x) for x in zip(kind.to_pylist(), mention.to_pylist(), new.to_pylist(), strict=True)], pa.string())
-
-    new = each.join(names, ["kind", "entity"]).select("row", "start", "end", "kind", formed("kind", "mention", "surrogate").alias("surrogate"))
-    new = new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("replacements"))
+    @F.arrow_udf("array<struct<start: int, end: int, kind: string, surrogate: string>>")
+    def formed(mentions: pa.Array, new: pa.Array) -> pa.Array:
+        out = []
+        for list_, made in zip(mentions.to_pylist(), new.to_pylist(), strict=True):
+            at = iter(made)  # both by start
+            out.append([{"start": m["start"], "end": m["end"], "kind": m["kind"], "surrogate": shaped(m["kind"], m["mention"], [next(at)["surrogate"] for _ in m["parts"]])} for m in list_])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())])))
 
     @F.arrow_udf("string")
     def rewritten(text: pa.Array, replacements: pa.Array) -> pa.Array:
@@ -182,7 +202,7 @@ def replaced(docs: DataFrame, key: bytes = b"fieldbook", id_col: str = "doc_id",
             out.append("".join([*parts, t[at:]]))
         return pa.array(out, pa.string())
 
-    done = dirty.join(new, "row").select("id", rewritten("text", "replacements").alias("text"), "replacements")
+    done = dirty.join(new, "row").select("id", "text", formed("mentions", "new").alias("replacements")).select("id", rewritten("text", "replacements").alias("text"), "replacements")
     none = F.array().cast("array<struct<start: int, end: int, kind: string, surrogate: string>>")
     clean = found.where(F.size("mentions") == 0).select("id", "text", none.alias("replacements"))
     return clean.unionByName(done).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "replacements")

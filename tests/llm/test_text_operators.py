@@ -361,3 +361,16 @@ def test_surrogates_stay_apart(spark, monkeypatch):
     table = spark.createDataFrame(rows, "kind string, entity string")
     got = [r.surrogate for r in surrogates.mapping(table, b"k").collect()]
     assert len(got) == len(set(got)) == 13 and "10.0.0.5" not in got
+
+
+def test_written_names_stay_apart(spark):
+    made = lambda rows: [r.surrogates[0] for r in surrogates.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    pair = lambda i: chr(97 + i // 26 % 26) + chr(97 + i % 26)
+    names = [f"Mr. Jo{pair(i)} Fa{pair(i // 3)}er" for i in range(2000)]
+    got = made(names)
+    assert len(set(got)) == len(names)
+    again = made(names[:50] + got[:50])  # what was a surrogate is a real name now
+    assert not {x.lower() for x in again} & {x.lower() for x in names[:50] + got[:50]} and len(set(again)) == 100
+    kin = made([f"Dr. Jo{pair(i)} Smith" for i in range(60)] + ["Mr. Smith"])  # more first names than the lists have
+    assert len(set(kin)) == 61 and {x.split()[-1] for x in kin} == {kin[-1].split()[-1]}
+    assert {len(x) for x in surrogates._FIRST.values()} == {surrogates._FIRSTS} and len({n for x in surrogates._FIRST.values() for n in x}) == 3 * surrogates._FIRSTS
