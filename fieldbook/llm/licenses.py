@@ -29,28 +29,36 @@ NAMES = (
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 1 1"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 2(?: 0)?"),
     ("apache", "apache", r"apache(?: software)?"),
-    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: (?:version|v) ?| )1(?: 0)?"),
+    ("gpl-1.0", "gpl1", r"(?:gnu )?gpl1(?: 0)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: (?:version|v) ?| )2(?: 0)?"),
+    ("gpl-2.0", "gpl2", r"(?:gnu )?gpl2(?: 0)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: (?:version|v) ?| )3(?: 0)?"),
+    ("gpl-3.0", "gpl3", r"(?:gnu )?gpl3(?: 0)?"),
     ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2"),
     ("gpl-3.0", "gplv3", r"(?:gnu )?gplv3"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
     ("gpl-2.0", "general", r"(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version| v) 2(?: 0)?"),
     ("gpl-3.0", "general", r"(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)?(?: version| v) 3(?: 0)?"),
     ("gpl", "general", r"(?:gnu )?general public"),
-    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl(?: (?:version|v) ?| )2(?: 0)?"),
+    ("lgpl-2.0", "lgpl2", r"(?:gnu )?lgpl2(?: 0)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: (?:version|v) ?| )2 1"),
+    ("lgpl-2.1", "lgpl2", r"(?:gnu )?lgpl2 1"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: (?:version|v) ?| )3(?: 0)?"),
+    ("lgpl-3.0", "lgpl3", r"(?:gnu )?lgpl3(?: 0)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
     ("lgpl", "library", r"(?:gnu )?library general public"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: (?:version|v) ?| )3(?: 0)?"),
+    ("agpl-3.0", "agpl3", r"(?:gnu )?agpl3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("agpl", "agpl", r"(?:gnu )?agpl"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation"),
     ("gfdl", "gfdl", r"(?:gnu )?gfdl"),
     ("bsd-0-clause", "0bsd", r"0bsd"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", r"bsd"),
@@ -94,7 +102,8 @@ NAMES = (
     ("odbl", "database", r"open database"),
     ("odc-by", "odc", r"odc by(?: 1 0)?"),
     ("pddl", "pddl", r"pddl(?: 1 0)?"),
-    ("ofl-1.1", "ofl", r"(?:sil )?(?:open font license |ofl )1 1"),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl 1 1"),
+    ("ofl-1.1", "font", r"(?:sil )?open font license 1 1"),
     ("ofl", "font", r"(?:sil )?open font"),
     ("python-2.0", "python", r"python(?: software foundation)?(?: 2 0)?"),
     ("php", "php", r"php(?: 3 01)?"),

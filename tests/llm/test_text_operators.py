@@ -374,3 +374,19 @@ def test_written_names_stay_apart(spark):
     kin = made([f"Dr. Jo{pair(i)} Smith" for i in range(60)] + ["Mr. Smith"])  # more first names than the lists have
     assert len(set(kin)) == 61 and {x.split()[-1] for x in kin} == {kin[-1].split()[-1]}
     assert {len(x) for x in surrogates._FIRST.values()} == {surrogates._FIRSTS} and len({n for x in surrogates._FIRST.values() for n in x}) == 3 * surrogates._FIRSTS
+
+
+def test_license_keywords_lose_no_match(spark):
+    said = "FreeBSD,GPL1,GPL2,GNU GPL3.0,GPL v2,GPL version2,GPL 3,LGPL2,LGPL2.1,LGPL v2.1,LGPL3,AGPL3,AGPL v3,SIL Open Font License 1.1,OFL 1.1,GPLv2,BSD 2 clause".split(",")
+    rows = list(enumerate(f.format(x) for x in said for f in ("{} License", "licensed under {}.", "SPDX-License-Identifier: {}")))
+    got = {}
+    for r in licenses.detections(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["id"], set()).add((r["start"], r["end"], r["priority"], r["rule"]))
+    for i, t in rows:  # every pattern, whatever its keyword
+        norm = " " + " ".join(words(t)) + " "
+        found = [(m.start(), m.end(), priority, number) for number, _, _, priority, _, pattern in licenses.rules() for m in re.finditer(f"(?<= )(?:{pattern})(?= )", norm)]
+        ahead = lambda x: (x[0], -x[1], x[2], x[3])
+        kept = {x for x in found if not any(y != x and y[2] <= x[2] and y[0] <= x[0] and y[1] >= x[1] and ahead(y) < ahead(x) for y in found)}
+        assert kept and got.get(i, set()) == kept, t
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(0, "FreeBSD License"), (1, "GPL2 license"), (2, "licensed under LGPL3")], "doc_id long, text string")).collect()}
+    assert labels == {0: "bsd-2-clause", 1: "gpl-2.0", 2: "lgpl-3.0"}
