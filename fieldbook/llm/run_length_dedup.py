@@ -333,6 +333,9 @@ def cut_segments(joined: DataFrame, span: int) -> DataFrame:
                 counts = part.value_lengths().to_numpy()
                 key, start, end, hot = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
                 row = np.repeat(np.arange(j - i), counts)
+                end = np.minimum(end, np.diff(offsets)[row])  # rows of one id may differ
+                fits = end - start >= span
+                key, start, end, hot, row = key[fits], start[fits], end[fits], hot[fits], row[fits]
                 if hot.any():
                     n = np.where(hot, end - start - span + 1, 1)
                     start = np.repeat(start, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
@@ -349,29 +352,6 @@ def cut_segments(joined: DataFrame, span: int) -> DataFrame:
     return joined.mapInArrow(run, "key long, doc long, start long, bytes binary")
 
 
-def cut_segments(joined: DataFrame, span: int) -> DataFrame:
-    """(key, doc, start, bytes) of the undecided segments of each document; those of a hot mark window by window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                text = (batch.column(1)[row].as_py() or "").encode()
-                doc = batch.column(0)[row].as_py()
-                list_ = batch.column(2)[row].values
-                key, start, end, hot = (list_.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                out_key, out_start, out = [key[~hot]], [start[~hot]], [text[a:b] for a, b in zip(start[~hot].tolist(), end[~hot].tolist(), strict=True)]
-                if hot.any():
-                    n = end[hot] - start[hot] - span + 1
-                    a = np.repeat(start[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    out_key.append(RollingHash(np.frombuffer(text, np.uint8)).of(a, a + span).view(np.int64))
-                    out_start.append(a)
-                    out += [text[x : x + span] for x in a.tolist()]
-                k = np.concatenate(out_key)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([doc] * len(k), pa.int64()), pa.array(np.concatenate(out_start)), pa.array(out, pa.binary())], names=["key", "doc", "start", "bytes"])
-
-    return joined.mapInArrow(run, "key long, doc long, start long, bytes binary")
-
-
 def repeated_spans(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """(doc, start, end), overlaps included; docs has (doc, text)."""
     rows = segment_rows(docs, span, gram).repartition("key").sortWithinPartitions("key", "seg", "doc", "at")

@@ -1,6 +1,7 @@
 """Text operators against brute force on a small fixture with the awkward cases, and on empty tables."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -390,3 +391,11 @@ def test_license_keywords_lose_no_match(spark):
         assert kept and got.get(i, set()) == kept, t
     labels = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(0, "FreeBSD License"), (1, "GPL2 license"), (2, "licensed under LGPL3")], "doc_id long, text string")).collect()}
     assert labels == {0: "bsd-2-clause", 1: "gpl-2.0", 2: "lgpl-3.0"}
+
+
+def test_rows_of_one_id_with_unlike_texts(spark):
+    phrase = prose(3, 40)
+    rows = [(i, prose(100 + i, 20) + " " + phrase + " " + prose(900 + i, 20)) for i in range(20)] + [(5, "short"), (6, prose(6, 30)[:130])]
+    got = run_length_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in got) == sorted((i, len(t)) for i, t in rows)
+    assert "def cut_segments" in (source := inspect.getsource(run_length_dedup)) and source.count("def cut_segments") == 1
