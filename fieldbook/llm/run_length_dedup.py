@@ -13,7 +13,9 @@ have equal marks at equal offsets, so all copies of a window meet under its mark
    the samples are kept; streaming over the text, each place's matching statistic (its longest match
    with its lexicographic neighbour, and where that is) follows from the sample before it.  Windows
    that match in full SPAN bytes form chains, of which all but the earliest window are repeats.
-   A mark with over HOT segments is dealt out by window instead, so that no task gets all of them.
+   A mark with over HOT segments is not indexed: its windows are dealt out by their own hashes as in
+   steps 1 and 2, as places without bytes, so that a task hands on one place of each of its windows,
+   and all places but the earliest are repeats.  An index thus gets HOT segments of a mark at most.
 4. The repeated spans of a document are united and cut.
 
 Defined cases: null is an empty text; texts below SPAN bytes lose nothing; rows of one id count as one
@@ -22,7 +24,7 @@ document (ids should be unique; equal rows get equal results, all of them return
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from fieldbook.llm.common import RollingHash, materialise, text_chunks
 SPAN, GRAM = 100, 20
 #: Segments that a task holds before it drops equal ones and hands on.
 HELD = 400_000
-#: Bytes of an index, and segments of a mark above which it is dealt out by window.
+#: Bytes of an index, and segments of a mark above which its windows are told without one.
 BLOCK_BYTES = 600_000
 HOT = 10_000
 #: Place of a segment: its first window, count of windows and offset of the mark in one number.
@@ -93,8 +95,8 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[last] - lift[last]
 
 
-def segment_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, seg, doc, at): segments, and with seg 0 spans that are known to be repeats."""
+def earliest(span: int) -> Callable[[list[tuple[np.ndarray, ...]]], pa.RecordBatch]:
+    """Of the held (key, seg, doc, at): the first of each seg, and with seg 0 spans of the others."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, seg, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -111,6 +113,13 @@ def segment_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
             [pa.array(np.concatenate(x)) for x in ((key[keep].view(np.int64), spread), (seg[keep].view(np.int64), np.zeros(len(d), np.int64)), (doc[keep], d), (at[keep], s << 31 | (e - s)))], names=["key", "seg", "doc", "at"]
         )
 
+    return flush
+
+
+def segment_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, seg, doc, at): segments, and with seg 0 spans that are known to be repeats."""
+    flush = earliest(span)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
@@ -323,46 +332,73 @@ def match_blocks(rows: DataFrame, span: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, start long, end long")
 
 
+def listed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes, offset of the row, its doc, key, start, end) of the segments in batches of (doc, text, s), by runs of rows."""
+    for batch in batches:
+        for i, j, data, offsets in text_chunks(batch.column(1)):
+            part = batch.column(2).slice(i, j - i)
+            row = np.repeat(np.arange(j - i), part.value_lengths().to_numpy())
+            key, start, end = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+            end = np.minimum(end, np.diff(offsets)[row])  # rows of one id may differ
+            fits = end - start >= span
+            row = row[fits]
+            yield data, offsets[row], batch.column(0).slice(i, j - i).to_numpy()[row], key[fits], start[fits], end[fits]
+
+
 def cut_segments(joined: DataFrame, span: int) -> DataFrame:
-    """(key, doc, start, bytes) of the undecided segments of each document; those of a hot mark window by window."""
+    """(key, doc, start, bytes) of the undecided segments of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(1)):
-                part = batch.column(2).slice(i, j - i)
-                counts = part.value_lengths().to_numpy()
-                key, start, end, hot = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
-                row = np.repeat(np.arange(j - i), counts)
-                end = np.minimum(end, np.diff(offsets)[row])  # rows of one id may differ
-                fits = end - start >= span
-                key, start, end, hot, row = key[fits], start[fits], end[fits], hot[fits], row[fits]
-                if hot.any():
-                    n = np.where(hot, end - start - span + 1, 1)
-                    start = np.repeat(start, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-                    hot, row, key = np.repeat(hot, n), np.repeat(row, n), np.repeat(key, n)
-                    end = np.where(hot, start + span, np.repeat(end, n))
-                    a = offsets[row[hot]] + start[hot]
-                    key[hot] = RollingHash(data).of(a, a + span).view(np.int64)
-                sizes = end - start
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                raw = data[np.arange(int(at[-1])) + np.repeat(offsets[row] + start - at[:-1], sizes)]
-                cut = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(start), cut], names=["key", "doc", "start", "bytes"])
+        for data, offset, doc, key, start, end in listed(batches, span):
+            sizes = end - start
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            raw = data[np.arange(int(at[-1])) + np.repeat(offset + start - at[:-1], sizes)]
+            cut = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(start), cut], names=["key", "doc", "start", "bytes"])
 
     return joined.mapInArrow(run, "key long, doc long, start long, bytes binary")
 
 
+def window_rows(joined: DataFrame, span: int) -> DataFrame:
+    """(key, seg, doc, at) as segment_rows() has them, of each window of the segments of hot marks; key is the mark's, seg the window's hash."""
+    flush = earliest(span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for data, offset, doc, key, start, end in listed(batches, span):
+            rolling = RollingHash(data)
+            n = end - start - span + 1
+            past = np.concatenate([[0], np.cumsum(n)])
+            for i in range(0, len(n), HELD // 128):  # a segment has 81 windows at most
+                some = slice(i, i + HELD // 128)
+                of = np.repeat(np.arange(len(n))[some], n[some])
+                first = start[of] + np.arange(len(of)) - (past[of] - past[i])
+                seg = rolling.of(offset[of] + first, offset[of] + first + span)
+                seg[seg == 0] = 1
+                held.append((key[of].view(np.uint64), seg, doc[of], (first << _N_BITS | 1) << _M_BITS))
+                count += len(of)
+                if count >= HELD:
+                    yield flush(held)
+                    held, count = [], 0
+        if held:
+            yield flush(held)
+
+    return joined.mapInArrow(run, "key long, seg long, doc long, at long")
+
+
 def repeated_spans(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """(doc, start, end), overlaps included; docs has (doc, text)."""
     rows = segment_rows(docs, span, gram).repartition("key").sortWithinPartitions("key", "seg", "doc", "at")
     decided = materialise(decide(rows, span), "decided")
     known = decided.where("key is null").select("doc", "start", "end")
     open_ = decided.where("key is not null")
-    hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
-    open_ = open_.join(hot, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
-    texts = docs.join(open_, "doc")
-    cut = cut_segments(texts.select("doc", "text", "s"), span).repartition("key").sortWithinPartitions("key", "doc", "start")
-    return known.unionByName(match_blocks(cut, span))
+    hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key")
+    by_doc = lambda some: docs.join(some.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end")).alias("s")), "doc").select("doc", "text", "s")
+    cut = cut_segments(by_doc(open_.join(hot, "key", "left_anti")), span).repartition("key").sortWithinPartitions("key", "doc", "start")
+    windows = window_rows(by_doc(open_.join(hot, "key", "left_semi")), span).repartition("key", "seg").sortWithinPartitions("key", "seg", "doc", "at")
+    # windows of one mark are no segments of it: what decide() leaves open is different windows
+    again = decide(windows, span).where("key is null").select("doc", "start", "end")
+    return known.unionByName(match_blocks(cut, span)).unionByName(again)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:

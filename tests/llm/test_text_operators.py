@@ -399,3 +399,20 @@ def test_rows_of_one_id_with_unlike_texts(spark):
     got = run_length_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted((r.doc_id, r.n_bytes) for r in got) == sorted((i, len(t)) for i, t in rows)
     assert "def cut_segments" in (source := inspect.getsource(run_length_dedup)) and source.count("def cut_segments") == 1
+
+
+def test_windows_of_a_hot_mark_are_not_indexed(spark, monkeypatch):
+    phrase = prose(3, 40)  # over 100 bytes: its windows are equal in all documents, those at its edges differ
+    rows = [(i, prose(100 + i, 20) + " " + phrase + " " + prose(900 + i, 20)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = {r.doc_id: tuple(r) for r in run_length_dedup.report(docs).collect()}
+    indexed, index = [], run_length_dedup.match_blocks
+    monkeypatch.setattr(run_length_dedup, "match_blocks", lambda rows, span: (indexed.append(rows.count()), index(rows, span))[1])
+    monkeypatch.setattr(run_length_dedup, "HOT", 0)
+    got = run_length_dedup.report(docs).collect()
+    assert {r.doc_id: tuple(r) for r in got} == before and any(r[2] for r in before.values())
+    assert indexed == [0]
+    seg = [{"key": 1, "start": 10, "end": 130}]
+    one = spark.createDataFrame([(i, "x" * 10 + phrase, seg) for i in range(60)], "doc long, text string, s array<struct<key: long, start: long, end: long>>").coalesce(1)
+    handed = [r for r in run_length_dedup.window_rows(one, 100).collect() if r.seg]
+    assert len(handed) == 21 and {r.doc for r in handed} == {0}  # one place a window from the task
