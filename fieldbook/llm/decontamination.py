@@ -130,7 +130,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that are not contaminated, by the rule of report()."""
-    bad = contamination(docs, items, id_col=id_col).where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, by the rule of report().  Ids may be null or repeated: a row goes by its id and text."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("hash")).alias("doc"), F.col(text_col).alias("text"))
+    bad = contamination(keyed, items, id_col="doc").where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc.id").alias("_bad"), F.col("doc.hash").alias("_hash")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.sha2(F.col(text_col), 256) == F.col("_hash")), "left_anti")

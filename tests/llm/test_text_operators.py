@@ -393,6 +393,13 @@ def test_license_keywords_lose_no_match(spark):
     assert labels == {0: "bsd-2-clause", 1: "gpl-2.0", 2: "lgpl-3.0"}
 
 
+def test_decontamination_goes_by_row(items, spark):
+    clean, bad = prose(20, 30), prose(21, 10) + " " + ITEMS[0][1]
+    rows = [(None, clean), (None, bad), (None, None), (7, clean), (7, bad), (7, bad), (8, bad), (9, clean), (9, clean)]
+    got = decontamination.decontaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if r[1] != bad)
+
+
 def test_rows_of_one_id_with_unlike_texts(spark):
     phrase = prose(3, 40)
     rows = [(i, prose(100 + i, 20) + " " + phrase + " " + prose(900 + i, 20)) for i in range(20)] + [(5, "short"), (6, prose(6, 30)[:130])]
