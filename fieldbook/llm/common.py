@@ -8,26 +8,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 400_000
+#: Rows of a table (below 100 bytes each) that are broadcast.
+BROADCAST_ROWS = 300_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Spark hand texts to Python in batches of so many rows: several of them are in memory at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("fieldbook.scratch", "")
         if not folder:
             folder = tempfile.mkdtemp(prefix="fieldbook-")
@@ -42,6 +59,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of a few numbers a row, broadcast when it is counted to have few rows; beyond, Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows and the end in them) of runs of whole rows."""
     if isinstance(column, pa.ChunkedArray):

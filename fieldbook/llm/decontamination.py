@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import materialise
+from fieldbook.llm.common import column, free_name, materialise, small
 from fieldbook.llm.words import words
 
 SPAN, GRAM = 13, 5
@@ -132,6 +132,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, by the rule of report().  Ids may be null or repeated: a row goes by its id and text."""
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("hash")).alias("doc"), F.col(text_col).alias("text"))
-    bad = contamination(keyed, items, id_col="doc").where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc.id").alias("_bad"), F.col("doc.hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.sha2(F.col(text_col), 256) == F.col("_hash")), "left_anti")
+    text = column(text_col)
+    keyed = docs.select(F.struct(column(id_col).alias("id"), F.sha2(text, 256).alias("hash")).alias("doc"), text.alias("text"))
+    names = free_name(docs, "bad_id"), free_name(docs, "bad_hash")
+    bad = contamination(keyed, items, id_col="doc").where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc.id").alias(names[0]), F.col("doc.hash").alias(names[1])).distinct()
+    return docs.join(small(materialise(bad, "bad")), column(id_col).eqNullSafe(F.col(names[0])) & (F.sha2(text, 256) == F.col(names[1])), "left_anti")

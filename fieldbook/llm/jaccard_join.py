@@ -1,41 +1,60 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are alike, and their components.
 
-Two sets link when 100 * |A and B| >= percent * |A or B|.  The search is a T-occurrence search: for a
-set A, a partner shares at least T = ceil(percent * |A| / 100) of A's shingles.  In an inverted index of
-a block, the T - 1 longest lists of A can be left out of the merge, since a partner then occurs in at
-least one of the others; the short lists are merged, what occurs in them is probed in the long lists by
-binary search (DivideSkip), and a pair stays when it reaches the overlap that its sizes require.
-
-Blocks come from signatures that lose no link.  Sizes fall in levels; at each level shingles are dealt
-to so many parts by hash that linked sets, which differ in few shingles, agree in some.  Documents that share a signature of a part are joined to groups; equal sets are one
-document throughout.  A group of over BLOCK documents is cut into blocks, searched pair by pair, so no
-task holds more than two blocks however large a group is.
-
-Only ids, sizes and signatures are shuffled for all documents; texts only for those in groups.
+Two sets link when 100 * |A and B| >= percent * |A or B|.  Equal sets are one node, named by a digest.
+
+1. A set that links holds percent of its shingles in common with others, so at most the rest of them
+   are its own.  Tasks deal the even half of all shingles' hashes to buckets, a few bytes each, and each
+   bucket counts, set by set, those that another set has too (within a task a shingle of several sets
+   is handed on once, so no key is hot).  Sets with too many of their own in that half are done; what is
+   left is mostly near copies.
+2. The sets left meet by signatures that lose no link: sizes fall in levels, and at each level shingles
+   are dealt to so many parts by hash that linked sets, which differ in few shingles, agree in some.
+   Sets that share a signature of a part are joined to groups.
+3. A group is searched for links by T-occurrence: for a set A, a partner shares at least
+   T = ceil(percent * |A| / 100) of A's shingles.  In an inverted index the L longest lists of A stay out
+   of the merge; the others are merged with a heap that skips what can't occur in T - L of them, and what
+   does is probed in the long lists by binary search (DivideSkip) against the overlap that its size needs.
+   All sets first meet a few leaders, which joins most of a true group; only the sets outside of its
+   largest component then meet all others.  Of the links a spanning forest is handed on, which joins the
+   same components.  Groups of over BLOCK shingles do both steps in blocks, so no task holds more than
+   two of these however large a group is, and a set is copied to few blocks.
 
 Defined cases: a document without words (or with a null text) has an empty set and links with none; one
 with fewer words than a shingle has its whole sequence as its one shingle; repeated rows of one id are
-one document with the union of their links, and every row returns; ids must not be null (such rows
-return without a component).
+one document with the union of their links (a row without words has its own id as its component even
+then), and every row returns; rows with a null id link as others do but give no component their id, so
+a component of such rows alone is null; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from fieldbook.llm.common import RollingHash, components, materialise, mix, text_chunks
-
-#: Documents of a block.
-BLOCK = 1500
+from pyspark.sql import Window as W
+
+from fieldbook.llm.common import RollingHash, column, components, free_name, materialise, mix, small, text_chunks
+
+#: Shingles of a bucket, of a task's hand-over, and of a block of a group.
+BUCKET = 8_000_000
+HELD = 1_500_000
+BLOCK = 1_000_000
+#: Buckets at least.
+BUCKETS = 64
+#: Sets of a group that all of its sets meet first.
+LEADERS = 32
+#: Weight of the longest list in the choice of how many lists are left out of the merge.
+MU = 0.02
 #: Sizes up to which signatures are of two parts together.
 PAIRED_SIZE = 40
-#: Documents in groups (four numbers each) that are broadcast to pick out their texts; beyond, both sides are shuffled.
-BROADCAST_MEMBERS = 300_000
+#: Bytes of a digest; the first eight are the set's node, by which it is told while groups form.
+DIGEST = 12
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -129,168 +148,425 @@ class Levels:
         return np.concatenate(out)
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(s.tobytes(), digest_size=DIGEST).digest()
+
+
+def node_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def even_half(s: np.ndarray) -> np.ndarray:
+    return s[s & np.uint64(1) == 0]
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
 def set_rows(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest) of each row; digest is null for an empty set."""
+    """(id, hash of the text, n_shingles, n_even, node, digest) of each row; node and digest are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(1)):
+            for i, j, data, offsets in text_chunks(batch.column(2)):
                 sets = shingle_sets(data, offsets, n)
                 digest = [digest_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["id", "n_shingles", "digest"])
+                own = [batch.column(c).slice(i, j - i) for c in (0, 1)]
+                counts = [pa.array([len(x) for x in list_], pa.int64()) for list_ in (sets, map(even_half, sets))]
+                yield pa.RecordBatch.from_arrays([*own, *counts, pa.array([d and node_of(d) for d in digest], pa.int64()), pa.array(digest, pa.binary())], names=["id", "hash", "n_shingles", "n_even", "node", "digest"])
+
+    text = column(text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(column(id_col).alias("id"), text_hash(text).alias("hash"), text.alias("text")).mapInArrow(run, f"id {kind}, hash long, n_shingles long, n_even long, node long, digest binary")
+
+
+# ---- shingles that another set has too
+
+
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of so many elements each, as bytes."""
+    at = np.concatenate([[0], np.cumsum(counts)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def dealt(digests: list[bytes], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: the sets with shingles in it, how many of these are known to be shared, 32 bits of the others, and of those that are."""
+    flat = np.concatenate(sets)
+    low_bits = lambda x: (x >> np.uint64(1)).astype(np.uint32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(flat)
+    ordered = flat[order]
+    again = ordered[1:] == ordered[:-1]
+    known = np.zeros(len(flat), bool)
+    known[order[1:][again]] = known[order[:-1][again]] = True
+    shared = np.unique(ordered[1:][again])
+    bucket_of = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = bucket_of(flat)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket, owner, known = bucket[order], owner[order], known[order]
+    low = low_bits(flat[order])[~known]
+    cell = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
+    n_known = np.add.reduceat(known.astype(np.uint32), cell, dtype=np.uint32)
+    n_low = (np.diff(np.append(cell, len(flat))) - n_known).astype(np.uint32)
+    used = np.unique(bucket)
+    upto = np.searchsorted(bucket[cell], np.append(used, buckets))
+    cells, lows = np.diff(upto), np.diff(np.concatenate([[0], np.cumsum(n_low)])[upto])
+    nodes = np.array([node_of(d) for d in digests], np.int64)[owner[cell]]
+    at = np.searchsorted(bucket_of(shared), np.append(used, buckets))
+    columns = [binaries(nodes, cells), binaries(n_known, cells), binaries(n_low, cells), binaries(low, lows), binaries(low_bits(shared), np.diff(at))]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *columns], names=["bucket", "nodes", "known", "counts", "low", "shared"])
+
+
+def counted(key: tuple, table: pa.Table) -> pa.Table:
+    """(node, excess) of the sets of one bucket of whose shingles in it another set has over half: twice these, less all."""
+    whole = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    nodes, known, counts, low = whole("nodes", np.int64), whole("known", np.uint32), whole("counts", np.uint32), whole("low", np.uint32)
+    shared = np.unique(whole("shared", np.uint32))
+    _, first = np.unique(nodes, return_index=True)  # tasks may hold equal sets
+    keep = np.zeros(len(nodes), bool)
+    keep[first] = True
+    owner = np.repeat(np.arange(len(nodes)), counts)
+    mine = keep[owner]
+    packed = low[mine].astype(np.uint64) << np.uint64(32) | owner[mine].astype(np.uint64)
+    packed.sort()
+    value, owner = packed >> np.uint64(32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    both = np.zeros(len(value), bool)
+    again = value[1:] == value[:-1]
+    both[1:] |= again
+    both[:-1] |= again
+    if len(shared):
+        both |= shared[np.minimum(np.searchsorted(shared, value), len(shared) - 1)] == value
+    excess = 2 * np.bincount(owner[both], minlength=len(nodes)) + known.astype(np.int64) - counts
+    found = np.flatnonzero(keep & (excess > 0))
+    return pa.table({"node": pa.array(nodes[found]), "excess": pa.array(excess[found], pa.int64())})
+
+
+def shared_excess(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataFrame:
+    """(node, excess) by set, over the buckets where it is above 0: by how much the even shingles that another set has are more than those that none has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # equal sets of a task count once; what is past this bound, the bucket tells
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0)):
+                for s in shingle_sets(data, offsets, n):
+                    half = even_half(s)
+                    if not len(half) or (d := digest_of(s)) in seen or d in held:
+                        continue
+                    held[d] = half
+                    size += len(half)
+                if size >= HELD:
+                    yield dealt(list(held), list(held.values()), buckets)
+                    if len(seen) < 500_000:
+                        seen.update(held)
+                    held, size = {}, 0
+        if held:
+            yield dealt(list(held), list(held.values()), buckets)
+
+    rows = docs.select(column(text_col).alias("text")).mapInArrow(run, "bucket int, nodes binary, known binary, counts binary, low binary, shared binary")
+    return rows.groupBy("bucket").applyInArrow(counted, "node long, excess long").groupBy("node").agg(F.sum("excess").alias("excess"))
+
+
+def able_sets(docs: DataFrame, rows: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(digest, node, shingles binary) of the sets that have enough in common with others to link with one.
+
+    In a bucket without excess a set shares half at most, so over all (n_even + excess) / 2 at most are
+    shared; the others are its own, which no partner has: they are (100 - percent) / 100 of it at most.
+    """
+    total = rows.agg(F.sum("n_even")).first()[0] or 0
+    excess = shared_excess(docs, n, text_col, max(BUCKETS, -(-total // BUCKET)))
+    one = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n_shingles").alias("size"), F.first("n_even").alias("even"), F.first("node").alias("node"))
+    own = (F.col("even") - F.coalesce("excess", F.lit(0))) / 2
+    able = one.join(excess, "node", "left").where(own * 100 <= F.col("size") * (100 - percent))
+    able = materialise(able.select("digest", F.col("row.id").alias("own"), F.col("row.hash").alias("own_hash")), "able")
+    texts = docs.select(column(id_col).alias("id"), text_hash(column(text_col)).alias("hash"), column(text_col).alias("text"))
+    texts = texts.join(small(able), F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash"))).select("digest", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch.column(1)):
+                sets = shingle_sets(data, offsets, n)
+                digest = batch.column(0).slice(i, j - i)
+                node = [node_of(d) for d in digest.to_pylist()]
+                yield pa.RecordBatch.from_arrays([digest, pa.array(node, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "node", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary")
+    return materialise(texts.mapInArrow(run, "digest binary, node long, shingles binary").dropDuplicates(["digest"]), "able-sets")
 
 
-def digest_of(s: np.ndarray) -> bytes:
-    import hashlib
+def sets_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
-    return hashlib.blake2b(s.tobytes(), digest_size=12).digest()
 
+# ---- groups
 
-def signature_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(sign, id); of equal sets in one task only the first gives rows."""
+
+def signature_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(sign, open, a, b): of the sets of one signature that a task holds the first goes on with it (open, a = b), the others are joined to it."""
     levels = Levels(percent)
 
+    def handed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sign, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, sign))
+        sign, node = sign[order], node[order]
+        head = np.concatenate([[True], sign[1:] != sign[:-1]])
+        first = node[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        pairs = np.unique(np.stack([first[~head], node[~head]], 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        salt = mix(pairs[:, 0].view(np.uint64) * np.uint64(3) + pairs[:, 1].view(np.uint64)).view(np.int64)
+        open_ = np.repeat([True, False], [head.sum(), len(pairs)])
+        columns = [np.concatenate(x) for x in ((sign[head].view(np.int64), salt), (node[head], pairs[:, 0]), (node[head], pairs[:, 1]))]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(open_), pa.array(columns[1]), pa.array(columns[2])], names=["sign", "open", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in text_chunks(batch.column(1)):
-                signs, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for k, s in enumerate(shingle_sets(data, offsets, n), i):
-                    if len(s) and (d := digest_of(s)) not in seen:
-                        if len(seen) < 500_000:
-                            seen.add(d)
-                        signs.append(levels.signatures(s))
-                        whose.append(np.full(len(signs[-1]), ids[k], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(whose))], names=["sign", "id"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").mapInArrow(run, "sign long, id long")
-
-
-def divide_skip(index: list[np.ndarray], queries: list[np.ndarray], percent: int, skip) -> Iterator[tuple[int, int]]:
-    """(query, indexed) pairs that link; skip(query, candidates) says which need no look."""
-    if not index:
+            for node, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True):
+                signs = levels.signatures(s)
+                held.append((signs, np.full(len(signs), node, np.int64)))
+                size += len(signs)
+                if size >= HELD:
+                    yield handed_on(held)
+                    held, size = [], 0
+        if size:
+            yield handed_on(held)
+
+    return sets.select("node", "shingles").mapInArrow(run, "sign long, open boolean, a long, b long")
+
+
+def grouped(sets: DataFrame, percent: int) -> DataFrame:
+    """(g, k, digest, shingles) of the sets in groups, which are cut into k blocks."""
+    first = F.min("a").over(W.partitionBy("sign", "open").orderBy("a").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = materialise(signature_rows(sets, percent).select(first.alias("a"), "b").where("a <> b").distinct(), "near")
+    groups = materialise(components(near, "groups"), "group-of")
+    roots = groups.select(F.col("component").alias("node"), F.col("component").alias("g")).distinct()
+    members = groups.select("node", F.col("component").alias("g")).unionByName(roots)
+    placed = sets.join(materialise(members, "members"), "node")
+    weight = placed.groupBy("g").agg(F.ceil(F.sum(F.length("shingles")) / (8 * BLOCK)).cast("int").alias("k"))
+    return materialise(placed.join(weight, "g").select("g", "k", "digest", "shingles"), "groups")
+
+
+# ---- the search
+
+
+class Postings:
+    """Inverted lists: for each shingle the places of the sets that hold it, rising."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.places = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order].tolist()
+        self.shingles, start = np.unique(flat[order], return_index=True)
+        self.bounds = np.append(start, len(flat))
+        self.sizes = [len(s) for s in sets]
+
+    def lists(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the lists of a set's shingles, short ones first."""
+        if not len(self.shingles):
+            return []
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        at = at[self.shingles[at] == s]
+        start, end = self.bounds[at], self.bounds[at + 1]
+        order = np.argsort(end - start, kind="stable")
+        return list(zip(start[order].tolist(), end[order].tolist(), strict=True))
+
+
+def merge_skip(places: list[int], lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+    """(place, lists that hold it) of what is in at least so many of the lists, rising: a heap of their fronts."""
+    heap = [(places[a], a, b) for a, b in lists]
+    heapify(heap)
+    while len(heap) >= least:
+        place = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == place:
+            popped.append(heappop(heap))
+        if len(popped) >= least:
+            yield place, len(popped)
+            ahead = place + 1
+        else:  # with the next few fronts it would still be too few up to what stands behind them
+            while len(popped) < least - 1:
+                popped.append(heappop(heap))
+            ahead = heap[0][0]
+        for _, a, b in popped:
+            a = bisect_left(places, ahead, a, b)
+            if a < b:
+                heappush(heap, (places[a], a, b))
+
+
+def divide_skip(index: Postings, s: np.ndarray, percent: int, wanted: Callable[[int], bool]) -> Iterator[int]:
+    """Places of the sets in the index that link with s, of those wanted when they are met."""
+    need = -(-percent * len(s) // 100)
+    lists = index.lists(s)
+    if len(lists) < need:
         return
-    sizes = np.array([len(s) for s in index])
-    flat = np.concatenate(index)
-    order = np.argsort(flat, kind="stable")  # inverted lists: rows rise within a shingle
-    shingles, rows = flat[order], np.repeat(np.arange(len(index)), sizes)[order]
-    keys, heads, counts = np.unique(shingles, return_index=True, return_counts=True)
-    for q, s in enumerate(queries):
-        need = -(-percent * len(s) // 100)
-        at = np.searchsorted(keys, s)
-        at = at[(at < len(keys))]
-        at = at[np.isin(keys[at], s)] if len(at) else at
-        at = np.unique(at)
-        if len(at) < need:
+    longest = lists[-1][1] - lists[-1][0]
+    left_out = min(need - 1, int(need / (MU * math.log2(longest + 1) + 1)))
+    short, long_ = lists[: len(lists) - left_out], lists[len(lists) - left_out :]
+    places = index.places
+    for place, hits in merge_skip(places, short, need - left_out):
+        size = index.sizes[place]
+        if size * 100 < percent * len(s) or len(s) * 100 < percent * size or not wanted(place):
             continue
-        at = at[np.argsort(counts[at], kind="stable")]  # short lists first
-        cut = len(at) - (need - 1)  # at most need - 1 long lists stay out of the merge
-        short, long_lists = at[:cut], at[cut:]
-        merged = np.concatenate([rows[heads[k] : heads[k] + counts[k]] for k in short.tolist()])
-        found, hits = np.unique(merged, return_counts=True)
-        fits = (sizes[found] * 100 >= percent * len(s)) & (len(s) * 100 >= percent * sizes[found])
-        found, hits = found[fits], hits[fits]
-        need_pair = -(-percent * (len(s) + sizes[found]) // (100 + percent))
-        able = hits + len(long_lists) >= need_pair
-        found, hits, need_pair = found[able], hits[able], need_pair[able]
-        wanted = ~skip(q, found)
-        found, hits, need_pair = found[wanted], hits[wanted], need_pair[wanted]
-        for done, k in enumerate(long_lists.tolist()):  # probe the long lists
-            if not len(found):
+        missing = -(-percent * (len(s) + size) // (100 + percent)) - hits
+        for done, (a, b) in enumerate(long_):
+            if missing <= 0 or missing > len(long_) - done:
                 break
-            posting = rows[heads[k] : heads[k] + counts[k]]
-            place = np.minimum(np.searchsorted(posting, found), len(posting) - 1)
-            hits = hits + (posting[place] == found)
-            if done % 8 == 7:
-                still = hits + (len(long_lists) - done - 1) >= need_pair
-                found, hits, need_pair = found[still], hits[still], need_pair[still]
-        for r in found[hits >= need_pair].tolist():
-            yield q, r
+            a = bisect_left(places, place, a, b)
+            missing -= a < b and places[a] == place
+        if missing <= 0:
+            yield place
 
 
-def search_block(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the documents of a block pair: those of a spanning forest of all of its links.
+class Forest:
+    """Components of sets, and the links that joined them."""
 
-    side: 0 for the first block, 1 for the second, or 0 throughout where a block meets itself.
-    """
-    parent = list(range(len(ids)))
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.parent = [first.setdefault(x, k) for k, x in enumerate(labels)]
+        self.count = len(first)
+        self.links: list[tuple[int, int]] = []
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    links = []
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    two = bool(side.any())
-    left = order[side[order] == 0]
-    right = order[side[order] == 1] if two else left
-
-    def skip(q: int, found: np.ndarray) -> np.ndarray:
-        own = root(int(right[q]))
-        return np.array([root(int(left[r])) == own for r in found], bool)
-
-    for q, r in divide_skip([sets[k] for k in left], [sets[k] for k in right], percent, skip):
-        a, b = root(int(left[r])), root(int(right[q]))
-        if a != b:
-            parent[a] = b
-            links.append((int(ids[left[r]]), int(ids[right[q]])))
-    return links
-
-
-def links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows of set_rows, edges (a, b)): the edges join exactly what all links join."""
+    def search(self, sets: list[np.ndarray], indexed: Iterable[int], queries: Iterable[int], percent: int) -> None:
+        indexed = list(indexed)
+        index = Postings([sets[k] for k in indexed])
+        for q in queries:
+            if self.count == 1:
+                return
+            for place in divide_skip(index, sets[q], percent, lambda p, q=q: self.root(indexed[p]) != self.root(q)):
+                a, b = self.root(indexed[place]), self.root(q)
+                if a != b:
+                    self.parent[b] = a
+                    self.count -= 1
+                    self.links.append((indexed[place], q))
+
+    def rest(self) -> list[int]:
+        """All outside of the largest component."""
+        roots = np.array([self.root(k) for k in range(len(self.parent))])
+        return np.flatnonzero(roots != np.argmax(np.bincount(roots))).tolist()
+
+
+def found(forest: Forest, digests: list[bytes]) -> pa.Table:
+    return pa.table({"a": pa.array([digests[a] for a, _ in forest.links], pa.binary()), "b": pa.array([digests[b] for _, b in forest.links], pa.binary())})
+
+
+def joined(sets: list[np.ndarray], percent: int) -> Forest:
+    """The components of a whole group."""
+    forest = Forest(list(range(len(sets))))
+    forest.search(sets, range(min(LEADERS, len(sets))), range(len(sets)), percent)
+    if len(sets) > LEADERS and (rest := forest.rest()):
+        forest.search(sets, range(len(sets)), rest, percent)
+    return forest
+
+
+def near_links(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) of digests that join what all links join: stars around the least of a component, and others of groups in blocks, if any."""
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("digest")
+        forest = joined(sets_of(table["shingles"]), percent)
+        digests = table["digest"].to_pylist()
+        least: dict[int, bytes] = {}
+        stars = [(least.setdefault(forest.root(k), d), d) for k, d in enumerate(digests)]  # by digest: the first is the least
+        stars = [(a, b) for a, b in stars if a != b]
+        return pa.table({"a": pa.array([a for a, _ in stars], pa.binary()), "b": pa.array([b for _, b in stars], pa.binary())})
+
+    def between(key: tuple, table: pa.Table) -> pa.Table:
+        """Sets of a block (side 1) as queries against the leaders, or as an index for the sets outside (side 0)."""
+        table = table.sort_by([("side", "ascending"), ("digest", "ascending")])
+        digests, sets, side = table["digest"].to_pylist(), sets_of(table["shingles"]), table["side"].to_numpy()
+        forest = Forest(table["label"].to_pylist())
+        few_, many = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
+        indexed, queries = (few_, many) if key[1].as_py() < 0 else (many, few_)
+        forest.search(sets, indexed, queries, percent)
+        return found(forest, digests)
+
+    schema = "a binary, b binary"
+    within = groups.where("k = 1").groupBy("g").applyInArrow(whole, schema)
+    large = materialise(groups.where("k > 1").withColumn("j", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")), "large-groups")
+    if large.isEmpty():
+        return within, None
+    every = lambda df, k, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    nth = F.row_number().over(W.partitionBy("g").orderBy("digest"))
+    leaders = large.select("g", "digest").withColumn("nth", nth).where(F.col("nth") <= LEADERS).select("g", "digest")
+    leaders = every(large.join(leaders, ["g", "digest"], "left_semi").drop("j"), "k", "j")
+    fields = ["g", "i", "j", "side", "digest", "label", "shingles"]
+    sided = lambda df, side, i, label: df.select("g", i.alias("i"), "j", F.lit(side).alias("side"), "digest", label.alias("label"), "shingles").select(fields)
+    led = sided(leaders, 0, F.lit(-1), F.col("digest")).unionByName(sided(large, 1, F.lit(-1), F.col("digest")))
+    first = materialise(led.groupBy("g", "i", "j").applyInArrow(between, schema), "led")
+
+    labels = components(first, "led").select(F.col("node").alias("digest"), "component")
+    labelled = large.join(labels, "digest", "left").withColumn("label", F.coalesce("component", "digest"))
+    main = labelled.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+    labelled = materialise(labelled.join(main, "g").select("g", "k", "j", "digest", "label", "main", "shingles"), "labelled")
+    outside = labelled.where("label <> main")
+    pieces = materialise(outside.groupBy("g").agg(F.ceil(F.sum(F.length("shingles")) / (8 * BLOCK)).cast("int").alias("pieces")), "pieces")
+    if pieces.isEmpty():
+        return within, first
+    cut = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("pieces")).cast("int")
+    queries = sided(every(outside.join(pieces, "g").drop("j"), "k", "j"), 0, cut, F.col("label"))
+    index = every(labelled.join(pieces, "g"), "pieces", "i")
+    index = sided(index, 1, F.col("i"), F.col("label"))
+    second = queries.unionByName(index).groupBy("g", "i", "j").applyInArrow(between, schema)
+    return within, first.unionByName(second)
+
+
+# ---- what callers take
+
+
+def row_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of set_rows with their class: a digest, equal for all that links and equal ids join (null: an empty set)."""
     rows = materialise(set_rows(docs, n, id_col, text_col), "sets")
-    same = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("a"))
-    equal = rows.where("id is not null").join(same, "digest").where("id <> a").select("a", F.col("id").alias("b"))
-
-    signs = signature_rows(docs, n, percent, id_col, text_col)
-    # sorted by signature in each task: the first document of a signature is joined to the others
-    from pyspark.sql import Window as W
-
-    first = F.min("id").over(W.partitionBy("sign").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    near = signs.select(first.alias("a"), F.col("id").alias("b")).where("a < b").distinct()
-    near = materialise(near, "near")
-    groups = materialise(components(near, "groups"), "group-of")
-    members = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("g"))).distinct()
-    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    placed = materialise(members.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")), "placed")
-    if placed.count() <= BROADCAST_MEMBERS:
-        placed = F.broadcast(placed)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(placed, "id")
-    paired = texts.select("id", "text", "g", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    paired = paired.select("id", "text", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def search(key, table):
-        first = {}
-        for k, x in enumerate(table["id"].to_pylist()):
-            first.setdefault(x, k)
-        table = table.take(pa.array(sorted(first.values()), pa.int64())) if len(first) < table.num_rows else table
-        ids, sets = table["id"].to_numpy(), []
-        for _, _, data, offsets in text_chunks(table["text"]):
-            sets.extend(shingle_sets(data, offsets, n))
-        i, j = key[1].as_py(), key[2].as_py()
-        side = (table["own"].to_numpy() == j).astype(int) if i != j else np.zeros(len(ids), int)
-        found = search_block(ids, sets, side, percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    close = paired.groupBy("g", "i", "j").applyInArrow(search, "a long, b long")
-    return rows, materialise(equal.unionByName(close), "links")
+    stars, more = near_links(grouped(able_sets(docs, rows, n, percent, id_col, text_col), percent), percent)
+    alike = rows.where("digest is not null and id is not null")
+    unlike = alike.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("id", "a")
+    same_id = materialise(alike.join(unlike, "id").where("a <> digest").select("a", F.col("digest").alias("b")), "same-id")
+    if more is None and same_id.isEmpty():
+        class_of = materialise(stars.select(F.col("b").alias("node"), F.col("a").alias("component")), "classes")
+    else:
+        edges = stars.unionByName(same_id)
+        class_of = components(edges if more is None else edges.unionByName(more), "classes")
+    class_of = class_of.select(F.col("node").alias("member"), "component")
+    return materialise(rows.join(class_of, F.col("digest") == F.col("member"), "left").select("id", "hash", "n_shingles", "digest", F.coalesce("component", "digest").alias("class")), "row-classes")
+
+
+def with_class(rows: DataFrame, of_class: DataFrame) -> DataFrame:
+    """rows joined with a table (class, n, ...) of some classes of n rows, inner; classes with over a thousandth of all rows are a thousand at most and broadcast."""
+    of_class = materialise(of_class, "of-class")
+    bound = rows.count() // 1000
+    hot = F.broadcast(of_class.where(F.col("n") > bound))
+    return rows.join(hot, "class").unionByName(rows.join(hot, "class", "left_anti").join(of_class.where(F.col("n") <= bound), "class"))
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row: the smallest id reachable by links."""
-    rows, edges = links(docs, n, percent, id_col, text_col)
-    found = components(edges, "classes")
-    return rows.join(found, rows["id"] == found["node"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    rows = row_classes(docs, n, percent, id_col, text_col)
+    alone = rows.where("class is null").select("id", "n_shingles", F.col("id").alias("least"))
+    least = rows.where("class is not null").groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    found = with_class(rows, least).select("id", "n_shingles", "least").unionByName(alone)
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that link, directly or not, to one of a smaller id; of repeated ids one row stays."""
-    _, edges = links(docs, n, percent, id_col, text_col)
-    gone = components(edges, "classes").where("node <> component").select("node")
-    return docs.join(gone, F.col(id_col) == F.col("node"), "left_anti")
+    """One row of each class of docs: that of the smallest id (null ids last), of repeated rows any one; rows with an empty set all stay."""
+    rows = row_classes(docs, n, percent, id_col, text_col)
+    best = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    marked = with_class(rows, best).withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash")))
+    told = materialise(marked.groupBy("id", "hash", "stays").agg(F.count("*").alias("times")).where("not stays or times > 1"), "told")
+    names = free_name(docs, "own_id"), free_name(docs, "own_hash")
+    key = lambda df: df.select(F.col("id").alias(names[0]), F.col("hash").alias(names[1]))
+    same = column(id_col).eqNullSafe(F.col(names[0])) & (text_hash(column(text_col)) == F.col(names[1]))
+    kept = docs.join(small(key(told.where("not stays"))), same, "left_anti")
+    twice = told.where("stays")
+    if twice.isEmpty():
+        return kept
+    return kept.join(small(key(twice)), same, "left_anti").union(kept.join(small(key(twice)), same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import small_batches, text_chunks
+from fieldbook.llm.common import column, small_batches, text_chunks
 
 #: Cells that grams of one to three bytes are hashed to.
 CELLS = 1 << 14
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Mod
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, lang_pred, score, ambiguous) of each row."""
+    """(id, lang_pred, score, ambiguous) of each row; with columns to keep, the id as _id and these as _k0, _k1 and so on before the last three."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times CELLS numbers
 
@@ -150,11 +150,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 kept = [n for n in batch.schema.names if n not in ("_text", "_lettered")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(unsure | ~lettered)], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    chosen = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_k_{c}") for c in keep], F.col(text_col).alias("_text"), has_letter.alias("_lettered"))
+    has_letter = F.coalesce(column(text_col).rlike(r"\p{L}"), F.lit(False))
+    chosen = docs.select(column(id_col).alias("_id"), *[column(c).alias(f"_k{k}") for k, c in enumerate(keep)], column(text_col).alias("_text"), has_letter.alias("_lettered"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name not in ("_text", "_lettered"))
     out = chosen.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_k_{c}").alias(f"_kept_{c}") for c in keep], "lang_pred", "score", "ambiguous")
+    return out.withColumnRenamed("_id", id_col) if not keep else out
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -169,6 +169,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is told; `und` and ambiguous ones go."""
-    rest = tuple(c for c in docs.columns if c != id_col)
-    told = predict(docs, model, id_col, text_col, rest).where("lang_pred <> 'und' and not ambiguous")
-    return told.select(*[F.col(c) if c == id_col else F.col(f"_kept_{c}").alias(c) for c in docs.columns])
+    told = predict(docs, model, id_col, text_col, tuple(docs.columns)).where("lang_pred <> 'und' and not ambiguous")
+    return told.select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(docs.columns)])

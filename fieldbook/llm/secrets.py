@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import small_batches, text_chunks
+from fieldbook.llm.common import column, small_batches, text_chunks
 
 
 @dataclass(frozen=True)
@@ -188,8 +188,18 @@ class Index:
         return {g: rows[cuts[k] : cuts[k + 1]] for k, g in enumerate(self.wanted)}
 
 
-def _scan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[str]) -> DataFrame:
-    """(_k_ and each kept column, _spans array<struct<kind, start, end>>) of each row, spans in order."""
+def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
+    """text with the mask for each span (start, rule, end), which come in order; overlapping ones are one."""
+    parts, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            parts += [text[at:a], mask]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def _scan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[str], mask: str | None = None) -> DataFrame:
+    """(the kept columns as _k0, _k1 and so on, spans array<struct<kind, start, end>>) of each row, spans in order; with a mask, _text in place of spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = [trigram_query(r.pattern) for r in rules]
@@ -207,19 +217,24 @@ def _scan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: list[st
                         if (text := texts.get(row)) is None:
                             text = texts[row] = raw[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")
                         spans[row].extend((m.start(), k, m.end()) for m in pattern.finditer(text) if rule.holds(m))
-                out = pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(s)] for s in spans], pa.list_(kind))
                 columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns) if c != text_at]
-                yield pa.RecordBatch.from_arrays([*columns, out], names=[n for n in batch.schema.names if n != "_text"] + ["_spans"])
+                if mask is None:
+                    out = pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(s)] for s in spans], pa.list_(kind))
+                else:
+                    out = batch.column(text_at).slice(i, j - i)
+                    if any(spans):
+                        out = pa.array([masked(texts[k], sorted(spans[k]), mask) if spans[k] else t for k, t in enumerate(out.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, out], names=[n for n in batch.schema.names if n != "_text"] + ["spans" if mask is None else "_text"])
 
     small_batches(docs.sparkSession)
-    chosen = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text")
-    return chosen.mapInArrow(run, f"{schema}, _spans array<struct<kind: string, start: int, end: int>>")
+    chosen = docs.select(*[column(c).alias(f"_k{k}") for k, c in enumerate(keep)], column(text_col).alias("_text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema if f.name != "_text")
+    return chosen.mapInArrow(run, schema + ("spans array<struct<kind: string, start: int, end: int>>" if mask is None else "_text string"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of each row, spans in order."""
-    return _scan(docs, rules, text_col, [id_col]).select(F.col(f"_k_{id_col}").alias(id_col), F.col("_spans").alias("spans"))
+    return _scan(docs, rules, text_col, [id_col]).withColumnRenamed("_k0", id_col)
 
 
 def joined(spans: Column) -> Column:
@@ -236,15 +251,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs with every span of text_col replaced by the mask; overlapping spans count as one."""
-    found = _scan(docs, RULES, text_col, docs.columns)
-
-    def cut(text: Column, spans: Column) -> Column:
-        start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-        step = lambda a, x: F.struct(
-            F.when(x["start"] >= a["at"], F.concat(a["done"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(a["done"]).alias("done"),
-            F.greatest(a["at"], x["end"]).alias("at"),
-        )
-        return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
-
-    text = F.when(F.size("_spans") > 0, cut(F.col(f"_k_{text_col}"), F.col("_spans"))).otherwise(F.col(f"_k_{text_col}"))
-    return found.select(*[text.alias(c) if c == text_col else F.col(f"_k_{c}").alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != text_col]
+    found = _scan(docs, RULES, text_col, rest, mask)
+    return found.select(*[F.col("_text" if c == text_col else f"_k{rest.index(c)}").alias(c) for c in docs.columns])

@@ -182,7 +182,8 @@ def test_jaccard_join(docs, empty, spark, monkeypatch, n, percent):
     expected = brute_components(rows, n, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table, n, percent).collect()}
     assert got == expected
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)  # large groups are searched block by block
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6000)  # large groups are searched block by block
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table, n, percent).collect()} == expected
     assert jaccard_join.classes(empty, n, percent).count() == 0
     kept = {r.doc_id for r in jaccard_join.one_of_each(table, n, percent).collect()}
@@ -200,6 +201,56 @@ def test_signatures_meet_for_every_linked_pair():
             assert len(np.intersect1d(levels.signatures(a), levels.signatures(b)))
 
 
+def test_documents_of_repeated_null_and_other_ids(spark):
+    a, b = prose(31, 60), prose(32, 60)
+    rows = [(5, a), (5, b), (5, b), (6, a + " neu"), (7, b + " neu"), (None, a + " alt"), (None, prose(33, 40)), (8, None), (8, None), (9, prose(34, 3))]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in rows], "doc_id long, text string, node long, id long, hash long, `a.b` string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.classes(docs, 4, 85).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (None, 5), (None, None), (8, 8), (8, 8), (9, 9)], key=str)
+    kept = jaccard_join.one_of_each(docs, 4, 85)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(i for i, _ in kept if i) == [5, 8, 8, 9] and [t for i, t in kept if i is None] == [prose(33, 40)]
+    text_ids = spark.createDataFrame([("k" + str(i), t) for i, t in rows if i], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(text_ids, 4, 85).collect()} == {"k5": "k5", "k6": "k5", "k7": "k5", "k8": "k8", "k9": "k9"}
+    only = spark.createDataFrame([(1, a)] * 3 + [(2, "x")] * 2, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(only, 4, 85).collect()) == [1, 2]
+
+
+def test_shared_excess_against_brute_force(spark, monkeypatch):
+    texts_ = near_copies(1, 30, 60, 3) + near_copies(2, 20, 300, 8) + [prose(k, 50) for k in range(20)] + [prose(3, 50)] * 4
+    data = [t.encode() for t in texts_]
+    made = jaccard_join.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]), 4)
+    sets = {jaccard_join.digest_of(s): [int(h) for h in s if h % 2 == 0] for s in made}
+    owners = Counter(h for s in sets.values() for h in s)
+    table = spark.createDataFrame([(t,) for t in texts_], "text string").repartition(3)
+    for held, buckets in ((10**6, 1), (500, 7), (50, 70000)):
+        expected = {}
+        for d, s in sets.items():
+            cells = {}
+            for h in s:
+                cells.setdefault((h >> 32) * buckets >> 32, []).append(owners[h] > 1)
+            total = sum(max(0, 2 * sum(c) - len(c)) for c in cells.values())
+            if total:
+                expected[jaccard_join.node_of(d)] = total
+        monkeypatch.setattr(jaccard_join, "HELD", held)
+        assert {r.node: r.excess for r in jaccard_join.shared_excess(table, 4, "text", buckets).collect()} == expected and expected
+
+
+def test_divide_skip_against_brute_force():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.choice(60, r.integers(1, 50), replace=False).astype(np.uint64)) for _ in range(80)]
+    sets += [np.unique(np.concatenate([s[r.random(len(s)) > 0.05], r.integers(0, 60, 1).astype(np.uint64)])) for s in sets[:40]]
+    index = jaccard_join.Postings(sets)
+    for percent in (50, 80, 85, 100):
+        for s in sets:
+            both = [len(np.intersect1d(s, x)) for x in sets]
+            expected = [k for k, x in enumerate(sets) if 100 * both[k] >= percent * (len(s) + len(x) - both[k])]
+            assert list(jaccard_join.divide_skip(index, s, percent, lambda p: True)) == expected
+            lists = index.lists(s)
+            assert dict(jaccard_join.merge_skip(index.places, lists, 3)) == {k: b for k, b in enumerate(both) if b >= 3}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges, "t").collect()}
@@ -400,6 +451,21 @@ def test_decontamination_goes_by_row(items, spark):
     assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if r[1] != bad)
 
 
+def test_stages_keep_columns_of_any_name(spark, items):
+    names = "doc_id long, text string, lang string, `a.b` string, node long, `_bad` int, `_k0` string, spans array<string>, own_id long"
+    rows = [(i, prose(i, 30), "en", "x", 1, 2, "k", ["s"], 3) for i in range(6)] + [(None, None, None, None, None, None, None, None, None), (9, "token=abcdefgh x", "en", "x", 1, 2, "k", [], 3)]
+    docs = spark.createDataFrame(rows, names)
+    stages = [language_id.accepted(docs, language_id.fit(docs)), jaccard_join.one_of_each(docs), decontamination.decontaminated(docs, items), secrets.redacted(docs)]
+    for got in stages:
+        assert got.schema.simpleString() == docs.schema.simpleString()
+        assert {tuple(map(str, r))[2:] for r in got.collect() if r.doc_id == 0} == {tuple(map(str, rows[0]))[2:]}
+    assert {r.text for r in stages[3].collect()} == {r[1] for r in rows[:7]} | {"[SECRET] x"}
+
+
+def test_masks_of_overlapping_spans():
+    assert secrets.masked("abcdefgh", [(1, 0, 3), (2, 1, 5), (5, 0, 6)], "*") == "a**gh"
+
+
 def test_rows_of_one_id_with_unlike_texts(spark):
     phrase = prose(3, 40)
     rows = [(i, prose(100 + i, 20) + " " + phrase + " " + prose(900 + i, 20)) for i in range(20)] + [(5, "short"), (6, prose(6, 30)[:130])]
