@@ -1,5 +1,6 @@
 """Text operators against brute force on a small fixture with the awkward cases, and on empty tables."""
 
+import base64
 import hashlib
 import inspect
 import random
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from fieldbook.llm import byte_bpe, common, compression_rules, decontamination, jaccard_join, language_id, licenses, quality_model, run_length_dedup, secrets, surrogates
 
@@ -26,6 +28,12 @@ def prose(seed, n, letters="abcdefghij"):
     return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(n))
 
 
+#: English of the usual kind.
+PLAIN = """The river had been rising for three days when the people of the lower village began to carry their things up the hill. Nobody gave an order and
+nobody asked for help, but by noon a long line of carts, bicycles and wheelbarrows stood along the road, and children ran up and down beside it with news
+that was mostly wrong. An old man who kept bees refused to leave before dusk, because the hives must not be moved while the sun is up; two of his
+neighbours stayed with him, grumbling, and helped when the light was gone. In the morning the square was a lake, brown and quite still. What surprised
+everybody later was how little had been lost: some hay, a boat, a piano that had stood in the school since before the war."""
 ITEMS = [(1, prose(1, 40)), (2, "Kurz und GUT"), (3, None), (4, ""), (5, prose(5, 13)), (5, prose(5, 13)), (6, "...")]
 BASE = prose(7, 120)
 TEXTS = [
@@ -182,10 +190,11 @@ def test_jaccard_join(docs, empty, spark, monkeypatch, n, percent):
     expected = brute_components(rows, n, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table, n, percent).collect()}
     assert got == expected
-    monkeypatch.setattr(jaccard_join, "BLOCK", 6000)  # large groups are searched block by block
-    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table, n, percent).collect()} == expected
-    assert jaccard_join.classes(empty, n, percent).count() == 0
+    if n == 4:
+        monkeypatch.setattr(jaccard_join, "BLOCK", 6000)  # large groups are searched block by block
+        monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table, n, percent).collect()} == expected
+        assert jaccard_join.classes(empty, n, percent).count() == 0
     kept = {r.doc_id for r in jaccard_join.one_of_each(table, n, percent).collect()}
     assert kept == {i for i, (_, c) in expected.items() if c == i}
 
@@ -371,6 +380,9 @@ def test_byte_bpe_round_trip_and_tiktoken(docs, empty, spark):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), i
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert byte_bpe.digests(spark, empty, path, public_tokenizers.PATTERN).count() == 0
+    ranks = byte_bpe.load_ranks(path)
+    apart = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in apart.collect()} == {i: t or "" for i, t in texts()}
 
 
 def test_compression_rules(docs, empty):
@@ -385,7 +397,16 @@ def test_compression_rules(docs, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)), i
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert not (r.base_failed and r.kept)
-    assert got[16].kept and not got[37].kept and got[61].reason == "base"
+        raw, ratio = t.encode(), lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b) if b else 1.0
+        cuts = sorted({raw[k : k + 1024] for k in [*range(0, len(raw) - 1023, 1024), max(0, len(raw) - 1024)]}) if len(raw) >= 1024 else []
+        low, high = [(a, b) for n, a, b in compression_rules.BANDS if len(raw) >= n][-1]
+        all_cuts = [raw[k : k + 1024] for k in range(0, len(raw) - 1023, 1024)] + ([raw[-1024:]] if cuts and len(raw) % 1024 else [])
+        outside = [sum(ratio(c) < 0.48 for c in all_cuts), sum(ratio(c) > 0.7 for c in all_cuts)]
+        fine = low <= ratio(raw) <= high and not any(10 * x > 3 * len(all_cuts) for x in outside)
+        assert r.kept == (fine and not r.base_failed) and r.chunk_min == (min(map(ratio, cuts)) if cuts else None), i
+    assert not got[37].kept and got[61].reason == "base"
+    table = docs.sparkSession.createDataFrame([(1, PLAIN), (2, " ".join(prose(k % 12, 9) for k in range(60))), (3, " ".join(base64.b64encode(hashlib.sha256(bytes([k])).digest()).decode() for k in range(60)))], "doc_id long, text string")
+    assert {i: r.reason for i, r in by_id(compression_rules.judge(table)).items()} == {1: "", 2: "base", 3: "incompressible"}
     assert compression_rules.verdict(5000, 0.05, [], compression_rules.Rules()) == "repetitive"
     assert compression_rules.verdict(5000, 0.99, [], compression_rules.Rules()) == "incompressible"
     assert compression_rules.judge(empty).count() == 0
