@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import small_batches, string_chunks
+from fieldbook.llm.common import column, small_batches, string_chunks
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -184,46 +184,89 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-#: The table of the last vocabulary that this worker used.
+#: What this worker made of the last vocabulary.
 _tables: dict[str, PairTable] = {}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of each row."""
-    small_batches(docs.sparkSession)
-    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex  # a vocabulary file: its size is fixed
+class Encoder:
+    """Ids of texts; pieces that came before are remembered."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, ranks: dict[bytes, int], name: str, pattern: str):
         import regex
 
         if name not in _tables:
             _tables.clear()
-            _tables[name] = PairTable(shared.value)
-        table, cut, known = _tables[name], regex.compile(pattern), {}
-        flat, starts, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            _tables[name] = PairTable(ranks)
+        self.table, self.cut = _tables[name], regex.compile(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        known, first = self.known, len(self.known)
+        which, counts = [], []
+        for text in texts:
+            pieces = self.cut.findall(text)
+            which.extend([known.setdefault(p, len(known)) for p in pieces])
+            counts.append(len(pieces))
+        if len(known) > first:
+            fresh, sizes = encode_pieces(self.table, [p.encode() for p in islice(known, first, None)])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.lengths = np.concatenate([self.lengths, sizes])
+            self.flat = np.concatenate([self.flat, fresh])
+        which = np.array(which, np.int64)
+        of_piece = np.concatenate([[0], np.cumsum(self.lengths[which])])
+        of_text = of_piece[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        ids = gather(self.flat, self.starts[which], self.lengths[which])
+        return pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), pa.array(ids, pa.int32()))
+
+
+class Decoder:
+    """Bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values()) + 1
+        tokens = [b""] * self.size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.known = np.array([len(t) for t in tokens], np.int64)
+        self.at = np.cumsum(self.known) - self.known
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> list[bytes]:
+        out = []
+        for k in range(0, len(lists), 500):
+            part = lists.slice(k, 500)
+            ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids) and (ids.min() < 0 or ids.max() >= self.size or (self.known[ids] == 0).any()):
+                raise ValueError("an id is not in the vocabulary")
+            counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(self.known[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+            raw = gather(self.data, self.at[ids], self.known[ids]).tobytes()
+            out.extend(raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return out
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) of each row; if so wanted also the bytes (decoded) that the ids decode to, in the same worker."""
+    small_batches(docs.sparkSession)
+    shared, name = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex  # a vocabulary file: its size is fixed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value, name, pattern), Decoder(shared.value) if decoded else None
         for batch in batches:
             for i, j, texts in string_chunks(batch.column(1)):
-                if len(known) > REMEMBERED:
-                    known, flat, starts, lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                first = len(known)
-                which, counts = [], []
-                for text in texts:
-                    pieces = cut.findall(text)
-                    which.extend([known.setdefault(p, len(known)) for p in pieces])
-                    counts.append(len(pieces))
-                if len(known) > first:
-                    fresh, sizes = encode_pieces(table, [p.encode() for p in islice(known, first, None)])
-                    starts = np.concatenate([starts, len(flat) + np.cumsum(sizes) - sizes])
-                    lengths = np.concatenate([lengths, sizes])
-                    flat = np.concatenate([flat, fresh])
-                which = np.array(which, np.int64)
-                of_piece = np.concatenate([[0], np.cumsum(lengths[which])])
-                of_text = of_piece[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-                ids = gather(flat, starts[which], lengths[which])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), pa.array(ids, pa.int32()))], names=["id", "ids"])
+                ids = encoder.encode(texts)
+                more = [pa.array(decoder.decode(ids), pa.binary())] if decoder else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, *more], names=["id", "ids", "decoded"][: 2 + decoded])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -232,33 +275,16 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        size = max(shared.value.values()) + 1
-        tokens = [b""] * size
-        for token, rank in shared.value.items():
-            tokens[rank] = token
-        known = np.array([len(t) for t in tokens], np.int64)
-        at = np.cumsum(known) - known
-        data = np.frombuffer(b"".join(tokens), np.uint8)
+        decoder = Decoder(shared.value)
         for lists in batches:
-            out = []
-            for k in range(0, len(lists), 500):
-                part = lists.slice(k, 500)
-                ids = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= size or (known[ids] == 0).any()):
-                    raise ValueError("an id is not in the vocabulary")
-                counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(known[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-                raw = gather(data, at[ids], known[ids]).tobytes()
-                out.extend(raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
-            yield pa.array(out, pa.binary())
+            yield pa.array(decoder.decode(lists), pa.binary())
 
-    return encoded.withColumn(out_col, bytes_of(ids_col))
+    return encoded.withColumn(out_col, bytes_of(column(ids_col)))
 
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The digest columns of the query: counts and hashes of the ids and of the decoded bytes."""
-    ranks = load_ranks(path)
-    return decode(encode(docs, ranks, pattern), ranks).select(
+    return encode(docs, load_ranks(path), pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
