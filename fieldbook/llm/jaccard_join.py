@@ -345,9 +345,9 @@ def grouped(sets: DataFrame, percent: int) -> DataFrame:
     groups = materialise(components(near, "groups"), "group-of")
     roots = groups.select(F.col("component").alias("node"), F.col("component").alias("g")).distinct()
     members = groups.select("node", F.col("component").alias("g")).unionByName(roots)
-    placed = sets.join(materialise(members, "members"), "node")
-    weight = placed.groupBy("g").agg(F.ceil(F.sum(F.length("shingles")) / (8 * BLOCK)).cast("int").alias("k"))
-    return materialise(placed.join(weight, "g").select("g", "k", "digest", "shingles"), "groups")
+    placed = sets.join(small(materialise(members, "members")), "node")
+    weight = materialise(placed.groupBy("g").agg(F.ceil(F.sum(F.length("shingles")) / (8 * BLOCK)).cast("int").alias("k")), "weights")
+    return materialise(placed.join(small(weight), "g").select("g", "k", "digest", "shingles"), "groups")
 
 
 # ---- the search
