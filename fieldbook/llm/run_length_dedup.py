@@ -18,8 +18,9 @@ have equal marks at equal offsets, so all copies of a window meet under its mark
    and all places but the earliest are repeats.  An index thus gets HOT segments of a mark at most.
 4. The repeated spans of a document are united and cut.
 
-Defined cases: null is an empty text; texts below SPAN bytes lose nothing; rows of one id count as one
-document (ids should be unique; equal rows get equal results, all of them return); null ids sort first.
+Defined cases: null is an empty text; texts below SPAN bytes lose nothing; equal rows of one id count as
+one document and all return; unlike texts of one id are documents of their own, in the order of a hash;
+null ids sort first; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from fieldbook.llm.common import RollingHash, materialise, text_chunks
+from fieldbook.llm.common import RollingHash, column, materialise, text_chunks
 
 SPAN, GRAM = 100, 20
 #: Segments that a task holds before it drops equal ones and hands on.
@@ -41,7 +43,6 @@ BLOCK_BYTES = 600_000
 HOT = 10_000
 #: Place of a segment: its first window, count of windows and offset of the mark in one number.
 _N_BITS, _M_BITS = 7, 7
-_NULL_ID = -(1 << 63)
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -123,7 +124,7 @@ def segment_rows(docs: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in text_chunks(batch.column(1)):
                 for key, seg, row, a, n, m in segments(data, offsets, span, gram):
                     held.append((key, seg, ids[i + row], (a << _N_BITS | n) << _M_BITS | m))
@@ -401,10 +402,24 @@ def repeated_spans(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return known.unionByName(match_blocks(cut, span)).unionByName(again)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text): doc is the id where ids are integers and none has two texts, else a number in the order of ids and texts."""
+    id_, text = column(id_col), F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(id_.alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        texts = rows.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
+        if texts.where("low <> high or id is null").isEmpty():
+            return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
+    order = [F.col("id").asc_nulls_first(), F.col("hash")]
+    ranked = rows.select("id", "hash").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = materialise(ranked.select(F.col("id").alias("own"), F.col("hash").alias("own_hash"), F.monotonically_increasing_id().alias("doc")), "numbers")
+    return rows.join(ranked, F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash"))).select("doc", "id", "text")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, kept binary, removed array<struct<start, end>>) of each row; removed runs are of bytes."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(own, span, gram).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    own = numbered(docs, id_col, text_col)
+    spans = repeated_spans(own.select("doc", "text"), span, gram).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -422,11 +437,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     cuts = zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)
                     kept.append(b"".join(text[a:b] for a, b in cuts))
                     runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-                ids = batch.column(0).slice(i, j - i).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([None if x == _NULL_ID else x for x in ids], pa.int64()), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(kind))], names=["doc", "n_bytes", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(kind))], names=["id", "n_bytes", "kept", "removed"])
 
-    joined = own.join(spans, "doc", "left").select("doc", "text", "s")
-    return joined.mapInArrow(run, "doc long, n_bytes long, kept binary, removed array<struct<start: long, end: long>>").withColumnRenamed("doc", id_col)
+    joined = own.join(spans, "doc", "left").select("id", "text", "s")
+    type_ = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(run, f"id {type_}, n_bytes long, kept binary, removed array<struct<start: long, end: long>>").withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame) -> DataFrame:

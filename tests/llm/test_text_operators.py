@@ -488,11 +488,13 @@ def test_masks_of_overlapping_spans():
 
 
 def test_rows_of_one_id_with_unlike_texts(spark):
-    phrase = prose(3, 40)
-    rows = [(i, prose(100 + i, 20) + " " + phrase + " " + prose(900 + i, 20)) for i in range(20)] + [(5, "short"), (6, prose(6, 30)[:130])]
-    got = run_length_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
-    assert sorted((r.doc_id, r.n_bytes) for r in got) == sorted((i, len(t)) for i, t in rows)
-    assert "def cut_segments" in (source := inspect.getsource(run_length_dedup)) and source.count("def cut_segments") == 1
+    one, two = prose(41, 60), prose(42, 60)
+    rows = [("4", one), ("4", two + one[:60]), ("9", one), ("9", one), (None, two[:150]), (None, "short"), ("5", prose(6, 30)[:130])]
+    for ids, type_ in ((lambda i: i and int(i), "long"), (lambda i: i, "string")):
+        docs = spark.createDataFrame([(ids(i), t) for i, t in rows], f"doc_id {type_}, text string")
+        got = sorted(((str(r.doc_id), r.n_bytes, r.n_removed) for r in run_length_dedup.report(docs).collect()))
+        n, both = len(one), len(two) + 60
+        assert got == sorted([("4", n, 0), ("4", both, 150), ("9", n, n), ("9", n, n), ("None", 150, 0), ("None", 5, 0), ("5", 130, 0)])
 
 
 def test_windows_of_a_hot_mark_are_not_indexed(spark, monkeypatch):
