@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldbook.sources.shared import ready_checkpoints
+
 _NO_LINK = r"(?i)^(?:mailto:|javascript:|data:|#|tel:)"
 
 
@@ -74,19 +76,15 @@ def reachable_set(edges: DataFrame, seed: DataFrame) -> DataFrame:
     A round joins the frontier with the edges and drops what is known; checkpoints cut the lineage and
     the loop ends when a round finds nothing.
     """
-    spark = edges.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldbook-"))  # none is set: a test
+    ready_checkpoints(edges.sparkSession)
+    edges = edges.select("src", "dst").checkpoint()
     seen = frontier = seed.select("node", F.lit(0).alias("hops"))
     for hop in count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
+        seen = seen.unionByName(frontier)  # checkpoints of the rounds: nothing known is written again
 
 
 def verify_integrity(manifest: DataFrame, files: DataFrame) -> DataFrame:

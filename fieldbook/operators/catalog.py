@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldbook.sources.shared import ready_checkpoints
+
 
 def display_names(published: Column, current: Column, historic: Column, show_historic: Column) -> tuple[Column, Column]:
     """(shown name, historic name where it is different and not shown already)."""
@@ -86,12 +88,7 @@ def connected_names(groups: DataFrame) -> DataFrame:
     """
     edges = groups.select("name", "key").distinct()
     labels = edges.select("name").distinct().withColumn("cluster", F.col("name"))
-    spark = groups.sparkSession
-    reliable = spark.sparkContext.getCheckpointDir() is not None or spark.sparkContext.getConf().get("spark.checkpoint.dir") is not None
-    if not reliable:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldbook-"))  # none is set: a test
+    ready_checkpoints(groups.sparkSession)
     while True:
         least = edges.join(labels, "name").groupBy("key").agg(F.min("cluster").alias("m"))
         new = edges.join(least, "key").groupBy("name").agg(F.min("m").alias("cluster")).checkpoint()

@@ -72,9 +72,9 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.crawl_frontier(links, fetched)
 
 
-@query("reachable_set", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), r AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+@query("reachable_set", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), r(node, hops) USING KEY (node) AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT DISTINCT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM recurring.r)) SELECT node, hops FROM r")
 def reachable_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return A.reachable_set(e, spark.range(1).select(F.col("id").alias("node")))
 
 
@@ -124,12 +124,12 @@ def archive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).groupBy(F.coalesce(A.url_kind(F.col("url"), PAGES, ASSETS), F.lit("other")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
 
 
-_REFS = "SELECT DISTINCT CAST(p_partkey AS VARCHAR) || '.jpg' AS file, 'species' AS dest, 1 AS prio FROM part UNION SELECT DISTINCT CAST(l_partkey AS VARCHAR) || '.jpg', 'sites', 2 FROM lineitem WHERE l_quantity = 49 UNION SELECT DISTINCT CAST(s_suppkey AS VARCHAR) || '.jpg', 'ecoregions', 3 FROM supplier"
+_REFS = "SELECT DISTINCT CAST(p_partkey AS VARCHAR) || '.jpg' AS file, 'species' AS dest, 1 AS prio FROM part UNION SELECT DISTINCT CAST(l_partkey AS VARCHAR) || '.jpg', 'sites', 2 FROM lineitem UNION SELECT DISTINCT CAST(s_suppkey AS VARCHAR) || '.jpg', 'ecoregions', 3 FROM supplier"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = lambda t, c, d, n, w="true": table(spark, sf_dir, t).where(w).select(F.concat(F.col(c).cast("string"), F.lit(".jpg")).alias("file"), F.lit(d).alias("dest"), F.lit(n).alias("prio"))
-    every = ref("part", "p_partkey", "species", 1).unionByName(ref("lineitem", "l_partkey", "sites", 2, "l_quantity = 49")).unionByName(ref("supplier", "s_suppkey", "ecoregions", 3))
+    ref = lambda t, c, d, n: table(spark, sf_dir, t).select(F.concat(F.col(c).cast("string"), F.lit(".jpg")).alias("file"), F.lit(d).alias("dest"), F.lit(n).alias("prio"))
+    every = ref("part", "p_partkey", "species", 1).unionByName(ref("lineitem", "l_partkey", "sites", 2)).unionByName(ref("supplier", "s_suppkey", "ecoregions", 3))
     return every.groupBy("file").agg(F.max_by("dest", "prio").alias("dest"))
 
 

@@ -79,12 +79,12 @@ def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(C.text_filter("Ring", "p_name", "p_brand", "p_type")).select("p_partkey", "p_name")
 
 
-_BOUGHT = "SELECT DISTINCT o_custkey, n_name AS region, n_nationkey AS pos FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity = 50"
+_BOUGHT = "SELECT DISTINCT o_custkey, n_name AS region, n_nationkey AS pos FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
 
 
 def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_custkey, region, pos): where customers bought in bulk; a site that lies in several regions."""
-    items = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_suppkey")
+    """(o_custkey, region, pos): where customers bought; a site that lies in several regions."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("region"), F.col("n_nationkey").alias("pos"))
     return o.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("o_custkey", "region", "pos").distinct()
@@ -231,9 +231,11 @@ r AS (SELECT DISTINCT name, name AS o FROM k UNION SELECT r.name, k2.name FROM r
 c AS (SELECT name, min(o) AS cluster FROM r GROUP BY name)
 SELECT cluster, name FROM c WHERE cluster IN (SELECT cluster FROM c GROUP BY cluster HAVING count(*) > 1)""")
 def suspected_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = _NAMED.replace("p_partkey // 3 % 200", "p_partkey DIV 3 % 200").replace("AS VARCHAR", "AS STRING")
-    table(spark, sf_dir, "part").createOrReplaceTempView("_variants_part")
-    return C.suspected_variants(spark.sql(sql.replace("FROM part", "FROM _variants_part")).distinct())
+    nm = F.concat_ws(" ", "p_name", F.expr("p_partkey DIV 3 % 200").cast("string"))
+    third = F.col("p_partkey") % 3
+    name = F.when(third == 0, nm).when(third == 1, F.concat(F.upper(nm), F.lit("."))).otherwise(F.replace(nm, F.lit(" "), F.lit(" X ")))
+    url = F.when(F.col("p_partkey") % 97 == 0, F.concat(F.lit("http://shared.example/"), (F.col("p_partkey") % 2).cast("string"), F.lit("/")))
+    return C.suspected_variants(table(spark, sf_dir, "part").select(name.alias("name"), url.alias("url")).distinct())
 
 
 @query("rename_credit", f"SELECT {_HOST} AS host, array_to_string(list_transform(list_sort(list(page_id)), lambda i: i || ':' || CASE WHEN i % 5 = 0 THEN 'New' ELSE 'Old' || (i % 5) END), ',') AS credits, count(*) FILTER (WHERE page_id % 5 = 0) AS touched FROM pages GROUP BY 1")

@@ -43,17 +43,18 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WANT = f"list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '' AND NOT list_contains({_STOP}, t)))"
 _SCORED = f"""WITH t AS (SELECT p_partkey, p_name, p_size, {_WANT} AS words, CASE p_type WHEN 'ECONOMY' THEN 'strong' WHEN 'STANDARD' THEN 'weak' WHEN 'PROMO' THEN 'reject' ELSE 'other' END AS tier FROM part),
-pairs AS (SELECT DISTINCT s.p_partkey AS site, s.words AS want, c.p_partkey AS cand, c.words AS got, c.tier, c.p_size / 100.0 AS imp FROM (SELECT *, unnest(words) AS w FROM t WHERE p_partkey % 50 = 0) s JOIN (SELECT *, unnest(words) AS w FROM t WHERE p_partkey % 50 = 1) c ON s.w = c.w),
+pairs AS (SELECT DISTINCT s.p_partkey AS site, s.words AS want, c.p_partkey AS cand, c.words AS got, c.tier, c.p_size / 100.0 AS imp FROM (SELECT *, unnest(words) AS w FROM t WHERE p_partkey % 100 = 0) s JOIN (SELECT *, unnest(words) AS w FROM t) c ON s.w = c.w AND s.p_partkey <> c.p_partkey),
 o AS (SELECT *, CAST(len(list_intersect(want, got)) AS DOUBLE) / len(want) AS overlap FROM pairs),
 scored AS (SELECT site, cand, CASE WHEN tier = 'reject' THEN 0 ELSE CASE tier WHEN 'strong' THEN 3.0 WHEN 'weak' THEN 1.0 ELSE 0.25 END + 2 * overlap + 2 * least(imp, 0.5) END AS score, CASE WHEN tier = 'reject' THEN 'rejected by type' ELSE tier || ', name ' || CAST(round(overlap * 100) AS INT) || '%' END AS why FROM o)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites are a query set, every hundredth part; all other parts are candidates."""
     tier = F.when(F.col("p_type") == "ECONOMY", "strong").when(F.col("p_type") == "STANDARD", "weak").when(F.col("p_type") == "PROMO", "reject").otherwise("other")
     t = table(spark, sf_dir, "part").select("p_partkey", name_tokens(F.col("p_name")).alias("words"), tier.alias("tier"), (F.col("p_size") / 100).alias("imp"))
-    s = t.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("site"), F.col("words").alias("want"), F.explode("words").alias("w"))
-    c = t.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("cand"), F.col("words").alias("got"), "tier", "imp", F.explode("words").alias("w"))
-    pairs = s.join(c, "w").drop("w").distinct()
+    s = t.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("site"), F.col("words").alias("want"), F.explode("words").alias("w"))
+    c = t.select(F.col("p_partkey").alias("cand"), F.col("words").alias("got"), "tier", "imp", F.explode("words").alias("w"))
+    pairs = s.join(c, "w").where("site <> cand").drop("w").distinct()
     return S.score_candidates(pairs, F.col("want"), F.col("got"), F.col("tier"), F.col("imp"))
 
 
@@ -62,9 +63,11 @@ def score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("site", "cand", F.round("score", 6).alias("score"), "why")
 
 
-@query("best_candidate", f"{_SCORED} SELECT site, cand, round(score, 6) AS score, score >= 2.5 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, cand) AS r FROM scored) WHERE r = 1")
+@query("best_candidate", f"{_SCORED} SELECT p_partkey AS site, cand, round(score, 6) AS score, score >= 2.5 AS accepted FROM part LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, cand) AS r FROM scored) ON site = p_partkey AND r = 1 WHERE p_partkey % 100 = 0")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.best_candidate(scored(spark, sf_dir), "site", ["cand"]).select("site", "cand", F.round("score", 6).alias("score"), "accepted")
+    sites = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("site"))
+    best = S.best_candidate(scored(spark, sf_dir), "site", ["cand"]).select("site", "cand", F.round("score", 6).alias("score"), "accepted")
+    return sites.join(best, "site", "left")  # nulls where no part shares a word
 
 
 _SOURCE = "CASE s_suppkey % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'proposed' WHEN 2 THEN 'placed-by-hand' END"
