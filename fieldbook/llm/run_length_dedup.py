@@ -393,33 +393,38 @@ def repeated_spans(docs: DataFrame, span: int, gram: int) -> DataFrame:
     decided = materialise(decide(rows, span), "decided")
     known = decided.where("key is null").select("doc", "start", "end")
     open_ = decided.where("key is not null")
-    hot = open_.groupBy("key").count().where(F.col("count") > HOT).select("key")
+    hot = materialise(open_.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
     by_doc = lambda some: docs.join(some.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end")).alias("s")), "doc").select("doc", "text", "s")
-    cut = cut_segments(by_doc(open_.join(hot, "key", "left_anti")), span).repartition("key").sortWithinPartitions("key", "doc", "start")
+    none = hot.isEmpty()
+    cut = cut_segments(by_doc(open_ if none else open_.join(hot, "key", "left_anti")), span).repartition("key").sortWithinPartitions("key", "doc", "start")
+    found = known.unionByName(match_blocks(cut, span))
+    if none:
+        return found
     windows = window_rows(by_doc(open_.join(hot, "key", "left_semi")), span).repartition("key", "seg").sortWithinPartitions("key", "seg", "doc", "at")
     # windows of one mark are no segments of it: what decide() leaves open is different windows
     again = decide(windows, span).where("key is null").select("doc", "start", "end")
-    return known.unionByName(match_blocks(cut, span)).unionByName(again)
+    return found.unionByName(again)
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text): doc is the id where ids are integers and none has two texts, else a number in the order of ids and texts."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) of each row, and (doc, own): doc is the id itself where ids are integers and none has two texts (no second table), else a number in the order of ids and texts."""
     id_, text = column(id_col), F.coalesce(column(text_col), F.lit(""))
     rows = docs.select(id_.alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     if isinstance(docs.schema[id_col].dataType, IntegralType):
-        texts = rows.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count("*").alias("n"))
+        texts = rows.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
         if texts.where("low <> high or id is null").isEmpty():
-            return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
+            never = F.lit(0).cast("long")  # told not to be null, the texts of all joins come from one shuffle
+            return docs.select(F.coalesce(id_.cast("long"), never).alias("doc"), text.alias("text")), None
     order = [F.col("id").asc_nulls_first(), F.col("hash")]
     ranked = rows.select("id", "hash").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     ranked = materialise(ranked.select(F.col("id").alias("own"), F.col("hash").alias("own_hash"), F.monotonically_increasing_id().alias("doc")), "numbers")
-    return rows.join(ranked, F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash"))).select("doc", "id", "text")
+    return rows.join(ranked, F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash"))).select("doc", "text"), ranked.select("doc", "own")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, kept binary, removed array<struct<start, end>>) of each row; removed runs are of bytes."""
-    own = numbered(docs, id_col, text_col)
-    spans = repeated_spans(own.select("doc", "text"), span, gram).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    own, ids = numbered(docs, id_col, text_col)
+    spans = repeated_spans(own, span, gram).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -437,11 +442,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     cuts = zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)
                     kept.append(b"".join(text[a:b] for a, b in cuts))
                     runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(kind))], names=["id", "n_bytes", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(kind))], names=["doc", "n_bytes", "kept", "removed"])
 
-    joined = own.join(spans, "doc", "left").select("id", "text", "s")
-    type_ = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {type_}, n_bytes long, kept binary, removed array<struct<start: long, end: long>>").withColumnRenamed("id", id_col)
+    joined = own.join(spans, "doc", "left").select("doc", "text", "s")
+    found = joined.mapInArrow(run, "doc long, n_bytes long, kept binary, removed array<struct<start: long, end: long>>")
+    found = found.withColumn("own", F.col("doc").cast(docs.schema[id_col].dataType)) if ids is None else found.join(ids, "doc")
+    return found.select(F.col("own").alias(id_col), "n_bytes", "kept", "removed")
 
 
 def report(docs: DataFrame) -> DataFrame:
