@@ -83,19 +83,27 @@ def text_filter(q: str, *fields: str) -> Column:
 def connected_names(groups: DataFrame) -> DataFrame:
     """(name, cluster) from (name, key): names that share a key, directly or over others, get the least name.
 
-    Each round a key passes on the least cluster of its names; it ends when a round changes nothing.
-    Rounds are cut by checkpoints.
+    Each key ties its names to its least one.  Rounds then contract these ties to stars: the larger
+    neighbours of a node move to the least around it, then its smaller ones do; the number of rounds
+    grows with the logarithm of the names in a chain.  Checkpoints cut the rounds.
     """
-    edges = groups.select("name", "key").distinct()
-    labels = edges.select("name").distinct().withColumn("cluster", F.col("name"))
     ready_checkpoints(groups.sparkSession)
+    pairs = groups.select("name", "key").distinct()
+    hub = pairs.groupBy("key").agg(F.min("name").alias("m"))
+    both = lambda t: t.select("a", "b").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ties = both(pairs.join(hub, "key").select(F.col("name").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct().checkpoint()
     while True:
-        least = edges.join(labels, "name").groupBy("key").agg(F.min("cluster").alias("m"))
-        new = edges.join(least, "key").groupBy("name").agg(F.min("m").alias("cluster")).checkpoint()
-        changed = not new.join(labels.withColumnRenamed("cluster", "old"), "name").where("cluster <> old").isEmpty()
-        labels = new
-        if not changed:
-            return labels
+        least = ties.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = ties.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        rest = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        twice = stars.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        if twice.unionByName(stars.join(stars.select(F.col("b").alias("a")), "a", "left_semi").select("a")).isEmpty():
+            break
+        ties = both(stars)
+    names = pairs.select("name").distinct()
+    return names.join(stars.withColumnRenamed("a", "name"), "name", "left").select("name", F.coalesce("b", "name").alias("cluster"))
 
 
 def suspected_variants(credits: DataFrame) -> DataFrame:

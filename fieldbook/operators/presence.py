@@ -90,28 +90,30 @@ def peak_code(recorded: DataFrame) -> DataFrame:
     return recorded.groupBy("entity", "region").agg(F.max_by("code", "rank").alias("code"), F.max("rank").alias("rank"))
 
 
-def season_runs(years: DataFrame) -> DataFrame:
-    """(entity, region, start_month, end_month, months): runs of present months, closed over the year's end.
+def runs_of(codes: Column) -> Column:
+    """array<struct<s, n>> of the runs of present months (s from 0) by their start, closed over the year's end.
 
-    A run starts where a month is present and the one before it, around the year, is not.
+    A run starts where a month is present and the one before it, around the year, is not; all twelve are one run.
     """
-    present = F.transform("codes", lambda c: c != "")
-    months = years.select("entity", "region", present.alias("p"))
-    starts = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda i: F.get("p", i) & ~F.get("p", (i + 11) % 12))
-    every = F.forall("p", lambda x: x)
-    starts = F.when(every, F.array(F.lit(0))).otherwise(starts)
-    run = months.select("entity", "region", "p", F.explode(starts).alias("s"))
-    gap = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.get("p", (F.col("s") + k) % 12)), False).cast("int")
-    length = F.when(gap == 0, 12).otherwise(gap - 1)
-    return run.select("entity", "region", (F.col("s") + 1).alias("start_month"), ((F.col("s") + length - 1) % 12 + 1).alias("end_month"), length.alias("months"))
+    here = lambda i: F.get(codes, i % 12) != ""
+    starts = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda i: here(i) & ~here(i + 11))
+    length = lambda s: F.array_position(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: here(s + k)), False).cast("int")
+    some = F.transform(starts, lambda s: F.struct(s.alias("s"), length(s).alias("n")))
+    return F.when(F.forall(codes, lambda c: c != ""), F.array(F.struct(F.lit(0).alias("s"), F.lit(12).alias("n")))).otherwise(some)
+
+
+def season_runs(years: DataFrame) -> DataFrame:
+    """(entity, region, start_month, end_month, months): runs of present months."""
+    run = years.select("entity", "region", F.inline(runs_of(F.col("codes"))))
+    return run.select("entity", "region", (F.col("s") + 1).alias("start_month"), ((F.col("s") + F.col("n") - 1) % 12 + 1).alias("end_month"), F.col("n").alias("months"))
 
 
 def season_summary(years: DataFrame) -> DataFrame:
     """(entity, region, season): 'Not recorded', 'Year-round' or runs such as 'Apr–May, Nov–Feb' by their start."""
-    runs = season_runs(years)
-    text = F.when(F.col("months") == 12, F.lit("Year-round")).when(F.col("months") == 1, month_name(F.col("start_month"))).otherwise(F.concat(month_name(F.col("start_month")), F.lit("–"), month_name(F.col("end_month"))))
-    told = runs.groupBy("entity", "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_month", text.alias("t")))), lambda x: x["t"]), ", ").alias("season"))
-    return years.select("entity", "region").join(told, ["entity", "region"], "left").select("entity", "region", F.coalesce("season", F.lit("Not recorded")).alias("season"))
+    month = lambda i: month_name(i % 12 + 1)
+    text = lambda r: F.when(r["n"] == 12, F.lit("Year-round")).when(r["n"] == 1, month(r["s"])).otherwise(F.concat(month(r["s"]), F.lit("–"), month(r["s"] + r["n"] - 1)))
+    season = F.array_join(F.transform(runs_of(F.col("codes")), text), ", ")
+    return years.select("entity", "region", F.when(season == "", F.lit("Not recorded")).otherwise(season).alias("season"))
 
 
 def compact_encode(years: DataFrame) -> DataFrame:

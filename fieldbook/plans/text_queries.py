@@ -9,7 +9,7 @@ from fieldbook.functions import text as T
 from fieldbook.plans.registry import query
 from fieldbook.sources.tables import table
 
-WS = r"[ \t\n\r\f\x0B]+"
+WS = rf"[\n{T.BLANKS}]+"
 
 
 def sql_unescape(x: str) -> str:
@@ -27,22 +27,23 @@ def sql_collapse(x: str) -> str:
 
 
 def sql_tags(x: str, by: str = "") -> str:
-    return f"regexp_replace({x}, '(?s)<[^>]*>', '{by}', 'g')"
+    return f"regexp_replace({x}, '(?s)<[^>]+>', '{by}', 'g')"
 
 
 def sql_markdown(x: str) -> str:
-    x = f"regexp_replace({x}, '(?is)<(?:em|i)>(.*?)</(?:em|i)>', '*\\1*', 'g')"
-    x = f"regexp_replace({x}, '(?is)<(?:strong|b)>(.*?)</(?:strong|b)>', '**\\1**', 'g')"
-    x = f"regexp_replace({x}, '(?is)<a\\b[^>]*>\\s*</a>', '', 'g')"
-    return f"""regexp_replace({x}, '(?is)<a\\b[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"""
+    link = T.LINK.replace("'", "''")
+    x = f"regexp_replace({x}, '(?is)<\\s*(?:em|i)\\b[^>]*>(.*?)<\\s*/\\s*(?:em|i)\\s*>', '*\\1*', 'g')"
+    x = f"regexp_replace({x}, '(?is)<\\s*(?:strong|b)\\b[^>]*>(.*?)<\\s*/\\s*(?:strong|b)\\s*>', '**\\1**', 'g')"
+    x = f"regexp_replace({x}, '(?is){link}\\s*<\\s*/\\s*a\\s*>', '', 'g')"
+    return f"regexp_replace({x}, '(?is){link}(.*?)<\\s*/\\s*a\\s*>', '[\\3](\\1\\2)', 'g')"
 
 
 def sql_clean(x: str) -> str:
     x = f"regexp_replace(coalesce({x}, ''), '(?i)(?:<br\\s*/?>\\s*){{2,}}', chr(10) || chr(10), 'g')"
     x = f"regexp_replace({x}, '(?i)<br\\s*/?>', chr(10), 'g')"
     x = sql_repair(sql_unescape(sql_tags(sql_markdown(x))))
-    x = f"regexp_replace({x}, '''''([^'']*)''''', '“\\1”', 'g')"
-    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda t: trim(regexp_replace(t, '[ \\t\\r\\f\\x0B]+', ' ', 'g'))), chr(10))"
+    x = f"regexp_replace({x}, '(?s)''''(.+?)''''', '“\\1”', 'g')"
+    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda t: trim(regexp_replace(t, '[{T.BLANKS}]+', ' ', 'g'))), chr(10))"
     return f"trim(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
 
 
@@ -66,7 +67,7 @@ def unescape_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unescape_all", f"SELECT page_id, {sql_unescape('html')} AS plain FROM pages")
 def unescape_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", T.unescape_all("html").alias("plain"))
+    return pages(spark, sf_dir).select("page_id", T.unescape_entities(F.col("html")).alias("plain"))
 
 
 @query("inline_markdown", f"SELECT page_id, {sql_markdown('html')} AS md FROM pages")
@@ -116,7 +117,7 @@ def audit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_name_fold(x: str, digits: bool = False) -> str:
-    x = f"lower(translate(coalesce({x}, ''), '{T.ACCENTS_FROM}', '{T.ACCENTS_TO}'))"
+    x = f"lower(strip_accents(coalesce({x}, '')))"
     x = f"translate(regexp_replace({x}, '[''’‘`]', '', 'g'), '-_', '  ')"
     return f"trim(regexp_replace(regexp_replace({x}, '[^a-z{'0-9' if digits else ''} ]', '', 'g'), ' +', ' ', 'g'))"
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,18 +27,29 @@ def latest_view(stored: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def idle_sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """(key, start, end, n): sessions that end after a gap without activity; works on streams with a watermark."""
-    s = events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"), F.max(ts).alias("end"), F.min(ts).alias("start"))
+    """(key, start, end, n): sessions that end after a gap without activity; works on streams with a watermark.
+
+    A window takes in what comes at its very end, so it is a microsecond short of the gap.
+    """
+    s = events.groupBy(key, F.session_window(ts, f"{gap} -1 microseconds").alias("w")).agg(F.count("*").alias("n"), F.max(ts).alias("end"), F.min(ts).alias("start"))
     return s.select(key, "start", "end", "n")
 
 
 def debounce_latest(events: DataFrame, key: str, ts: str, tie: str, seconds: float) -> DataFrame:
-    """The last event of each burst: those that the next of their key follows no sooner than so many seconds."""
-    after = F.lead(ts).over(W.partitionBy(key).orderBy(ts, tie))
-    apart = (after.cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double")) >= seconds
-    return events.withColumn("_last", after.isNull() | apart).where("_last").drop("_last")
+    """The last event of each burst: those that the next of their key follows no sooner than so many seconds.
+
+    A burst is a session of that gap (a window takes in what comes at its very end); works on streams with a watermark, which give a burst once it is over.
+    """
+    rest = [c for c in events.columns if c != key]
+    s = events.groupBy(key, F.session_window(ts, f"{round(seconds * 1e6) - 1} microseconds").alias("w")).agg(F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("r"))
+    return s.select(key, "r.*").select(*events.columns)
 
 
 def first_write_per_session(events: DataFrame, session: list[str], order: str) -> DataFrame:
     rest = [c for c in events.columns if c not in session]
     return events.groupBy(*session).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*session, "r.*")
+
+
+def first_arrival_per_session(stream: DataFrame, session: list[str]) -> DataFrame:
+    """The first row of each session as a stream brings it, at once; a stream with a watermark forgets sessions it has passed."""
+    return stream.dropDuplicatesWithinWatermark(session)

@@ -2,6 +2,7 @@
 
 import html
 import itertools
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +65,9 @@ def one(spark, value, f):
 def test_text_functions(spark):
     assert one(spark, "It\x92s a \x93test\x94\xa0x", T.repair_c1) == "It’s a “test” x"
     assert one(spark, "a<br><br/>b<BR>c <em>d</em> <b>e</b> <a href='u'>f</a><a href='v'> </a> ''g''", T.clean_text) == "a\n\nb\nc *d* **e** [f](u) “g”"
-    assert one(spark, "&amp;lt; &eacute; &#233; &#xe9;", lambda c: T.unescape_all(c)) == html.unescape("&amp;lt; &eacute; &#233; &#xe9;") == "&lt; é é é"
+    assert one(spark, "the ''Ross's Goose'' and ''''", T.clean_text) == "the “Ross's Goose” and ''''"
+    assert one(spark, "<em class='x'>a</em> < i >b</ i > <STRONG id=q>c</STRONG> <a class=k href = 'u'>d</a><a name='n'></a> 1 <> 2", T.clean_text) == "*a* *b* **c** [d](u) 1 <> 2"
+    assert one(spark, "Ross&rsquo;s &#8212; &eacute;t&eacute;&nbsp;&emsp;x", T.collapse_ws) == "Ross’s — été x"
     assert one(spark, "Wilson's Storm-Petrel é", T.name_fold) == "wilsons storm petrel e"
     assert one(spark, "sea bird", T.name_fold) != one(spark, "seabird", T.name_fold)
     assert one(spark, " birds.org/x ", T.clean_url) == "http://birds.org/x" and one(spark, "mailto:a@b.c", T.clean_url) is None and one(spark, None, T.clean_url) is None
@@ -73,6 +76,23 @@ def test_text_functions(spark):
     assert one(spark, None, T.collapse_ws) == ""
 
 
+def test_entities_are_read_as_html_reads_them(spark):
+    cases = ["&amp;lt; &eacute; &#233; &#xe9;", "", "&", "&&", "a&b", "&;", "&copy 2020", "&copyright &notit; &notin;", "&#0;&#13;&#128;&#x81;&#xD800;&#1114112;&#99999999999999999999;", "&#x1F426;&#65", "&#1;&#xFFFE;&#127;&#11;", "&#", "&#x;", "&fjlig;&NotEqualTilde;", "&AMP&LT", "&nosuchname; &lt", "&#000000000065;"]
+    got = {r.x: r.y for r in spark.createDataFrame([(c,) for c in cases], "x string").select("x", T.unescape_entities(F.col("x")).alias("y")).collect()}
+    assert got == {c: html.unescape(c) for c in cases}
+    assert one(spark, None, T.unescape_entities) is None
+
+
+def test_names_fold_by_compatibility_decomposition(spark):
+    def fold(name):
+        text = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower()
+        return " ".join("".join(c for c in text.replace("-", " ").replace("_", " ") if c in " abcdefghijklmnopqrstuvwxyz").split())
+
+    cases = ["Kakapō Škoda", "Őrség ﬁnch", "Ａnas ℌ", "Łoś øre ß", "e\u0301te\u0301", "Ǆ Ⅷ ½", "中 한국 кот", "x-y_z", "𝐁ird"]
+    got = {r.x: r.y for r in spark.createDataFrame([(c,) for c in cases], "x string").select("x", T.name_fold(F.col("x")).alias("y")).collect()}
+    assert got == {c: fold(c) for c in cases}
+
+
 def test_gallery_hero_rules(spark):
     rows = [("a", 0, "x", False), ("a", 1, "y", True), ("a", 2, "y", False), ("b", 0, "p", False), ("b", 1, "q", False)]
     got = {(r.id, r.file): r.hero for r in extract.extract_gallery(spark.createDataFrame(rows, "id string, pos int, file string, is_hero boolean")).collect()}
@@ -126,6 +146,12 @@ def test_connected_names_bridge_buckets(spark):
     assert sorted(map(sorted, got.values())) == [["Ann Bee", "Ann V Bee", "Ann V. Bee"], ["Q", "R"]]
 
 
+def test_connected_names_along_a_chain(spark):
+    rows = [(f"n{i:03d}", f"k{j}") for i in range(60) for j in (i, i + 1)] + [("alone", "k-"), ("z1", "q"), ("z2", "q")]
+    got = {r.name: r.cluster for r in catalog.connected_names(spark.createDataFrame(rows, "name string, key string")).collect()}
+    assert got == {f"n{i:03d}": "n000" for i in range(60)} | {"alone": "alone", "z1": "z1", "z2": "z1"}
+
+
 def test_links_and_paths(spark):
     assert one(spark, "http://Countries.WWW.Site.org/A/b%20c?x=1#y", lambda c: archive.canonical_url(c, r"site\.org$")) == "http://countries.www.site.org/A/b c"
     assert one(spark, "http://else.org/a", lambda c: archive.canonical_url(c, r"site\.org$")) is None
@@ -161,3 +187,28 @@ def test_stream_counts_once_and_takes_late_files(spark, tmp_path):
     assert run() == {1: "b", 2: "a"}
     spark.createDataFrame([(1, 3, "old"), (2, 9, "new")], "k long, seq long, v string").write.mode("append").parquet(source)
     assert run() == {1: "b", 2: "new"} == run()
+
+
+def test_bursts_and_sessions_as_streams(spark, tmp_path):
+    """What a watermark has passed is given once, as the batch gives it; first arrivals are given at once."""
+    schema = "k long, s long, n long"
+    rows = [(1, 0, 1), (1, 5, 2), (1, 15, 3), (1, 15, 4), (1, 40, 5), (2, 3, 6)]
+    source, end = f"{tmp_path}/in", (9, 1000, 9)
+    timed = lambda t: t.select("k", F.timestamp_seconds("s").alias("ts"), "n")
+    batch = timed(spark.createDataFrame(rows, schema))
+    runs = {
+        "bursts": lambda t: logs.debounce_latest(t, "k", "ts", "n", 10).select("n"),
+        "idle": lambda t: logs.idle_sessions(t, "k", "ts", "10 seconds").select("n"),
+        "first": lambda t: logs.first_arrival_per_session(t, ["k"]).select("k"),
+    }
+    for part in (rows, [end], [(9, 1001, 10)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    for name, run in runs.items():
+        stream = timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)).withWatermark("ts", "1 second")
+        q = run(stream).writeStream.format("memory").queryName(f"got_{name}").option("checkpointLocation", f"{tmp_path}/c-{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted(r[0] for r in spark.table(f"got_{name}").collect())
+        expected = sorted(r[0] for r in run(batch).collect()) if name != "first" else [1, 2, 9]
+        assert got == expected, name
+    assert sorted(r.n for r in runs["bursts"](batch).collect()) == [2, 4, 5, 6]
+    assert sorted(r.n for r in runs["idle"](batch).collect()) == [1, 1, 2, 2]
