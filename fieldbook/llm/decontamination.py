@@ -3,8 +3,8 @@
 A window is SPAN consecutive item words (a shorter item is one window).  Both sides hash every GRAM
 words; of each SPAN - GRAM + 1 neighbouring hashes the least is a fingerprint, so two texts that share
 SPAN words share a fingerprint at the same place of them.  Documents keep the fingerprints that the
-benchmark has (a bit map of fixed size sorts out nearly all others before any row is made), each hit
-is extended to the windows around it, and those are joined with the benchmark's windows by their words.
+benchmark has (a bit map sized by the benchmark's windows sorts out nearly all others before any row
+is made; beyond four million windows it fills and only sorts out less), each hit is extended to the windows around it, and those are joined with the benchmark's windows by their words.
 Items below SPAN words are joined by their own lengths, at every place.
 
 A window that very many documents contain costs a row for each of them: the benchmark's side is
@@ -25,12 +25,12 @@ from fieldbook.llm.common import column, free_name, materialise, small
 from fieldbook.llm.words import words
 
 SPAN, GRAM = 13, 5
-#: Bits of the map of benchmark fingerprints, whatever the size of the benchmark: 128 KB.
-MAP_BITS = 1 << 20
+#: Bits of the map of benchmark fingerprints: 16 for each window, within these bounds (128 KB to 8 MB).
+MAP_BITS = (1 << 20, 1 << 26)
 #: Rows of benchmark windows (a few hundred bytes each) that are broadcast.
 BROADCAST_WINDOWS = 50_000
-#: Low bits of a hash that give way to the place it stands at.
-PLACE_BITS = 24
+#: Low bits of a hash that give way to the place in its window.
+PLACE_BITS = 8
 
 
 def gram(hashes: str, at: Column, n: int) -> Column:
@@ -38,19 +38,18 @@ def gram(hashes: str, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + k) for k in range(n)])
 
 
-def mark(hashes: str, at: Column, n: int) -> Column:
-    """The hash with its low bits replaced by the place, so that the least is the first of equals."""
+def mark(hashes: str, at: Column, n: int, start: Column) -> Column:
+    """The hash with its low bits replaced by the place after a window's start, so that the least is the first of equals."""
     high = F.shiftleft(F.shiftright(gram(hashes, at, n), PLACE_BITS), PLACE_BITS)
-    return high + F.pmod(at, F.lit(1 << PLACE_BITS))
+    return high + (at - start)
 
 
 def is_winnowed(hashes: str, at: Column, n: int, guard: int) -> Column:
     """Whether the place has the least mark of some guard neighbouring places."""
     last = F.size(hashes) - n - guard + 1
-    own = mark(hashes, at, n)
     first = F.greatest(at - guard + 1, F.lit(0))
     tries = F.when(first <= F.least(at, last), F.sequence(first, F.least(at, last))).otherwise(F.array().cast("array<int>"))
-    return F.exists(tries, lambda j: F.forall(F.sequence(j, j + guard - 1), lambda q: mark(hashes, q, n) >= own))
+    return F.exists(tries, lambda j: F.forall(F.sequence(j, j + guard - 1), lambda q: mark(hashes, q, n, j) >= mark(hashes, at, n, j)))
 
 
 def run_of(array: str, start: Column, n: int) -> Column:
@@ -58,8 +57,13 @@ def run_of(array: str, start: Column, n: int) -> Column:
     return F.array(*[F.get(array, start + k) for k in range(n)])
 
 
-def in_map(bit_map: Column, h: Column) -> Column:
-    cell = F.get(bit_map, F.shiftright(h.bitwiseAND(F.lit(MAP_BITS - 1)), 6).cast("int"))
+def map_bits(n_windows: int) -> int:
+    """A power of two within MAP_BITS, of 16 bits and more for each window where the bound allows it."""
+    return min(max(MAP_BITS[0], 1 << (16 * n_windows - 1).bit_length() if n_windows else 0), MAP_BITS[1])
+
+
+def in_map(bit_map: Column, bits: int, h: Column) -> Column:
+    cell = F.get(bit_map, F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
     return F.call_function("shiftright", cell, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
@@ -68,9 +72,9 @@ def places(hashes: str, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
 
 
-def short_candidates(bit_map: Column, n: int) -> Column:
+def short_candidates(bit_map: Column, bits: int, n: int) -> Column:
     """Windows of n words whose hash the map has: for items below the span, whose hashes are taken whole."""
-    at = F.filter(places("h", n), lambda i: in_map(bit_map, gram("h", i, n)))
+    at = F.filter(places("h", n), lambda i: in_map(bit_map, bits, gram("h", i, n)))
     return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), run_of("w", i, n).alias("window")))
 
 
@@ -81,16 +85,16 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, span: int) -
     return each.groupBy("n", "window").agg(F.collect_set("item").alias("items"))
 
 
-def fingerprint_map(windows: DataFrame, short: list[int], span: int, n: int) -> Column:
-    """array<bigint> of MAP_BITS bits, a literal, set for each fingerprint of a window."""
+def fingerprint_map(windows: DataFrame, bits: int, short: list[int], span: int, n: int) -> Column:
+    """array<bigint> of so many bits, a literal, set for each fingerprint of a window."""
     hashed = windows.select("n", F.transform("window", lambda x: F.xxhash64(x)).alias("h"))
-    least = F.array_min(F.transform(places("h", n), lambda q: mark("h", q, n)))
+    least = F.array_min(F.transform(places("h", n), lambda q: mark("h", q, n, F.lit(0))))
     prints = hashed.where(F.col("n") == span).select(gram("h", least.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"), n).alias("x"))
     for m in short:
         prints = prints.unionByName(hashed.where(F.col("n") == m).select(gram("h", F.lit(0), m).alias("x")))
-    bit = F.col("x").bitwiseAND(F.lit(MAP_BITS - 1))
+    bit = F.col("x").bitwiseAND(F.lit(bits - 1))
     set_bits = prints.select(F.shiftright(bit, 6).cast("int").alias("cell"), (bit % 64).cast("int").alias("bit")).distinct().groupBy("cell").agg(F.collect_list("bit").alias("bits"))
-    cells = ["0"] * (MAP_BITS // 64)
+    cells = ["0"] * (bits // 64)
     for r in set_bits.collect():  # MAP_BITS bits at most
         v = sum(1 << b for b in r["bits"])
         cells[r["cell"]] = str(v - (1 << 64) * (v >> 63))
@@ -106,13 +110,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     d = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
     d = d.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    bit_map = fingerprint_map(windows, short, span, gram_size)
+    bits = map_bits(sum(counts.values()))
+    bit_map = fingerprint_map(windows, bits, short, span, gram_size)
     # the map first, as it is cheap and rules out nearly all places; then whether the place is a fingerprint of the document
-    hits = F.filter(F.filter(places("h", gram_size), lambda p: in_map(bit_map, gram("h", p, gram_size))), lambda p: is_winnowed("h", p, gram_size, guard))
+    hits = F.filter(F.filter(places("h", gram_size), lambda p: in_map(bit_map, bits, gram("h", p, gram_size))), lambda p: is_winnowed("h", p, gram_size, guard))
     last = F.size("w") - span
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.sequence(F.greatest(p - guard + 1, F.lit(0)), F.least(p, last)))))
     found = [F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(span).alias("n"), run_of("w", i, span).alias("window")))]
-    found += [short_candidates(bit_map, n) for n in short]
+    found += [short_candidates(bit_map, bits, n) for n in short]
     d = d.select("row", "id", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(*found)).alias("c")).select("row", "id", "n_words", "c.*")
     right = windows.select("n", "window", "items")
     if sum(counts.values()) <= BROADCAST_WINDOWS:

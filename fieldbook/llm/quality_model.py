@@ -31,8 +31,6 @@ SHAPES = 14
 WIDTH = CELLS + SHAPES
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 4000
-#: Passages of a training row that are kept as they are; of longer texts, neighbours are averaged.
-TRAIN_PASSAGES = 40
 
 _KIND = np.zeros(256, np.int64)  # lower letters and bytes beyond ASCII
 for _set, _k in ((range(65, 91), 1), (range(48, 58), 2), ((32, 9, 13), 3), ((10,), 4), (map(ord, ".,;:'\"?-()"), 5), (map(ord, "#*$%&|<>!@_=+{}[]^~\\/`"), 6)):
@@ -98,6 +96,18 @@ class Attention:
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.full(len(first) - 1, self.constant) if self.constant is not None else self.forward(x, first)[-1]
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross-entropy of the rows, by each parameter."""
+        h, t, g, a, z, bag, s = self.forward(x, first)
+        rep = lambda q: np.repeat(q, np.diff(first), axis=0)
+        d = (s - y) * weight / len(y)
+        dbag = d[:, None] * self.p["b"]
+        dz = a[:, None] * rep(dbag) * (z > 0)
+        da = (z * rep(dbag)).sum(1)
+        da = a * (da - rep(np.add.reduceat(a * da, first[:-1])))
+        dtg = da[:, None] * self.p["w"]
+        return {"b": bag.T @ d, "c": np.array([d.sum()]), "E": h.T @ dz, "e": dz.sum(0), "w": (t * g).T @ da, "V": h.T @ (dtg * g * (1 - t * t)), "U": h.T @ (dtg * t * g * (1 - g))}
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4) -> Attention:
         if len(set(y.tolist())) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -113,18 +123,7 @@ class Attention:
                 chosen = order[i : i + batch]
                 x = np.concatenate([bags[k] for k in chosen])
                 first = np.concatenate([[0], np.cumsum([len(bags[k]) for k in chosen])])
-                h, t, g, a, z, bag, s = self.forward(x, first)
-                rep = lambda q: np.repeat(q, np.diff(first), axis=0)  # noqa: B023, E731
-                d = (s - y[chosen]) * weight[chosen] / len(chosen)
-                grad = {"b": bag.T @ d, "c": np.array([d.sum()])}
-                dbag = d[:, None] * self.p["b"]
-                dz = a[:, None] * rep(dbag) * (z > 0)
-                grad["E"], grad["e"] = h.T @ dz, dz.sum(0)
-                da = (z * rep(dbag)).sum(1)
-                da = a * (da - rep(np.add.reduceat(a * da, first[:-1])))
-                grad["w"] = (t * g).T @ da
-                dtg = da[:, None] * self.p["w"]
-                grad["V"], grad["U"] = h.T @ (dtg * g * (1 - t * t)), h.T @ (dtg * t * g * (1 - g))
+                grad = self.gradient(x, first, y[chosen], weight[chosen])
                 step += 1
                 for k, q in self.p.items():
                     q_grad = grad[k] + decay * q
@@ -139,28 +138,26 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Attention:
-    """A model of at most train_rows labelled rows, half of them for each label where there are as many."""
+    """A model of at most train_rows labelled rows, half of them for each label where there are as many; every passage counts.
+
+    An id with unlike texts gives one of them, the least.
+    """
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     order = F.xxhash64(F.lit("sample"), F.col("id"))
     marked = marked.where("y = 1").orderBy(order).limit(train_rows // 2).unionByName(marked.where("y = 0").orderBy(order).limit(train_rows // 2))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")  # train_rows rows at most
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(1)):
                 x, first = passages(data, offsets)
-                out = []
-                for k in range(j - i):
-                    bag = x[first[k] : first[k + 1]]
-                    if len(bag) > TRAIN_PASSAGES:
-                        cut = np.linspace(0, len(bag), TRAIN_PASSAGES + 1).astype(int)[:-1]
-                        bag = np.add.reduceat(bag, cut) / np.diff(np.append(cut, len(bag)))[:, None]
-                    out.append(bag.astype(np.float32).tobytes())
+                out = [x[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(out, pa.binary())], names=["id", "y", "bag"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = rows.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, bag binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH).astype(float) for b in found["bag"].to_pylist()]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in found["bag"].to_pylist()]
     return Attention().fit(bags, found["y"].to_numpy().astype(float))
 
 

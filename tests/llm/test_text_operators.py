@@ -368,6 +368,47 @@ def test_quality_model(spark, empty):
     assert {r.score for r in quality_model.report(table, labels.where("false")).collect()} == {0.5}
 
 
+def test_gradient_against_differences():
+    r = np.random.default_rng(3)
+    model = quality_model.Attention(width=5, hidden=3)
+    first, y, weight = np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0]), np.array([0.7, 1.6, 0.7])
+    x = r.normal(0, 1, (9, 5))
+    model.mean, model.scale = np.zeros(5), np.ones(5)
+
+    def loss():
+        s = model.forward(x, first)[-1]
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).mean()
+
+    for name, grad in model.gradient(x, first, y, weight).items():
+        q = model.p[name]
+        assert grad.shape == q.shape
+        for at in np.ndindex(q.shape):
+            old = q[at]
+            q[at] = old + 1e-6
+            up = loss()
+            q[at] = old - 1e-6
+            assert abs((up - loss()) / 2e-6 - grad[at]) < 1e-5, (name, at)
+            q[at] = old
+
+
+def test_quality_model_takes_one_text_of_an_id(spark):
+    rows = [(i, prose(i, 30) if i % 2 else "buy " * 60) for i in range(60)] + [(1, prose(7, 9))] * 50
+    table = spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1)], "doc_id long, quality int")
+    assert quality_model.report(table, labels).count() == len(rows) + 1
+
+
+def test_map_bits_grow_with_the_windows():
+    sizes = [decontamination.map_bits(n) for n in (0, 1, 65_536, 65_537, 1_000_000, 10**9)]
+    assert sizes == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 24, 1 << 26]
+
+
+def test_decontamination_with_a_wider_map(docs, items, monkeypatch):
+    narrow = sorted(map(str, decontamination.report(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "MAP_BITS", (1 << 6, 1 << 6))  # a map that is full
+    assert sorted(map(str, decontamination.report(docs, items).collect())) == narrow
+
+
 def test_byte_bpe_round_trip_and_tiktoken(docs, empty, spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import tiktoken
