@@ -5,7 +5,8 @@ which it cannot match, a label and a priority.  A text is scanned only by the ru
 among its words.  Detections that lie within one of better priority, or within a longer one of the
 same, are suppressed; what remains gives the labels.
 
-The rules are licence names, each in a few hand-written forms of mention.
+The rules are hand-written: signatures of licences' texts, headers and notices, and patterns of their names
+in a few forms of mention.
 
 Defined cases: null and empty texts have no words, places, labels, and score 0; first_word and
 last_word are null without a base place; rows of one id and text share one row's labels and all stay.
@@ -134,21 +135,91 @@ FORMS = (
     (2, 0.7, r"(?:the )?{name} licen[sc]e(?: version| v)?(?: [0-9]+(?: [0-9]+)?)?"),
     (2, 0.7, r"licen[sc]e {name}"),
 )
-#: Rules that are not a name in a form: label, keyword, priority, score, pattern.
+#: Signatures that are not a name in a form, written from the texts, headers and notices of licences: label, keyword, priority, score, pattern.
 OTHERS = (
+    # dedications and reservations
     ("public-domain", "domain", 1, 0.9, r"(?:dedicated to|placed in(?:to)?|released (?:in)?to|in) the public domain"),
     ("all-rights-reserved", "reserved", 2, 0.5, r"all rights reserved"),
+    ("unlicense", "unencumbered", 0, 1.0, r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "relinquishment", 0, 1.0, r"an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
+    ("cc0-1.0", "waives", 0, 1.0, r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc0-1.0", "cc0", 1, 0.9, r"to the extent possible under law .{0,120}? has waived all copyright and related or neighboring rights(?: .{0,80}?)? cc0"),
+    ("wtfpl", "fuck", 0, 1.0, r"do what the fuck you want to public license"),
+    # permissive grants
     ("mit", "granted", 0, 1.0, r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "sublicense", 0, 1.0, r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "noninfringement", 1, 0.9, r"without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
     ("isc", "granted", 0, 1.0, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", 0, 0.9, r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("hpnd", "granted", 0, 1.0, r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("x11", "consortium", 0, 1.0, r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
     ("bsd", "redistribution", 0, 1.0, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "redistribute", 1, 0.9, r"this program is free software you can redistribute it and or modify it"),
-    ("unlicense", "unencumbered", 0, 1.0, r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "fuck", 0, 1.0, r"do what the fuck you want to public license"),
+    ("bsd", "redistributions", 0, 0.9, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", 0, 0.9, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "warranties", 1, 0.9, r"this software is provided by the (?:copyright holders? and contributors|regents and contributors|author(?: and contributors)?) as is and any express or implied warranties"),
+    ("bsd-3-clause", "endorse", 0, 1.0, r"neither the name of .{1,120}? nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", 0, 1.0, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "misrepresented", 0, 1.0, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", 0, 0.9, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost-1.0", "accompanying", 0, 1.0, r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ncsa", "deal", 0, 0.9, r"to deal with the software without restriction including without limitation"),
+    ("postgresql", "granted", 0, 0.9, r"without a written agreement is hereby granted provided that the above copyright notice"),
+    ("python-2.0", "psf", 0, 1.0, r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "openssl", 0, 1.0, r"this product includes software developed by the openssl project"),
+    ("php", "php", 0, 1.0, r"this product includes php software freely available from"),
+    ("upl-1.0", "larger", 0, 0.9, r"licensable by such licensor .{0,80}? the larger works"),
+    # Apache
     ("apache-2.0", "compliance", 0, 1.0, r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "distributed", 1, 0.9, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "contributor", 0, 1.0, r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "asf", 0, 1.0, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "apache", 0, 0.9, r"this product includes software developed by the apache software foundation"),
+    # GNU
+    ("gpl", "redistribute", 1, 0.9, r"this program is free software you can redistribute it and or modify it"),
+    ("gpl-2.0", "redistribute", 0, 1.0, r"redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?(?: either)? version 2"),
+    ("gpl-3.0", "redistribute", 0, 1.0, r"redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?(?: either)? version 3"),
+    ("gpl", "useful", 1, 0.8, r"is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", "received", 1, 0.9, r"you should have received a copy of the gnu general public license along with"),
+    ("gpl", "freedom", 0, 1.0, r"the gnu general public license is intended to guarantee your freedom to share and change"),
+    ("gpl-2.0", "freedom", 0, 1.0, r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", 0, 1.0, r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl", "verbatim", 1, 0.7, r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("lgpl", "lesser", 0, 1.0, r"redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "lesser", 1, 0.9, r"you should have received a copy of the gnu lesser general public license along with"),
+    ("lgpl-3.0", "supplemented", 0, 1.0, r"incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions"),
+    ("agpl", "affero", 0, 1.0, r"redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl-3.0", "affero", 0, 1.0, r"the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community"),
+    ("gfdl", "invariant", 0, 1.0, r"with no invariant sections no front cover texts and no back cover texts"),
+    # weak copyleft
+    ("mpl-2.0", "mozilla", 0, 1.0, r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "incompatible", 0, 1.0, r"this source code form is incompatible with secondary licenses"),
+    ("mpl-1.1", "mozilla", 0, 1.0, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "eclipse", 0, 1.0, r"made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
+    ("epl-2.0", "eclipse", 0, 1.0, r"made available under the terms of the eclipse public license v?(?:ersion)? ?2 0"),
+    ("epl", "recipient", 0, 0.9, r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "distribution", 0, 1.0, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "eupl", 0, 1.0, r"licensed under the eupl(?: version| v)? 1 [12]"),
+    ("artistic-2.0", "artistic", 0, 0.9, r"everyone is permitted to copy and distribute verbatim copies of this license document .{0,60}? the artistic license"),
+    # works other than software
+    ("cc", "commons", 0, 1.0, r"(?:this work|this article|this text|this page|the content|content) is licensed under a creative commons"),
+    ("cc-by", "attribution", 0, 1.0, r"is licensed under (?:a|the) creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)? license"),
+    ("cc-by-sa", "share", 0, 1.0, r"creative commons attribution share alike(?: [1-4] [05])?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-nc", "commercial", 0, 1.0, r"creative commons attribution non commercial(?: [1-4] [05])?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-nd", "derivatives", 0, 1.0, r"creative commons attribution no derivatives(?: [1-4] [05])?(?: international| unported| generic)?(?: license)?"),
+    ("cc", "adapted", 0, 0.9, r"adapted material means material subject to copyright and similar rights that is derived from or based upon the licensed material"),
+    ("odbl", "database", 0, 1.0, r"made available under the open database license"),
+    ("ofl", "reserved", 0, 1.0, r"with reserved font name"),
+    ("ofl-1.1", "font", 0, 1.0, r"this font software is licensed under the sil open font license version 1 1"),
+    # source available
+    ("busl-1.1", "licensor", 0, 1.0, r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl", "service", 0, 0.9, r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "hosted", 0, 0.9, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commercial", "eula", 1, 0.7, r"end user licen[sc]e agreement eula"),
+    ("proprietary", "prohibited", 1, 0.7, r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: of this (?:file|software|document|material))?(?: via any medium)? is (?:strictly )?prohibited"),
 )
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A text that this does not find cannot match a rule.
-GATE = rf"(?i)licen[cs]|spdx|(?:released|distributed|available|published|provided|covered|shared){_SEP}under|public{_SEP}domain|rights{_SEP}reserved|hereby|redistribut|unencumbered"
+GATE = rf"(?i)licen[cs]|spdx|(?:released|distributed|available|published|provided|covered|shared){_SEP}under|public{_SEP}domain|rights{_SEP}reserved|hereby|redistribut|unencumbered|warrant|relinquish|neighboring{_SEP}rights|advertising{_SEP}material|endorse|misrepresented|includes{_SEP}(?:software|php)|freedom|larger{_SEP}works|source{_SEP}code{_SEP}form|contents{_SEP}of{_SEP}this{_SEP}file|invariant{_SEP}sections|acceptance{_SEP}of|creative{_SEP}commons|reserved{_SEP}font|third{_SEP}parties|unauthori[sz]ed|to{_SEP}deal{_SEP}with|in{_SEP}writing|x{_SEP}consortium"
 
 
 def rules() -> list[tuple[int, str, str, int, float, str]]:

@@ -506,6 +506,33 @@ def test_license_keywords_lose_no_match(spark):
     assert labels == {0: "bsd-2-clause", 1: "gpl-2.0", 2: "lgpl-3.0"}
 
 
+def test_signatures_of_license_texts(spark):
+    """Each signature is found in a text made of it, past its keyword and the gate, and in the words of real notices."""
+    plain = lambda p: re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", lambda m: m[1], re.sub(r"\.\{\d+,\d+\}\?", "some", p)).replace("[sz]", "s").replace("[sc]", "s").replace("[12]", "1").replace("[1-4] [05]", "4 0").replace("?", "")
+    rows = [(k, plain(r[4])) for k, r in enumerate(licenses.OTHERS)]
+    found = {}
+    for r in licenses.detections(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["id"], set()).add(r["rule"])
+    assert sum(bool(re.search(f"(?<= )(?:{licenses.OTHERS[k][4]})(?= )", f" {t} ")) for k, t in rows) >= len(rows) - 3  # nested choices are not made plain
+    for k, t in rows:
+        pattern = licenses.OTHERS[k][4]
+        if re.search(f"(?<= )(?:{pattern})(?= )", f" {t} "):
+            norm = f" {t} "
+            assert licenses.OTHERS[k][1] in norm.split(), (k, t)
+            assert found.get(k), (k, t)
+    said = {
+        "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.": "mit",
+        "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts": "gfdl",
+    }
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(table).collect()}
+    for k, (t, label) in enumerate(said.items()):
+        assert label in labels[k], (t, labels[k])
+
+
 def test_decontamination_goes_by_row(items, spark):
     clean, bad = prose(20, 30), prose(21, 10) + " " + ITEMS[0][1]
     rows = [(None, clean), (None, bad), (None, None), (7, clean), (7, bad), (7, bad), (8, bad), (9, clean), (9, clean)]
