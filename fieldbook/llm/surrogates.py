@@ -1,6 +1,7 @@
 """PII surrogates: keyed, type-consistent replacements that keep entities apart and together.
 
-Detected: mail addresses, telephone numbers, IPv4 addresses, card numbers, and names after a title.
+Detected: mail addresses, telephone numbers, IPv4 addresses, card numbers, names after a title in Latin,
+Cyrillic or Greek letters, and later the full name without its title in the same text (kind bare).
 A surrogate comes from a keyed hash of kind, entity and attempt.  It keeps the format: separators and
 counts of digits, a card's check digit, the script and case of letters, the gender that a title shows.
 All mentions of an entity (compared without regard to case or separators) get one surrogate.  Distinct
@@ -9,7 +10,7 @@ as are surrogates that equal an entity of the corpus; the loop ends when none is
 the space: names by a syllable each, the others when ATTEMPTS have found no free surrogate in the format.
 
 A name is a family name and maybe a first name.  Family names have surrogates of their own, so that a
-surname alone and the full name keep it in common; a first name's surrogate is one of a number that
+surname alone and the full name keep it in common (in the script of the name); a first name's surrogate is one of a number that
 stands for a name of either gender, and is told apart from the others of its family.  As no two family
 names and no first names of one family meet, and no family name's surrogate is a family name of the
 corpus, written names are apart from each other and from real ones whatever gender they are written in.
@@ -36,36 +37,67 @@ from fieldbook.llm.common import materialise, string_chunks
 
 #: Attempts after which the space of a format counts as used up: then addresses may be any, digits and letters are added.
 ATTEMPTS = 50
-KINDS = ("email", "phone", "ip", "card", "name")
-_TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "doña": "f", "dr": "n", "prof": "n"}
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,20}"
+KINDS = ("email", "phone", "ip", "card", "name", "bare")
+_TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "doña": "f", "dr": "n", "prof": "n", "pan": "m", "pani": "f", "господин": "m", "г-н": "m", "госпожа": "f", "г-жа": "f", "доктор": "n", "профессор": "n", "κύριος": "m", "κος": "m", "κυρία": "f", "κα": "f"}
+#: Ranges of the letters of each script that names are found in.
+SCRIPTS = {"latin": ((0x41, 0x17F),), "cyrillic": ((0x400, 0x4FF),), "greek": ((0x370, 0x3FF),)}
+
+
+def _letters(script: str, upper: bool) -> str:
+    return "".join(c for a, b in SCRIPTS[script] for c in map(chr, range(a, b + 1)) if c.isalpha() and (c.isupper() if upper else c.islower()))
+
+
+_NAME = "(?:" + "|".join(f"[{_letters(x, True)}][{_letters(x, False)}]{{1,20}}" for x in SCRIPTS) + ")"
 _PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     "card": re.compile(r"(?<![\d.])(?:\d{4}[ -]?){3}\d{4}(?![\d.]?\d)"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    "name": re.compile(rf"(?<!\w)({'|'.join(sorted((t.title() for t in _TITLES), key=len, reverse=True))})(\.? )({_NAME}(?: {_NAME})?)"),
+    "name": re.compile(rf"(?<!\w)({'|'.join(sorted([t.capitalize() for t in _TITLES] + [t for t in _TITLES if '-' in t], key=len, reverse=True))})(\.? )({_NAME}(?: {_NAME})?)"),
 }
 #: First names by gender (n: either), and family names are made of syllables of the script of Latin.
 _FIRST = {"m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Max Noel Oscar Paul Rene Simon Theo Victor".split(), "f": "Ada Berta Clara Diana Emma Frida Greta Helen Ida Julia Klara Lena Marta Nora Olga Paula Rosa Sofia Tina Vera".split(), "n": "Alex Andrea Chris Dominique Jo Kim Lee Maxime Noa Robin Sam Sascha Toni Mika Eden Charlie Jamie Nicola Ulli Bente".split()}
 #: Places in each of the lists: a first name's surrogate is one, whatever the gender it is written in.
 _FIRSTS = 20
+#: Letters of the other scripts for those that the lists and syllables are made of; no two syllables become one.
+_LATIN = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+_WRITTEN = {
+    "cyrillic": dict(zip(_LATIN, "а б ц д е ф г х и й к л м н о п к р с т у в в кс ы з".split(), strict=True)),
+    "greek": dict(zip(_LATIN, "α μπ τσ ντ ε φ γκ χ ι τζ κ λ μ ν ο π κ ρ σ τ ου β β ξ υ ζ".split(), strict=True)),
+}
 _SYLLABLES = "ba be bi bo da de di do ga ge go la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split()
 
 
+def script_of(name: str) -> str:
+    """The script of a name's first letter, Latin if it is none of SCRIPTS."""
+    return next((x for x, ranges in SCRIPTS.items() if any(a <= ord(name[:1] or "a") <= b for a, b in ranges)), "latin")
+
+
+def written(name: str, script: str) -> str:
+    """A name of Latin letters in another script, one capital first."""
+    return name if script == "latin" else "".join(_WRITTEN[script].get(c, c) for c in name.lower()).capitalize()
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, mention) without overlaps."""
+    """(start, end, kind, mention) without overlaps; of a bare name the mention is its first one with a title."""
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in _PATTERNS["email"].finditer(text)]
     if any(c in text for c in "0123456789"):
         for kind in ("card", "phone", "ip"):
             found += [(m.start(), m.end(), kind) for m in _PATTERNS[kind].finditer(text) if kind != "card" or luhn(re.sub(r"\D", "", m[0])) or "-" not in m[0]]
-    found += [(m.start(), m.end(), "name") for m in _PATTERNS["name"].finditer(text)]
+    titled = {}  # full names, and the first mention of each with its title
+    for m in _PATTERNS["name"].finditer(text):
+        found.append((m.start(), m.end(), "name"))
+        if " " in m[3]:
+            titled.setdefault(m[3], m[0])
+    if titled:
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(titled, key=len, reverse=True)))})(?!\w)")
+        found += [(m.start(), m.end(), "bare") for m in again.finditer(text)]
     out, at = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], KINDS.index(x[2]))):
         if a >= at:
-            out.append((a, b, kind, text[a:b]))
+            out.append((a, b, kind, titled[text[a:b]] if kind == "bare" else text[a:b]))
             at = b
     return out
 
@@ -84,7 +116,7 @@ def canonical(kind: str, mention: str) -> str:
 
 def parts(kind: str, mention: str) -> list[tuple[str, str]]:
     """(kind, entity) of what has a surrogate of its own: of a name the family name, then the first name within the family."""
-    if kind != "name":
+    if kind not in ("name", "bare"):
         return [(kind, canonical(kind, mention))]
     *first, family = mention.lower().split(" ")[1:]
     return [("family", family)] + [("first", f"{family} {f}") for f in first]
@@ -118,7 +150,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return entity[:fixed] + "".join(str(next(r) % 8 + 2) if i == 0 else str(next(r) % 10) for i in range(len(entity) - fixed + more))
     syllables = lambda n: "".join(_SYLLABLES[next(r) % len(_SYLLABLES)] for _ in range(n))
     if kind == "family":
-        return syllables(3 + attempt).capitalize()
+        return written(syllables(3 + attempt).capitalize(), script_of(entity))
     return f"{entity.split(' ')[0]} #{next(r) % _FIRSTS} {syllables(attempt)}"
 
 
@@ -129,11 +161,12 @@ def shaped(kind: str, mention: str, new: list[str]) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "email":
         return new[0].upper() if mention.isupper() else new[0]
-    if kind == "name":
-        title = mention.split()[0]
+    if kind in ("name", "bare"):
+        title, *name = mention.split()
         names = _FIRST[_TITLES[title.rstrip(".").lower()]]
         family, *first = new
-        return " ".join([title, *(names[int(place[1:])] + more for _, place, more in (f.split(" ") for f in first)), family])
+        firsts = [written(names[int(place[1:])] + more, script_of(name[0])) for _, place, more in (f.split(" ") for f in first)]
+        return " ".join([*([title] if kind == "name" else []), *firsts, family])
     return new[0]
 
 
@@ -175,8 +208,11 @@ def mapping(distinct: DataFrame, key: bytes) -> DataFrame:
         current = materialise(again.select("kind", "entity", "attempt", "surrogate"), "surrogates")
 
 
-def replaced(docs: DataFrame, key: bytes = b"fieldbook", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text with surrogates, replacements array<struct<start, end, kind, surrogate>>) of each row; places are of the old text."""
+def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text with surrogates, replacements array<struct<start, end, kind, surrogate>>) of each row; places are of the old text.
+
+    Who has the key can test guesses at what a surrogate stands for: keep it secret, and use it again where corpora are to agree.
+    """
     found = detected(docs, id_col, text_col)
     dirty = materialise(found.where(F.size("mentions") > 0).withColumn("row", F.monotonically_increasing_id()), "mentions")
     each = dirty.select("row", F.explode("mentions").alias("m")).select("row", "m.start", F.posexplode("m.parts").alias("part", "p")).select("row", "start", "part", "p.*")
@@ -208,8 +244,8 @@ def replaced(docs: DataFrame, key: bytes = b"fieldbook", id_col: str = "doc_id",
     return clean.unionByName(done).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "replacements")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, key: bytes) -> DataFrame:
     """The query's columns: the new text, and what was replaced, as kind:start:end."""
-    r = replaced(docs)
+    r = replaced(docs, key)
     spans = F.array_join(F.transform("replacements", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return r.select("doc_id", F.size("replacements").cast("long").alias("n_entities"), spans.alias("spans"), F.transform("replacements", lambda x: x["surrogate"]).alias("surrogates"), "text")

@@ -454,7 +454,7 @@ def test_compression_rules(docs, empty):
 
 
 def test_surrogates(docs, empty, spark):
-    got = by_id(surrogates.report(docs))
+    got = by_id(surrogates.report(docs, b"k"))
     assert len(got) == len(TEXTS)
     r = got[64]
     for secret in ("Bob.Smith", "bob.smith", "555-7198", "62.244.50.243", "4255288147357540", "Muster"):
@@ -466,7 +466,7 @@ def test_surrogates(docs, empty, spark):
     assert surrogates.luhn(r.surrogates[4]) == surrogates.luhn("4255288147357540")
     assert r.surrogates[5].startswith("Herr ") and r.surrogates[5].split()[1] in surrogates._FIRST["m"] and r.surrogates[6].split()[1] in surrogates._FIRST["f"]
     assert got[16].text == BASE and got[1].text is None
-    assert surrogates.report(empty).count() == 0
+    assert surrogates.report(empty, b"k").count() == 0
 
 
 def test_surrogates_stay_apart(spark, monkeypatch):
@@ -478,7 +478,7 @@ def test_surrogates_stay_apart(spark, monkeypatch):
 
 
 def test_written_names_stay_apart(spark):
-    made = lambda rows: [r.surrogates[0] for r in surrogates.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    made = lambda rows: [r.surrogates[0] for r in surrogates.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
     pair = lambda i: chr(97 + i // 26 % 26) + chr(97 + i % 26)
     names = [f"Mr. Jo{pair(i)} Fa{pair(i // 3)}er" for i in range(2000)]
     got = made(names)
@@ -490,6 +490,26 @@ def test_written_names_stay_apart(spark):
     assert {len(x) for x in surrogates._FIRST.values()} == {surrogates._FIRSTS} and len({n for x in surrogates._FIRST.values() for n in x}) == 3 * surrogates._FIRSTS
 
 
+def test_names_of_other_scripts_and_without_title(spark):
+    rows = ["Mr. John Smith met Ann. John Smith left; Mr. Smith stayed, Johnny Smithson too.", "Господин Иван Петров и г-жа Ольга Петров", "Г-н Петров", "Κυρία Μαρία Νικολάου", "Mr. Łukasz Żółty", "John Smith alone"]
+    got = by_id(surrogates.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), b"k"))
+    full, bare, last = got[0].surrogates
+    assert got[0].spans == "name:0:14,bare:24:34,name:41:50"
+    assert full == f"Mr. {bare}" and last == f"Mr. {bare.split()[-1]}"
+    assert got[0].text == f"{full} met Ann. {bare} left; {last} stayed, Johnny Smithson too."
+    ivan, olga = got[1].surrogates
+    assert re.fullmatch("Господин [А-Я][а-я]+ [А-Я][а-я]+", ivan) and re.fullmatch("г-жа [А-Я][а-я]+ [А-Я][а-я]+", olga)
+    assert ivan.split()[-1] == olga.split()[-1] == got[2].surrogates[0].split()[-1] and "Петров" not in got[1].text
+    assert re.fullmatch("Κυρία [Α-Ω][α-ως]+ [Α-Ω][α-ως]+", got[3].surrogates[0])
+    assert got[4].surrogates and "Łukasz" not in got[4].text and "Żółty" not in got[4].text
+    assert got[5].text == rows[5]  # no title in this text: not told
+    for script in surrogates.SCRIPTS:  # nothing meets once it is written in another script
+        for names in surrogates._FIRST.values():
+            assert len({surrogates.written(n, script) for n in names}) == len(names)
+        two = {surrogates.written((a + b).capitalize(), script) for a in surrogates._SYLLABLES for b in surrogates._SYLLABLES}
+        assert len(two) == len(surrogates._SYLLABLES) ** 2
+
+
 def test_license_keywords_lose_no_match(spark):
     said = "FreeBSD,GPL1,GPL2,GNU GPL3.0,GPL v2,GPL version2,GPL 3,LGPL2,LGPL2.1,LGPL v2.1,LGPL3,AGPL3,AGPL v3,SIL Open Font License 1.1,OFL 1.1,GPLv2,BSD 2 clause".split(",")
     rows = list(enumerate(f.format(x) for x in said for f in ("{} License", "licensed under {}.", "SPDX-License-Identifier: {}")))
