@@ -19,13 +19,15 @@ def display_names(published: Column, current: Column, historic: Column, show_his
 def ranked(rows: DataFrame, key: str, group: str, name: str, out: str = "place", within: list[str] | None = None) -> DataFrame:
     """rows with their place by key (nulls last), then group, then name, within each of some groups.
 
-    Without groups a place is global: rows are range-partitioned and sorted by key, counted by partition,
-    and numbered in each, so that no task holds them all.
+    Without groups a place is global: rows are range-partitioned by key, counted by partition, and numbered
+    in each, so that no task holds them all.  A checkpoint keeps the partition of each row, as bounds that
+    are sampled twice could differ between the counts and the numbers.
     """
     order = [F.col(key).asc_nulls_last(), F.lower(F.col(group)), F.col(group), F.lower(F.col(name)), F.col(name)]
     if within:
         return rows.withColumn(out, F.row_number().over(W.partitionBy(*within).orderBy(*order)))
-    spread = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ready_checkpoints(rows.sparkSession)
+    spread = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
     ahead = spread.groupBy("_p").agg(F.count("*").alias("_n"))
     before = ahead.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition
     own = spread.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))

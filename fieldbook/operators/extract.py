@@ -59,13 +59,13 @@ def extract_gallery(refs: DataFrame) -> DataFrame:
 def extract_presence_table(pages: DataFrame, regions: DataFrame, codes: str = "CFURI") -> tuple[DataFrame, DataFrame]:
     """Cells (id, region, month, code) of every region, and warnings, from pages (id, html).
 
-    A row belongs to the region that its own link names and counts only with twelve cells; other codes
-    are blank.  regions is the dimension (region, pos).
+    A row belongs to the region that its own link names and counts only with twelve cells, the first of a
+    region's rows if there are more; other codes are blank.  regions is the dimension (region, pos).
     """
     has = F.col("html").rlike(r"(?i)<table\b")
-    row = pages.where(has).select("id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("r"))
-    row = row.select("id", F.regexp_extract("r", r"(?i)href=[\"'][^\"']*/ecoregion/([a-z_-]+)", 1).alias("region"), F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(strip_tags(c))).alias("cells")).where("region <> ''")
-    good = row.where("size(cells) = 12").groupBy("id", "region").agg(F.first("cells").alias("cells"))
+    row = pages.where(has).select("id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "r"))
+    row = row.select("id", "pos", F.regexp_extract("r", r"(?i)href=[\"'][^\"']*/ecoregion/([a-z_-]+)", 1).alias("region"), F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(strip_tags(c))).alias("cells")).where("region <> ''")
+    good = row.where("size(cells) = 12").groupBy("id", "region").agg(F.min_by("cells", "pos").alias("cells"))
     grid = pages.select("id").crossJoin(F.broadcast(regions.select("region")))
     wide = grid.join(good, ["id", "region"], "left")
     long = wide.select("id", "region", F.posexplode(F.coalesce("cells", F.array_repeat(F.lit(""), 12))).alias("m", "c"))

@@ -171,10 +171,10 @@ def sampled_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.agg(F.count("*").alias("covered"), F.count_if(F.col("n") >= 2).alias("doubly")).select("covered", "doubly", F.round(F.col("doubly") / F.col("covered"), 6).alias("share"))
 
 
-@query("pin_edits", "WITH e AS (SELECT user_id % 100 AS site, arg_max(event_type, event_id) AS kind, arg_max(round(value, 5), event_id) AS v FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY 1) SELECT s_suppkey, CASE WHEN kind = 'error' THEN NULL WHEN kind = 'click' THEN v ELSE round(s_acctbal, 5) END AS lat, CASE kind WHEN 'click' THEN 'placed-by-hand' WHEN 'error' THEN NULL WHEN 'purchase' THEN CASE WHEN s_acctbal IS NOT NULL THEN 'confirmed' END WHEN 'signup' THEN 'placed-by-hand' ELSE 'proposed' END AS source FROM supplier LEFT JOIN e ON site = s_suppkey")
+@query("pin_edits", "WITH e AS (SELECT user_id AS site, arg_max(event_type, event_id) AS kind, arg_max(round(value, 5), event_id) AS v FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup') GROUP BY 1) SELECT s_suppkey, CASE WHEN kind = 'error' THEN NULL WHEN kind = 'click' THEN v ELSE round(s_acctbal, 5) END AS lat, CASE kind WHEN 'click' THEN 'placed-by-hand' WHEN 'error' THEN NULL WHEN 'purchase' THEN CASE WHEN s_acctbal IS NOT NULL THEN 'confirmed' END WHEN 'signup' THEN 'placed-by-hand' ELSE 'proposed' END AS source FROM supplier LEFT JOIN e ON site = s_suppkey")
 def pin_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last edit of each site: click moves the pin, error clears it, purchase confirms, signup takes that back."""
-    log = table(spark, sf_dir, "events").where("event_type IN ('click', 'error', 'purchase', 'signup')").groupBy((F.col("user_id") % 100).alias("site")).agg(F.max_by(F.struct("event_type", F.round("value", 5).alias("v")), "event_id").alias("e"))
+    log = table(spark, sf_dir, "events").where("event_type IN ('click', 'error', 'purchase', 'signup')").groupBy(F.col("user_id").alias("site")).agg(F.max_by(F.struct("event_type", F.round("value", 5).alias("v")), "event_id").alias("e"))
     s = table(spark, sf_dir, "supplier").join(log, F.col("s_suppkey") == F.col("site"), "left")
     kind, own = F.col("e.event_type"), F.round("s_acctbal", 5)
     lat = F.when(kind == "error", None).when(kind == "click", F.col("e.v")).otherwise(own)
@@ -182,10 +182,10 @@ def pin_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", lat.alias("lat"), source.alias("source"))
 
 
-@query("focus_extent", f"WITH f AS (SELECT min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM ({_POINTS}) WHERE label = 2 AND id % 7 = 0), u AS (SELECT lon, lat FROM ({_POINTS}), f WHERE (label = 2 AND id % 7 = 0) OR (lon BETWEEN w - 0.35 * (e - w) AND e + 0.35 * (e - w) AND lat BETWEEN s - 0.35 * (n - s) AND n + 0.35 * (n - s))) SELECT min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM u")
+@query("focus_extent", f"WITH f AS (SELECT min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM ({_POINTS}) WHERE label = 2), u AS (SELECT lon, lat FROM ({_POINTS}), f WHERE label = 2 OR (lon BETWEEN w - 0.35 * (e - w) AND e + 0.35 * (e - w) AND lat BETWEEN s - 0.35 * (n - s) AND n + 0.35 * (n - s))) SELECT min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north FROM u")
 def focus_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    focus = (F.col("label") == 2) & (F.col("id") % 7 == 0)
+    focus = F.col("label") == 2
     f = p.where(focus).agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n")).select(F.struct("w", "e", "s", "n").alias("f")).scalar()
     q = p.select("*", f.alias("f"))
     dx, dy = 0.35 * (F.col("f.e") - F.col("f.w")), 0.35 * (F.col("f.n") - F.col("f.s"))

@@ -101,7 +101,7 @@ def test_gallery_hero_rules(spark):
 
 def test_presence_table_rows_are_keyed_by_their_link(spark):
     cells = lambda s: "".join(f"<td>{'' if c == '-' else c}</td>" for c in s)
-    page = f"<table><tr><a href='/e/ecoregion/south'>s</a>{cells('CC--------CX')}</tr><tr><a href='/e/ecoregion/north'>n</a>{cells('FFF')}</tr></table>"
+    page = f"<table><tr><a href='/e/ecoregion/south'>s</a>{cells('CC--------CX')}</tr><tr><a href='/e/ecoregion/north'>n</a>{cells('FFF')}</tr><tr><a href='/e/ecoregion/south'>again</a>{cells('RRRRRRRRRRRR')}</tr></table>"
     pages = spark.createDataFrame([(1, page), (2, "none")], "id long, html string")
     regions = spark.createDataFrame([("north", 0), ("south", 1)], "region string, pos int")
     got, warned = extract.extract_presence_table(pages, regions)
@@ -110,6 +110,13 @@ def test_presence_table_rows_are_keyed_by_their_link(spark):
     assert {(r.id, r.warning) for r in warned.collect()} == {(1, "row of 3 cells: north"), (1, "unknown code: X"), (2, "no table: rarity"), (1, "region missing: north")}
 
 
+def test_places_are_global_however_rows_are_dealt(spark):
+    rows = spark.range(5000).selectExpr("cast(id * 7919 % 613 AS int) AS key", "concat('g', id % 3) AS grp", "concat('n', id) AS name").repartition(7)
+    got = catalog.ranked(rows, "key", "grp", "name").collect()
+    order = sorted(got, key=lambda r: (r.key, r.grp, r.name))
+    assert [r.place for r in order] == list(range(1, 5001))
+
+
 def test_big_tables_and_page_blocks(spark):
     big = "<table>" + "<tr></tr>" * 6 + "</table>"
     kept, skipped = extract.skip_big_tables(spark.createDataFrame([(1, big), (2, "<table><tr></tr></table>"), (3, "<p>x</p>")], "id long, html string"))
