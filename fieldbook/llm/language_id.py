@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        bits = m.weights.shape[1]
+        bits, by_bit = m.weights.shape[1], np.ascontiguousarray(m.weights.T)
         for batch in batches:
             text_at, lettered_at = batch.schema.get_field_index("_text"), batch.schema.get_field_index("_lettered")
             lettered_all = np.array([bool(x) for x in batch.column(lettered_at).to_pylist()], bool)
@@ -133,10 +133,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 best, score, unsure = np.zeros(j - i, int), np.zeros(j - i), np.ones(j - i, bool)
                 if bits and lettered.any():
                     cells, (starts, ends) = grams(data, offsets)
-                    sums = np.zeros((len(cells) + 1, bits))
-                    np.cumsum(m.weights[cells], axis=0, dtype=np.float64, out=sums[1:])
-                    n = np.maximum(ends - starts, 1)
-                    mean = (sums[ends] - sums[starts]) / n[:, None]
+                    n, sums, total = np.maximum(ends - starts, 1), np.empty((j - i, bits)), np.zeros(len(cells) + 1)
+                    for b in range(bits):  # one bit at a time: what a chunk takes does not grow with the code
+                        np.cumsum(by_bit[b][cells], dtype=np.float64, out=total[1:])
+                        sums[:, b] = total[ends] - total[starts]
+                    mean = sums / n[:, None]
                     loss = m.losses(mean * np.minimum(n, FULL)[:, None])
                     two = np.sort(loss, 1)[:, :2]
                     best = loss.argmin(1)
