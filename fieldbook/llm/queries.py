@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, quality_model, run_length_dedup, secrets, surrogates
+from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, piece_bpe, quality_model, run_length_dedup, secrets, surrogates
 from fieldbook.llm.common import read_table
 
 
@@ -54,6 +54,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_bpe.digests(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_model": op2_quality_model,
@@ -65,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_compression_rules": op9_compression_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_piece_bpe": op13_piece_bpe,
 }
