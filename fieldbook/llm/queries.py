@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, piece_bpe, quality_model, run_length_dedup, secrets, surrogates
+from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, piece_bpe, quality_model, ranked_search, run_length_dedup, secrets, surrogates
 from fieldbook.llm.common import read_table
 
 
@@ -54,6 +54,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_compression_rules": op9_compression_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_ranked_search": op11_ranked_search,
     "op13_piece_bpe": op13_piece_bpe,
 }

@@ -47,4 +47,15 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op3_run_length_dedup": SUBSTRING_DEDUP, "op10_jaccard_join": JACCARD}
+RANKED = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS.format("text")}) AS t FROM benchmark),
+st AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, st GROUP BY t, n_docs),
+imp AS (SELECT doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS s FROM tf JOIN df USING (t), st),
+sc AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN imp USING (t) GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op3_run_length_dedup": SUBSTRING_DEDUP, "op10_jaccard_join": JACCARD, "op11_ranked_search": RANKED}
