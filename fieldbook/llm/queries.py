@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import byte_bpe, compression_rules, decontamination, jaccard_join, language_id, licenses, piece_bpe, quality_model, ranked_search, run_length_dedup, secrets, surrogates
+from fieldbook.llm import byte_bpe, collocations, compression_rules, decontamination, jaccard_join, language_id, licenses, piece_bpe, quality_model, ranked_search, run_length_dedup, secrets, surrogates
 from fieldbook.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_compression_rules": op9_compression_rules,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
     "op13_piece_bpe": op13_piece_bpe,
 }

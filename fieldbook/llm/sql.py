@@ -58,4 +58,18 @@ sc AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN imp U
 SELECT item_id, CAST(r AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op3_run_length_dedup": SUBSTRING_DEDUP, "op10_jaccard_join": JACCARD, "op11_ranked_search": RANKED}
+COLLOCATIONS = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, unnest([1, 2, 3]) AS t(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, k, g, a, c, array_to_string(w[1:c], ' ') AS g1, array_to_string(w[c + 1:k], ' ') AS g2 FROM c, unnest([1, 2]) AS t(c) WHERE c < k),
+s AS (SELECT cut.lang, cut.k, cut.g, a, c, x.f AS l, y.f AS r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = g1 JOIN f y ON y.lang = cut.lang AND y.g = g2),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+d AS (SELECT DISTINCT i.lang, i.g FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM c WHERE k = 3) o JOIN c i USING (lang, g) WHERE 100 * o.a >= 50 * i.a)
+SELECT b.lang, rank, g AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM b ANTI JOIN d USING (lang, g)) b JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op3_run_length_dedup": SUBSTRING_DEDUP, "op10_jaccard_join": JACCARD, "op11_ranked_search": RANKED, "op12_collocations": COLLOCATIONS}
