@@ -149,7 +149,16 @@ def point_in_polygon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXT = f"(SELECT label, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM ({_POINTS}) GROUP BY label)"
 
 
-@query("label_point", None)
+_QUAD = "list_transform([[w, (s + n) / 2], [(w + e) / 2, s], [e, (s + n) / 2], [(w + e) / 2, n]], lambda p: {'x': p[1], 'y': p[2]})"
+_LABEL = f"""WITH ext AS {_EXT}, ring AS (SELECT CAST(label AS VARCHAR) AS region, w, e, s, n, {_QUAD} AS r FROM ext),
+g AS (SELECT region, r, i, j, w + (e - w) * i / 24 AS lon, s + (n - s) * j / 24 AS lat FROM ring, range(1, 24) AS t(i), range(1, 24) AS u(j)),
+ins AS (SELECT *, len(list_filter([1, 2, 3, 4], lambda k: (r[k].y > lat) <> (r[k % 4 + 1].y > lat) AND lon < (r[k % 4 + 1].x - r[k].x) * (lat - r[k].y) / (r[k % 4 + 1].y - r[k].y) + r[k].x)) % 2 = 1 AS inside FROM g),
+d AS (SELECT *, round(list_min(list_transform(r, lambda p: (p.x - lon) ** 2 + (p.y - lat) ** 2)), 12) AS d FROM ins WHERE inside),
+best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY region ORDER BY d DESC, i, j) = 1)
+SELECT region, round(coalesce(best.lon, list_avg(list_transform(ring.r, lambda p: p.x))), 4) AS lon, round(coalesce(best.lat, list_avg(list_transform(ring.r, lambda p: p.y))), 4) AS lat FROM ring LEFT JOIN best USING (region)"""
+
+
+@query("label_point", _LABEL)
 def label_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the quadrilaterals that span the labels' extents (their corners cut towards the middle)."""
     e = points(spark, sf_dir).groupBy("label").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
