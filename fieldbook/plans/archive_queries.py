@@ -22,9 +22,43 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-@query("canonical_url", f"SELECT page_id, {_CANON} AS canonical FROM pages")
+#: The pages again as those of one site below a root segment that is written in three ways, each with links of every kind.
+SITE = A.Site("http://www.example.com", HOSTS, "/wiki/", (r"^/wiki/$", r"^/wiki/[a-z]{2}/[0-9]+$"), (r"^/wiki/(?:[^/]+/)*images/[^/]+$", r"^/wiki/(?:css|js)/[^/]+$"), (("https://cdn.other.net/lib.js", "vendor/lib.js"),))
+_SITE_URL = "regexp_extract(url, '^([a-z]+://[^/]*)', 1) || CASE page_id % 3 WHEN 0 THEN '/Wiki' WHEN 1 THEN '/WIKI' ELSE '/wiki' END || regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1)"
+_N = object()  # stands for the page's number
+_LINK_PARTS = (
+    """<style>.h{background:url("/Wiki/images/h""", _N, """.png")} .b{background:url( ../images/b.gif )}</style><script>var u="http:\\/\\/countries.www.a.example.com\\/WIKI\\/en\\/""", _N,
+    """";$("#s").css("background","url(\\"https://m.b.example.net/wiki/images/s.jpg\\")")</script><a href="http://elsewhere.test/x">x</a><a href="https://m.Q.example.com/WIKI/fr/""", _N,
+    """?a=1&amp;b=2#f">y</a><a href="/wiki/">top</a><a href="mailto:a@b.c">m</a><img src="images/p""", _N, """_s.JPG" style="background:url('/wiki/css/x.css')"><script src="https://cdn.other.net/lib.js"></script><script src="/WIKI/js/own.js"></script>""",
+)
+_SITE_HTML = "html || " + " || ".join("CAST(page_id AS VARCHAR)" if x is _N else "'" + x.replace("'", "''") + "'" for x in _LINK_PARTS)
+_SITE_PAGES = f"(SELECT page_id, {_SITE_URL} AS url, {_SITE_HTML} AS html FROM pages)"
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.expr(_SITE_URL).alias("url"), F.concat("html", *[F.col("page_id").cast("string") if x is _N else F.lit(x) for x in _LINK_PARTS]).alias("html"))
+
+
+def _canon(u: str) -> str:
+    """SQL of the canonical form within SITE."""
+    host, path = f"regexp_extract({u}, '^[A-Za-z]+://([^/?#]*)', 1)", f"regexp_extract({u}, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1)"
+    return f"CASE WHEN regexp_matches(lower({host}), '\\.example\\.(?:com|net)$') AND regexp_matches({path}, '(?i)^/wiki(?:/|$)') THEN 'http://www.example.com/wiki/' || regexp_replace({path}, '(?i)^/wiki/?', '') END"
+
+
+def _site_kind(u: str) -> str:
+    return f"CASE WHEN regexp_matches({u}, '^http://www.example.com/wiki/(?:[a-z]{{2}}/[0-9]+)?$') THEN 'page' WHEN regexp_matches({u}, '^http://www.example.com/wiki/(?:(?:[^/]+/)*images|css|js)/[^/]+$') THEN 'asset' END"
+
+
+def _absolute(link: str) -> str:
+    """SQL of a link of these pages as an absolute URL; they step up one folder at most, at their start."""
+    folder = "regexp_extract(src, '^([A-Za-z]+://[^?#]*/)', 1)"
+    return f"regexp_replace(CASE WHEN regexp_matches({link}, '^[A-Za-z]+:') THEN {link} WHEN starts_with({link}, '/') THEN regexp_extract(src, '^([A-Za-z]+://[^/?#]*)', 1) || {link} ELSE {folder} || {link} END, '/[^/]+/\\.\\./', '/')"
+
+
+@query("canonical_url", f"SELECT page_id, {_CANON} AS canonical, {_canon('site_url')} AS in_site FROM (SELECT page_id, url, {_SITE_URL} AS site_url FROM pages)")
 def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", A.canonical_url(F.col("url"), HOSTS).alias("canonical"))
+    """Under the page's own host, and as one site: one origin, one case of the root."""
+    return pages(spark, sf_dir).select("page_id", A.canonical_url(F.col("url"), HOSTS).alias("canonical"), SITE.canonical(F.expr(_SITE_URL)).alias("in_site"))
 
 
 _PATH0 = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
@@ -49,13 +83,17 @@ def variant_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(A.variant_siblings(F.expr(_NAME)), ",").alias("siblings"))
 
 
-_LINKS = """(SELECT page_id, i - 1 AS pos, src, CASE WHEN regexp_matches(link, '^[A-Za-z]+://') THEN link WHEN starts_with(link, '/') THEN regexp_extract(src, '^([A-Za-z]+://[^/?#]*)', 1) || link ELSE regexp_extract(src, '^([A-Za-z]+://[^/?#]*)', 1) || CASE WHEN regexp_extract(src, '^[A-Za-z]+://[^/?#]*((?:/[^/?#]*)*/)', 1) = '' THEN '/' ELSE regexp_extract(src, '^[A-Za-z]+://[^/?#]*((?:/[^/?#]*)*/)', 1) END || link END AS dst
-  FROM (SELECT page_id, url AS src, unnest(ls) AS link, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)(?:href|src|data-large_file|data-image_url)\\s*=\\s*["'']([^"'']+)["'']', 1) AS ls FROM pages)) WHERE NOT regexp_matches(link, '(?i)^(?:mailto:|javascript:|data:|#|tel:)'))"""
+_OWN = A.IN_TEXT.replace("'", "''")
+_LINKS = f"""(SELECT page_id, CAST(pos AS INT) AS pos, src, dst, {_site_kind("dst")} AS kind FROM (SELECT page_id, pos, src, {_canon("a")} AS dst FROM (SELECT page_id, i - 1 AS pos, src, {_absolute("link")} AS a
+  FROM (SELECT page_id, src, unnest(ls) AS link, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, url AS src, regexp_extract_all(html, '(?i)(?:href|src|data-large_file|data-image_url)\\s*=\\s*["'']([^"'']+)["'']', 1)
+    || regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<style\\b[^>]*>(.*?)</style>', 1) || regexp_extract_all(html, '(?is)<[a-z][^<>]*\\sstyle\\s*=\\s*"([^"]*)"', 1), chr(10)), '(?i)url\\(\\s*["'']?([^"'')]+?)["'']?\\s*\\)', 1)
+    || list_transform(regexp_extract_all(html, '{_OWN}'), lambda x: replace(x, '\\/', '/')) AS ls FROM {_SITE_PAGES}))
+  WHERE NOT regexp_matches(link, '(?i)^(?:mailto:|javascript:|data:|#|tel:)'))) WHERE {_site_kind("dst")} IS NOT NULL)"""
 
 
 @query("extract_links", f"SELECT page_id, pos, src, dst FROM {_LINKS}")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.extract_links(pages(spark, sf_dir))
+    return A.extract_links(site_pages(spark, sf_dir), SITE)
 
 
 @query("wrapper_links", "SELECT DISTINCT 'http://origin.example/wrapper?id=' || regexp_extract(url, '[?&]page=([0-9]+)', 1) || '&type=' || regexp_extract(url, '[?&]ref=([A-Za-z]+)', 1) AS wrapper FROM pages WHERE regexp_matches(url, '[?&]page=[0-9]+&ref=[A-Za-z]+')")
@@ -64,12 +102,27 @@ def wrapper_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).where(at(1) != "").select(F.concat(F.lit("http://origin.example/wrapper?id="), at(1), F.lit("&type="), at(2)).alias("wrapper")).distinct()
 
 
-@query("crawl_frontier", f"SELECT dst AS url, arg_min(src, page_id * 1000000 + pos) AS referrer FROM {_LINKS} WHERE dst NOT IN (SELECT dst FROM {_LINKS} WHERE page_id % 3 = 0) GROUP BY dst")
+_LOG = f"(SELECT {_canon('url')} AS url, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status, event_id AS seq FROM events JOIN {_SITE_PAGES} ON page_id = user_id WHERE event_type IN ('error', 'view') UNION ALL SELECT 'http://www.example.com/wiki/images/h' || user_id || '.png', CASE WHEN event_type = 'signup' THEN 404 ELSE 200 END, event_id FROM events WHERE event_type IN ('signup', 'click'))"
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, status, seq): errors and views of pages, and of their images; a page may fail and be fetched later, or the other way about."""
+    e = table(spark, sf_dir, "events")
+    p = site_pages(spark, sf_dir).select("page_id", SITE.canonical(F.col("url")).alias("url"))
+    of_pages = e.where("event_type IN ('error', 'view')").join(p, F.col("page_id") == F.col("user_id")).select("url", F.when(F.col("event_type") == "error", 404).otherwise(200).alias("status"), F.col("event_id").alias("seq"))
+    image = F.concat(F.lit("http://www.example.com/wiki/images/h"), F.col("user_id").cast("string"), F.lit(".png"))
+    return of_pages.unionByName(e.where("event_type IN ('signup', 'click')").select(image.alias("url"), F.when(F.col("event_type") == "signup", 404).otherwise(200).alias("status"), F.col("event_id").alias("seq")))
+
+
+_FOUND = f"""(SELECT page_id, pos, src, 0 AS k, dst AS url FROM {_LINKS} UNION ALL SELECT page_id, pos, src, k, regexp_replace(dst, '(?i)_([stl])\\.(jpg|jpeg|gif|png)$', '') || CASE k WHEN 1 THEN CASE WHEN v = 's' THEN '_t' ELSE '_s' END WHEN 2 THEN CASE WHEN v = 'l' THEN '_t' ELSE '_l' END ELSE '' END || regexp_extract(dst, '(\\.[A-Za-z]+)$', 1)
+  FROM (SELECT *, lower(regexp_extract(dst, '(?i)_([stl])\\.(?:jpg|jpeg|gif|png)$', 1)) AS v FROM {_LINKS}), unnest([1, 2, 3]) AS t(k) WHERE v <> '')"""
+
+
+@query("crawl_frontier", f"""WITH f AS {_FOUND}, done AS (SELECT url FROM (SELECT url, arg_max(status, seq) AS status FROM {_LOG} GROUP BY url) WHERE status = 200),
+first AS (SELECT * FROM f WHERE url NOT IN (SELECT url FROM done WHERE url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos, k) = 1)
+SELECT CASE {_site_kind("url")} WHEN 'page' THEN 0 WHEN 'asset' THEN 1 END AS tier, url, src AS referrer, page_id, pos FROM first WHERE {_site_kind("url")} IS NOT NULL""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the links of every third page lead to counts as fetched."""
-    links = A.extract_links(pages(spark, sf_dir))
-    fetched = links.where("page_id % 3 = 0").select(F.col("dst").alias("url"), F.lit(200).alias("status")).distinct()
-    return A.crawl_frontier(links, fetched)
+    return A.crawl_frontier(A.extract_links(site_pages(spark, sf_dir), SITE), fetch_log(spark, sf_dir), SITE)
 
 
 @query("reachable_set", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), r(node, hops) USING KEY (node) AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT DISTINCT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM recurring.r)) SELECT node, hops FROM r")
@@ -102,15 +155,27 @@ def missing_at_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).join(failed, "page_id", "left_semi").select(asset_name(F.col("url")).alias("name")).where("name IS NOT NULL").distinct()
 
 
-_AP = "CASE WHEN regexp_replace({0}, '^/', '') = '' THEN 'pages/index.html' ELSE 'pages/' || regexp_replace({0}, '^/', '') || '.html' END"
+_INDEX = f"(SELECT {_canon('url')} AS url FROM {_SITE_PAGES} WHERE page_id % 5 <> 0 UNION SELECT dst FROM {_LINKS} WHERE kind = 'asset' AND page_id % 4 <> 0)"
+_STORED = "CASE WHEN {0} LIKE '%/wiki/' THEN 'pages/index.html' WHEN " + _site_kind("{0}").replace("{2}", "{{2}}") + " = 'asset' THEN 'assets/' || substr({0}, 29) ELSE 'pages/' || substr({0}, 29) || '.html' END"
+_CUT = "(?i)((?:href|src|data-large_file|data-image_url)\\s*=\\s*[\"''])([^\"'']+)([\"''])|" + _OWN
+_REWRITTEN = f"""WITH p AS (SELECT page_id, url AS src, html, {_STORED.format(_canon("url"))} AS path FROM {_SITE_PAGES} WHERE {_site_kind(_canon("url"))} = 'page'),
+idx AS (SELECT url, {_STORED.format("url")} AS to_path FROM {_INDEX}),
+m AS (SELECT page_id, src, path, unnest(w) AS whole, unnest(l) AS link, unnest(b) AS before, unnest(a) AS after, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, regexp_extract_all(html, '{_CUT}', 0) AS w, regexp_extract_all(html, '{_CUT}', 1) AS b, regexp_extract_all(html, '{_CUT}', 2) AS l, regexp_extract_all(html, '{_CUT}', 3) AS a FROM p)),
+d AS (SELECT *, {_canon(_absolute("raw"))} AS dst FROM (SELECT *, CASE WHEN link <> '' THEN link ELSE replace(whole, '\\/', '/') END AS raw FROM m)),
+t AS (SELECT d.*, CASE WHEN link = 'https://cdn.other.net/lib.js' THEN 'vendor/lib.js' ELSE to_path END AS to_path FROM d LEFT JOIN idx ON idx.url = dst AND NOT regexp_matches(raw, '(?i)^(?:mailto:|javascript:|data:|#|tel:)')),
+r AS (SELECT page_id, i, to_path IS NOT NULL AS done, CASE WHEN to_path IS NULL THEN whole ELSE coalesce(before, '') || CASE WHEN path = 'pages/index.html' THEN CASE WHEN to_path LIKE 'pages/%' THEN substr(to_path, 7) ELSE '../' || to_path END
+  WHEN to_path LIKE 'pages/__/%' AND substr(to_path, 1, 9) = substr(path, 1, 9) THEN substr(to_path, 10) WHEN to_path LIKE 'pages/%' THEN '../' || substr(to_path, 7) ELSE '../../' || to_path END || coalesce(after, '') END AS txt FROM t),
+l AS (SELECT page_id, list(txt ORDER BY i) AS txts, count(*) FILTER (WHERE done) AS n FROM r GROUP BY page_id)
+SELECT page_id, path, sha256(array_to_string(list_transform(range(1, len(parts) + 1), lambda k: parts[k] || coalesce(txts[k], '')), '')) AS sha, coalesce(n, 0) AS replaced FROM (SELECT page_id, path, regexp_split_to_array(html, '{_CUT}') AS parts FROM p) LEFT JOIN l USING (page_id)"""
 
 
-@query("rewrite_links", None)
+@query("rewrite_links", _REWRITTEN)
 def rewrite_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, pos, dst, relative): links as paths relative to the page's own stored path."""
-    path = lambda c: A.archive_path(F.col(c), F.coalesce(A.url_kind(F.col(c), PAGES, ASSETS), F.lit("")))
-    links = A.extract_links(pages(spark, sf_dir)).select("page_id", "pos", "dst", path("src").alias("a"), path("dst").alias("b"))
-    return links.select("page_id", "pos", "dst", A.relative_path(F.col("a"), F.col("b")).alias("relative"))
+    """Four of five pages, and what assets three of four pages name, are archived."""
+    p = site_pages(spark, sf_dir)
+    links = A.extract_links(p.where("page_id % 4 <> 0"), SITE)
+    urls = p.where("page_id % 5 <> 0").select(SITE.canonical(F.col("url")).alias("url")).union(links.where(SITE.kind(F.col("dst")) == "asset").select("dst")).distinct()
+    return A.rewrite_links(p, SITE, urls.select("url", SITE.path(F.col("url")).alias("path"))).select("page_id", "path", F.sha2("html", 256).alias("sha"), "replaced")
 
 
 @query("strip_tracking", "SELECT page_id, sha256(regexp_replace(html, '(?is)<script\\b[^>]*>(?:var [a-z]=\"[^\"]*\";)?track\\([^<]*</script>', '', 'g')) AS sha, strlen(regexp_replace(html, '(?is)<script\\b[^>]*>(?:var [a-z]=\"[^\"]*\";)?track\\([^<]*</script>', '', 'g')) AS bytes FROM pages")
