@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldbook.llm.common import RollingHash, column, components, free_name, materialise, mix, small, text_chunks
+from fieldbook.llm.common import column, components, free_name, materialise, mix, small, text_chunks, word_hashes
 
 #: Shingles of a bucket, of a task's hand-over, and of a block of a group.
 BUCKET = 8_000_000
@@ -72,7 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     last = word.copy()
     last[:-1] &= ~word[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
-    hashes = RollingHash(data).of(starts, ends)
+    hashes = word_hashes(data, starts, ends)
     bounds = np.searchsorted(starts, offsets)
     many = max(0, len(hashes) - n + 1)
     rolled = np.zeros(many, np.uint64)

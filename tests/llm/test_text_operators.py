@@ -260,6 +260,20 @@ def test_divide_skip_against_brute_force():
             assert dict(jaccard_join.merge_skip(index.places, lists, 3)) == {k: b for k, b in enumerate(both) if b >= 3}
 
 
+def test_words_of_a_regular_build_do_not_meet(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    pairs = [(word[:n], other[:n]) for n in (64, 1024, 4096)] + [(word[:1024] + other[:1024], other[:1024] + word[:1024])]
+    rows = [(10 * i + j, f"{w} x y z {w}") for i, p in enumerate(pairs) for j, w in enumerate(p)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert got == {i: i for i, _ in rows}
+    data = np.frombuffer("".join(w for p in pairs for w in p).encode(), np.uint8)
+    ends = np.cumsum([len(w) for p in pairs for w in p])
+    assert len(set(common.word_hashes(data, np.concatenate([[0], ends[:-1]]), ends).tolist())) == 8
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges, "t").collect()}
