@@ -1,15 +1,15 @@
 """Phrase collocations, counted in HAT-tries.
 
-Phrases of one word, then two, then three are counted, a pass each.  A task numbers words and keeps its
-counts in a trie over word numbers: a node is a hash container of what follows its prefix; one that
-grows over BURST entries bursts into a node for each next word, so the trie stays as shallow as a
-phrase is long.  When HELD entries are in it, the largest subtrees leave as sorted runs, whole, until
-half is left; at the end the rest leaves.  A run goes, by its prefix, to the task that merges the runs of that
-prefix; the followers of a prefix are dealt to BUCKETS buckets by hash, so a prefix that starts a third of all
-phrases is not one task's.
-
-A phrase that occurs often enough has only words and parts that do, so each pass leaves out what holds a
-part that is too rare.  What is frequent is told by a bit map of a fixed size that every task gets; the
+Words and phrases of two words are counted in one pass, phrases of three in another.  A task numbers words
+and keeps its counts in a trie over word numbers: below a first word is a hash container of what
+follows it; one that grows over BURST entries bursts into a node for each next word, so the trie
+stays as shallow as a phrase is long.  When HELD entries are in it, the largest subtrees leave as sorted runs,
+whole, until half is left; at the end the rest leaves.  Runs are dealt by prefix, the first two words, and the
+task of a prefix merges them; a prefix that starts more than one of COMMON phrases is dealt by its third word
+too, so it is not one task's.
+
+A phrase that occurs often enough has only words and parts that do, so the second pass leaves out what
+holds a word or a pair that is too rare.  What is frequent is told by a bit map of a fixed size that every task gets; the
 more phrases a corpus has, the less it sorts out, and results do not depend on it.
 
 Candidates then meet the counts of their parts by joins; scores are whole numbers in 38 digits.
@@ -20,9 +20,9 @@ phrases do not cross pieces, lines or documents; other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,9 @@ from fieldbook.llm.common import column, materialise, mix, small, small_batches,
 BURST = 16_384
 HELD = 1_000_000
 WORDS = 1_000_000
-#: Buckets that the followers of a prefix are dealt to, and rows of an Arrow batch.
-BUCKETS = 256
-ROWS = 20_000
+#: A prefix is common if it starts one of so many phrases; and the rows of an Arrow batch.
+COMMON = 4096
+ROWS = 1000
 #: Bits of the number of bits of the map of frequent phrases.
 MAP_BITS = 25
 _BITS = 21  # of a word's number: three make a key
@@ -53,12 +53,17 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def phrase_bits(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
-    """Places in the map of phrases, from the hashes of their first words, second words, and so on."""
+def phrase_hash(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases, from the hashes of their first words, second words, and so on."""
     h = np.full(len(hashes[0]), word_hash(lang.encode()), np.uint64)
     for x in hashes:
         h = mix(h * _FACTOR + x)
-    return h >> np.uint64(64 - MAP_BITS)
+    return h
+
+
+def phrase_bits(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
+    """Places in the map of phrases."""
+    return phrase_hash(lang, hashes) >> np.uint64(64 - MAP_BITS)
 
 
 def mixed(x: int) -> int:
@@ -85,7 +90,7 @@ def bit_map(frequent: DataFrame) -> BitMap:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, phrases = batch.column(0).to_pylist(), [f"{a} {b}".split(" ") if a else [b] for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            lang, phrases = batch.column(0).to_pylist(), [f"{a} {b}".split(" ") if b else [a] for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             by_lang: dict[str, list[list[str]]] = {}
             for g, p in zip(lang, phrases, strict=True):
                 by_lang.setdefault(g, []).append(p)
@@ -107,7 +112,7 @@ class Numbers(dict):
         super().__init__({_BREAK: 0})
         self.lang, self.lang_hash, self.map = lang, word_hash(lang.encode()), words
         self.names, self.hashes = [""], [0]
-        self.trie: dict = {}
+        self.trie = Node()
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
@@ -121,44 +126,42 @@ class Numbers(dict):
 
 
 class Node(dict):
-    """Inner node of the trie: the next word's number -> container (a plain dict of keys and counts) or node."""
-
-
-def add(at: dict, keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[dict, int]:
-    """(at or what it burst into, entries gained) with counts of sorted keys of so many words."""
-    if not isinstance(at, Node):
-        before = len(at)
-        get = at.get
-        for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
-            at[k] = get(k, 0) + n
-        gained = len(at) - before
-        if len(at) > BURST and depth > 1:
-            shift, low = _BITS * (depth - 1), (1 << _BITS * (depth - 1)) - 1
-            node = Node()
-            for k, n in at.items():
-                node.setdefault(k >> shift, {})[k & low] = n
-            at = node
-        return at, gained
-    shift = _BITS * (depth - 1)
-    first = keys >> shift
-    cuts = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(keys)]]).tolist()
-    rest, gained = keys & ((1 << shift) - 1), 0
-    heads = first[cuts[:-1]].tolist()
-    for w, a, b in zip(heads, cuts[:-1], cuts[1:], strict=True):
-        child, more = add(at.get(w, {}), rest[a:b], counts[a:b], depth - 1)
-        at[w] = child
-        gained += more
-    return at, gained
-
-
-def entries(at: dict, head: int, depth: int) -> Iterator[tuple[int, int]]:
-    """(key, count) of a subtree under the words of head."""
+    """Inner node of the trie: a word's number -> container (a plain dict of keys and counts) or node."""
+
+
+def add(node: Node, heads: list[int], rests: list[int], counts: list[int], depth: int) -> int:
+    """Entries gained by counts of phrases: the first word's number, and a key of the words behind it."""
+    gained, get = 0, node.get
+    for w, rest, n in zip(heads, rests, counts, strict=True):
+        at = get(w)
+        if at is None:
+            node[w] = {rest: n}
+            gained += 1
+        elif type(at) is dict:
+            size = len(at)
+            at[rest] = at.get(rest, 0) + n
+            gained += len(at) - size
+            if size >= BURST and depth > 1:
+                node[w] = burst(at, depth)
+        else:
+            shift = _BITS * (depth - 1)
+            gained += add(at, [rest >> shift], [rest & (1 << shift) - 1], [n], depth - 1)
+    return gained
+
+
+def burst(container: dict, depth: int) -> Node:
+    node, shift = Node(), _BITS * (depth - 1)
+    add(node, [k >> shift for k in container], [k & (1 << shift) - 1 for k in container], list(container.values()), depth - 1)
+    return node
+
+
+def containers(at: dict, head: int, depth: int) -> Iterator[tuple[int, dict]]:
+    """(words before, container) of a subtree."""
     if isinstance(at, Node):
         for w, child in at.items():
-            yield from entries(child, head << _BITS | w, depth - 1)
+            yield from containers(child, head | w << _BITS * depth, depth - 1)
     else:
-        for k, n in at.items():
-            yield head << _BITS * depth | k, n
+        yield head, at
 
 
 def size(at: dict) -> int:
@@ -166,11 +169,16 @@ def size(at: dict) -> int:
 
 
 class Counter:
-    """Counts of the phrases of a task; what leaves it are runs (lang, prefix, bucket, tails, counts)."""
+    """Counts of the phrases of a task; what leaves it are runs (lang, part, lines).
 
-    def __init__(self, length: int, maps: list[BitMap]):
-        self.length, self.maps = length, maps
+    Of two words, single words are counted too, as a word with nothing behind it.  A line is a prefix and
+    what follows it, with counts over one.
+    """
+
+    def __init__(self, length: int, maps: list[BitMap], parts: int, hot: frozenset[tuple[str, str]] = frozenset()):
+        self.length, self.maps, self.parts, self.hot = length, maps, parts, hot
         self.langs: dict[str, Numbers] = {}
+        self.total: dict[str, int] = {}
         self.held = 0
 
     def take(self, lang: str, texts: list[str]) -> None:
@@ -180,83 +188,83 @@ class Counter:
         raw = b"\n".join(t.encode() for t in texts).translate(_PLAIN).replace(_BREAK, b" \xff ")
         ids = np.fromiter(map(own.__getitem__, raw.split()), np.int64)
         n = self.length
-        if len(ids) < n:
-            return
-        many = len(ids) - n + 1
+        if n == 2:
+            self.total[lang] = self.total.get(lang, 0) + int((ids > 0).sum())
+        many = max(0, len(ids) - n + 1)
         fits = ids[:many] > 0
         for j in range(1, n):
             fits &= ids[j : j + many] > 0
+        at = np.flatnonzero(fits)
         if n > 2:  # both parts without a word at an end
-            at = np.flatnonzero(fits)
             hashes = np.array(own.hashes, np.uint64)[ids]
             for first in (0, 1):
                 at = at[self.maps[n - 2].has(phrase_bits(lang, [hashes[at + first + j] for j in range(n - 1)]))]
-            fits = at
-        else:
-            fits = np.flatnonzero(fits)
-        if not len(fits):
-            return
-        keys = ids[fits]
+        keys = ids[at]
         for j in range(1, n):
-            keys = keys << _BITS | ids[fits + j]
+            keys = keys << _BITS | ids[at + j]
+        if n == 2:
+            keys = np.concatenate([keys, ids[ids > 0] << _BITS])
         keys, counts = np.unique(keys, return_counts=True)
-        own.trie, gained = add(own.trie, keys, counts, n)
-        self.held += gained
-        if n == 1:  # all words of the language, as the count of no word
-            self.held += 0 not in own.trie
-            own.trie[0] = own.trie.get(0, 0) + int(counts.sum())
+        shift = _BITS * (n - 1)
+        self.held += add(own.trie, (keys >> shift).tolist(), (keys & (1 << shift) - 1).tolist(), counts.tolist(), n - 1)
 
-    def spill(self, everything: bool) -> Iterator[tuple]:
+    def spill(self, everything: bool) -> Iterator[tuple[str, int, str]]:
         """Runs of the largest subtrees, until half of the entries is left, or of all."""
-        trees = []
-        for own in self.langs.values():
-            if isinstance(own.trie, Node):
-                trees.extend((size(child), own, w) for w, child in own.trie.items())
-            else:
-                trees.append((len(own.trie), own, None))
-        trees.sort(key=lambda t: -t[0])
-        for n, own, w in trees:
+        trees = sorted(((size(child), lang, w) for lang, own in self.langs.items() for w, child in own.trie.items()), reverse=True)
+        leave: dict[str, list[int]] = {}
+        for n, lang, w in trees:
             if not everything and self.held <= HELD // 2:
-                return
-            if w is None:
-                found, own.trie = entries(own.trie, 0, self.length), {}
-            else:
-                found = entries(own.trie.pop(w), w, self.length - 1)
+                break
             self.held -= n
-            yield from self.runs(own, found)
+            leave.setdefault(lang, []).append(w)
+        for lang, heads in leave.items():
+            own = self.langs[lang]
+            yield from self.runs(own, [c for w in heads for c in containers(own.trie.pop(w), w << _BITS * (self.length - 1), self.length - 2)])
         if everything:
+            for lang, n in self.total.items():
+                yield lang, 0, f"\t:{n}"
             self.langs.clear()
-            self.held = 0
-
-    def runs(self, own: Numbers, found: Iterator[tuple[int, int]]) -> Iterator[tuple]:
-        names, n = own.names, self.length
-        groups: dict[tuple[int, int], list[tuple[str, int]]] = {}
-        for key, count in found:
-            tail = names[key & _MASK]
-            groups.setdefault((key >> _BITS, zlib.crc32(tail.encode()) % BUCKETS), []).append((tail, count))
-        named = sorted((" ".join(names[head >> _BITS * j & _MASK] for j in range(n - 2, -1, -1)), bucket, sorted(tails)) for (head, bucket), tails in groups.items())
-        for prefix, bucket, tails in named:
-            yield own.lang, prefix, bucket, [t for t, _ in tails], [c for _, c in tails]
-
-
-def runs_of(rows: DataFrame, length: int, maps: list[BitMap]) -> DataFrame:
-    """Sorted runs of the phrases of so many words in rows (lang, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(maps)  # of a fixed size
-    names, types = ["lang", "prefix", "bucket", "tails", "counts"], [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            self.total.clear()
+
+    def runs(self, own: Numbers, found: list[tuple[int, dict]]) -> Iterator[tuple[str, int, str]]:
+        sizes = [len(c) for _, c in found]
+        keys = np.repeat(np.array([h for h, _ in found], np.int64), sizes) | np.fromiter(chain.from_iterable(c for _, c in found), np.int64, sum(sizes))
+        counts = np.fromiter(chain.from_iterable(c.values() for _, c in found), np.int64, len(keys))
+        hashes, names, n = np.array(own.hashes, np.uint64), np.array(own.names, object), self.length
+        word = [keys >> _BITS * j & _MASK for j in range(n - 1, -1, -1)]
+        # the part of a phrase goes by its first two words; by all of them where these alone are a common prefix
+        part = phrase_hash(own.lang, [hashes[w] for w in word[:2]])
+        if n > 2 and self.hot:
+            number = {name: i for i, name in enumerate(own.names)}
+            pairs = [[number.get(w, -1) for w in p.split(" ")] for lang, p in self.hot if lang == own.lang]
+            common = np.isin(keys >> _BITS, np.array([a << _BITS | b for a, b in pairs if a > 0 and b > 0], np.int64))
+            part = np.where(common, mix(part + hashes[word[2]]), part)
+        part = (part >> np.uint64(8)) % np.uint64(self.parts)
+        order = np.lexsort((keys, part))
+        part, keys, counts = part[order], keys[order], counts[order]
+        cells = [t if c == 1 else f"{t}:{c}" for t, c in zip(names[keys & _MASK].tolist(), counts.tolist(), strict=True)]
+        prefix = keys >> _BITS
+        starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
+        ends = [*starts[1:].tolist(), len(cells)]
+        heads = [names[prefix[starts] >> _BITS * j & _MASK].tolist() for j in range(n - 2, -1, -1)]
+        lines = ["\t".join((" ".join(h), *cells[a:b])) for h, a, b in zip(zip(*heads, strict=True), starts.tolist(), ends, strict=True)]
+        of_line = part[starts]
+        first = np.flatnonzero(np.concatenate([[True], of_line[1:] != of_line[:-1]]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(lines)], strict=True):
+            yield own.lang, int(of_line[a]), "\n".join(lines[a:b])
+
+
+def runs_of(rows: DataFrame, length: int, maps: list[BitMap], parts: int, hot: frozenset[tuple[str, str]]) -> DataFrame:
+    """(lang, part, run) of the phrases of so many words in rows (lang, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast((maps, hot))  # of a fixed size, and a few prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, out = Counter(length, shared.value), []
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-            out.clear()
-            return batch
+        counter = Counter(length, shared.value[0], parts, shared.value[1])
 
         def leave(everything: bool) -> Iterator[pa.RecordBatch]:
-            for r in counter.spill(everything):
-                out.append(r)
-                if len(out) == ROWS:
-                    yield flush()
+            spilled = counter.spill(everything)
+            while out := list(islice(spilled, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["lang", "part", "run"])
 
         for batch in batches:
             for i, j, texts in string_chunks(batch.column(1)):
@@ -265,23 +273,24 @@ def runs_of(rows: DataFrame, length: int, maps: list[BitMap]) -> DataFrame:
                     by_lang.setdefault(g, []).append(t)
                 for g, listed in by_lang.items():
                     counter.take(g, listed)
-                if counter.held > HELD:
-                    yield from leave(False)
                 if sum(len(x) for x in counter.langs.values()) > WORDS:
                     yield from leave(True)
+                elif counter.held > HELD:
+                    yield from leave(False)
         yield from leave(True)
-        if out:
-            yield flush()
 
-    return rows.mapInArrow(run, "lang string, prefix string, bucket int, tails array<string>, counts array<long>")
+    return rows.mapInArrow(run, "lang string, part int, run string")
 
 
-def counted(rows: DataFrame, length: int, maps: list[BitMap], least: int) -> DataFrame:
-    """(lang, prefix, tail, n) of the phrases that occur so often; of one word, also the count of all words as the tail ''."""
-    runs = runs_of(rows, length, maps).repartition("lang", "prefix", "bucket")
-    each = runs.select("lang", "prefix", "bucket", F.explode(F.arrays_zip("tails", "counts")).alias("x")).select("lang", "prefix", "bucket", F.col("x.tails").alias("tail"), F.col("x.counts").alias("n"))
-    merged = each.groupBy("lang", "prefix", "bucket", "tail").agg(F.sum("n").alias("n"))  # runs of a prefix lie together already
-    return materialise(merged.where((F.col("n") >= least) | (F.col("tail") == "")).select("lang", "prefix", "tail", "n"), f"phrases{length}")
+def counted(rows: DataFrame, length: int, maps: list[BitMap], least: int, hot: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
+    """(lang, prefix, tail, n) of the phrases that occur so often; single words have no tail, and the count of all words has no prefix either."""
+    parts = max(256, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = runs_of(rows, length, maps, parts, hot).repartition("part")
+    lines = runs.select("lang", "part", F.explode(F.split("run", "\n")).alias("line")).select("lang", "part", F.split("line", "\t").alias("f"))
+    cells = lines.select("lang", "part", F.get("f", F.lit(0)).alias("prefix"), F.explode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("c"))
+    each = cells.select("lang", "part", "prefix", F.substring_index("c", ":", 1).alias("tail"), F.when(F.contains("c", F.lit(":")), F.substring_index("c", ":", -1).cast("long")).otherwise(1).alias("n"))
+    merged = each.groupBy("lang", "part", "prefix", "tail").agg(F.sum("n").alias("n"))  # runs of a part lie together already
+    return materialise(merged.where((F.col("n") >= least) | ((F.col("prefix") == "") & (F.col("tail") == ""))).select("lang", "prefix", "tail", "n"), f"phrases{length}")
 
 
 def score_of(left: str, right: str) -> Column:
@@ -297,13 +306,14 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, k: int = 200
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(column(lang_col).cast("string"), F.lit("und")).alias("lang"), column(text_col).alias("text"))
-    words = counted(rows, 1, [], least)
-    maps = [bit_map(words.where("tail <> ''"))]
-    pairs = counted(rows, 2, maps, least)
-    maps.append(bit_map(pairs))
-    triples = counted(rows, 3, maps, least)
-    total = words.where("tail = ''").select("lang", F.col("n").alias("total"))
-    single = words.where("tail <> ''").select("lang", F.col("tail").alias("part"), F.col("n").alias("f"))
+    short = counted(rows, 2, [], least)
+    words, pairs = short.where("prefix <> '' AND tail = ''"), short.where("tail <> ''")
+    total = short.where("prefix = ''").select("lang", F.col("n").alias("total"))
+    share_of = short.where("prefix = ''").agg(F.sum("n")).first()[0] or 0
+    # prefixes that start so many phrases that they are dealt by what follows: fewer than COMMON, as pairs are no more than words
+    hot = frozenset((r.lang, r.p) for r in pairs.where(F.col("n") * COMMON > share_of).select("lang", F.concat_ws(" ", "prefix", "tail").alias("p")).collect())
+    triples = counted(rows, 3, [bit_map(words), bit_map(pairs)], least, hot)
+    single = words.select("lang", F.col("prefix").alias("part"), F.col("n").alias("f"))
     double = pairs.select("lang", F.concat_ws(" ", "prefix", "tail").alias("part"), F.col("n").alias("f"))
 
     def with_counts(t: DataFrame, parts: DataFrame, key: str, out: str) -> DataFrame:

@@ -69,31 +69,45 @@ def test_products_beyond_64_bits(spark):
     assert t.select(C.score_of("l", "r")).first()[0] == 1_000_000 * a * a // (n * n)
 
 
-@pytest.mark.parametrize("length", [1, 2, 3])
+@pytest.mark.parametrize("length", [2, 3])
 def test_tries_that_burst_and_spill(monkeypatch, length):
     monkeypatch.setattr(C, "BURST", 4)
     monkeypatch.setattr(C, "HELD", 60)
     docs = [(g or "und", t) for g, t in made(2, 60)]
     full = C.BitMap(np.full(1 << (C.MAP_BITS - 6), 2**64 - 1, np.uint64))
-    counter, got, most = C.Counter(length, [full] * (length - 1)), Counter(), 0
+    followers = Counter(" ".join(g[:2]) for lang, text in docs if lang == "en" for g in set(grams(text, 3)))
+    common = ("en", followers.most_common(1)[0][0])
+    hot = frozenset([common, ("de", "no such")])
+    counter, got, places, spills = C.Counter(length, [full] * (length - 1), 16, hot), Counter(), {}, 0
 
     def take(rows):
-        for lang, prefix, bucket, tails, counts in rows:
-            assert tails == sorted(tails) and 0 <= bucket < C.BUCKETS
-            for t, n in zip(tails, counts, strict=True):
-                got[lang, f"{prefix} {t}".strip()] += n
+        for lang, part, run in rows:
+            assert 0 <= part < 16
+            for line in run.split("\n"):
+                prefix, *cells = line.split("\t")
+                for cell in cells:
+                    tail, _, n = cell.partition(":")
+                    got[lang, prefix, tail] += int(n or 1)
+                    assert places.setdefault((lang, prefix, tail), part) == part
 
     for lang, text in docs:
         counter.take(lang, [text])
         if counter.held > C.HELD:
             take(counter.spill(False))
+            spills += 1
             assert counter.held <= C.HELD // 2
         assert counter.held == sum(C.size(x.trie) for x in counter.langs.values())
-        most = max(most, counter.held)
     take(counter.spill(True))
-    want = Counter((lang, " ".join(g)) for lang, text in docs for g in grams(text, length))
-    if length == 1:
-        want.update({(lang, ""): n for lang, n in Counter(lang for lang, text in docs for _ in grams(text, 1)).items()})
+    assert spills > 3 and counter.held == 0
+    want = Counter((lang, " ".join(g[:-1]), g[-1]) for lang, text in docs for g in grams(text, length))
+    if length == 2:
+        want.update((lang, g[0], "") for lang, text in docs for g in grams(text, 1))
+        want.update((lang, "", "") for lang, text in docs for _ in grams(text, 1))
+    else:
+        of = {}
+        for (lang, prefix, _), part in places.items():
+            of.setdefault((lang, prefix), set()).add(part)
+        assert len(of[common]) > 1 and all(len(x) == 1 for k, x in of.items() if k != common)
     assert got == want
 
 
