@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldbook.operators.ranking import first_k, placed
 from fieldbook.sources.shared import ready_checkpoints
 
 
@@ -16,22 +17,28 @@ def display_names(published: Column, current: Column, historic: Column, show_his
     return shown, F.when(given(historic).isNotNull() & (historic != shown), historic)
 
 
+def listing_order(key: str, group: str, name: str) -> list[Column]:
+    """By key (nulls last), then group, then name."""
+    return [F.col(key).asc_nulls_last(), F.lower(F.col(group)), F.col(group), F.lower(F.col(name)), F.col(name)]
+
+
 def ranked(rows: DataFrame, key: str, group: str, name: str, out: str = "place", within: list[str] | None = None) -> DataFrame:
-    """rows with their place by key (nulls last), then group, then name, within each of some groups.
+    """rows with their place by key (nulls last), then group, then name, over all or within each of some groups."""
+    return placed(rows, listing_order(key, group, name), within, out)
+
+
+def siblings(members: DataFrame, family: str, member: str, name: str, order: list[Column], k: int) -> DataFrame:
+    """(member, sibling, nth, total): the first k others of each member's family by an order, and how many there are.
 
-    Without groups a place is global: rows are range-partitioned by key, counted by partition, and numbered
-    in each, so that no task holds them all.  A checkpoint keeps the partition of each row, as bounds that
-    are sampled twice could differ between the counts and the numbers.
+    The first k + 1 of a family serve all of its members; they alone are placed.
     """
-    order = [F.col(key).asc_nulls_last(), F.lower(F.col(group)), F.col(group), F.lower(F.col(name)), F.col(name)]
-    if within:
-        return rows.withColumn(out, F.row_number().over(W.partitionBy(*within).orderBy(*order)))
-    ready_checkpoints(rows.sparkSession)
-    spread = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
-    ahead = spread.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = ahead.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each partition
-    own = spread.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    return own.join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    lead = first_k(members, order, [family], k + 1, "_p").select(F.col(family).alias("_f"), F.col(member).alias("_m"), F.col(name).alias("sibling"), "_p")
+    totals = members.groupBy(F.col(family).alias("_g")).agg((F.count("*") - 1).alias("total"))
+    own = lead.select(F.col("_m").alias("_own"), F.col("_p").alias("_at"))
+    each = members.select(family, member).join(totals, F.col(family).eqNullSafe(F.col("_g"))).join(own, F.col(member) == F.col("_own"), "left")
+    pairs = each.join(lead, F.col(family).eqNullSafe(F.col("_f")) & (F.col(member) != F.col("_m")))
+    nth = F.col("_p") - F.when(F.col("_at") < F.col("_p"), 1).otherwise(0)
+    return pairs.select(member, "sibling", nth.alias("nth"), "total").where(F.col("nth") <= k)
 
 
 def search_aliases(*names: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldbook.operators.ranking import placed
+
 #: Code, label, rank.
 LEVELS = (("C", "Common", 5), ("F", "Fairly common", 4), ("U", "Uncommon", 3), ("R", "Rare", 2), ("I", "Irregular", 1), ("", "Not recorded", 0))
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -64,13 +66,9 @@ def presence_long(recorded: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def present_in(recorded: DataFrame, region: str, month: int, min_rank: int = 1) -> DataFrame:
-    """(position, entity, code, rank): what is at least so common there and then, commonest first, then by name.
-
-    The position ranks one region and month, so its window holds one cell of each entity at most.
-    """
-    found = recorded.where((F.col("region") == region) & (F.col("month") == month) & (F.col("rank") >= min_rank))
-    place = F.row_number().over(W.partitionBy("region", "month").orderBy(F.col("rank").desc(), "entity"))
-    return found.select(place.alias("position"), "entity", "code", "rank")
+    """(position, entity, code, rank): what is at least so common there and then, commonest first, then by name."""
+    found = recorded.where((F.col("region") == region) & (F.col("month") == month) & (F.col("rank") >= min_rank)).select("entity", "code", "rank")
+    return placed(found, [F.col("rank").desc(), F.col("entity").asc()], out="position").select("position", "entity", "code", "rank")
 
 
 def present_tally(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldbook.operators import catalog as C
+from fieldbook.operators.ranking import placed
 from fieldbook.plans.registry import query
 from fieldbook.sources.tables import table
 
@@ -126,19 +127,16 @@ def letter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("family_members", f"{_MEMBERS} SELECT n_name AS family, s_name, place, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_ORDER}) AS place, count(*) OVER (PARTITION BY s_nationkey) AS n FROM mem) ON s_nationkey = n_nationkey")
 def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = C.ranked(members(spark, sf_dir), "sort", "family", "s_name", within=["s_nationkey"]).withColumn("n", F.count("*").over(W.partitionBy("s_nationkey"))).select("s_nationkey", "s_name", "place", "n")
+    every = members(spark, sf_dir)
+    m = C.ranked(every, "sort", "family", "s_name", within=["s_nationkey"]).select("s_nationkey", "s_name", "place")
+    n = every.groupBy(F.col("s_nationkey").alias("g")).agg(F.count("*").alias("n"))
     f = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("family"))
-    return f.join(m, F.col("k") == F.col("s_nationkey"), "left").select("family", "s_name", "place", F.coalesce("n", F.lit(0)).alias("n"))
+    return f.join(n, F.col("k") == F.col("g"), "left").join(m, F.col("k") == F.col("s_nationkey"), "left").select("family", "s_name", "place", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("siblings_topk", f"{_MEMBERS}, r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY {_ORDER}) AS place, count(*) OVER (PARTITION BY s_nationkey) - 1 AS total FROM mem) SELECT s_suppkey, sibling, nth, total FROM (SELECT a.s_suppkey, b.s_name AS sibling, a.total, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY b.place) AS nth FROM r a JOIN r b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) WHERE nth <= 15")
 def siblings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Others of a family: the first 16 places of it serve every member, so no pairs beyond these are made."""
-    r = C.ranked(members(spark, sf_dir), "sort", "family", "s_name", within=["s_nationkey"]).withColumn("total", F.count("*").over(W.partitionBy("s_nationkey")) - 1)
-    lead = r.where("place <= 16").select(F.col("s_nationkey").alias("f"), F.col("s_suppkey").alias("o"), F.col("s_name").alias("sibling"), F.col("place").alias("p"))
-    pairs = r.join(lead, (F.col("s_nationkey") == F.col("f")) & (F.col("s_suppkey") != F.col("o")))
-    nth = F.col("p") - F.when(F.col("place") < F.col("p"), 1).otherwise(0)
-    return pairs.select("s_suppkey", "sibling", nth.alias("nth"), "total").where("nth <= 15")
+    return C.siblings(members(spark, sf_dir), "s_nationkey", "s_suppkey", "s_name", C.listing_order("sort", "family", "s_name"), 15)
 
 
 @query("order_summary", f"{_MEMBERS} SELECT grp, family, count(*) AS n, any_value(total) AS species FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS total FROM mem) WHERE n_nationkey % 6 <> 5 GROUP BY grp, family")
@@ -179,7 +177,8 @@ def featured_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sites_by_number", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 50 END, 999), c_custkey) AS place FROM customer")
 def sites_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.coalesce(F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 50), F.lit(999))
-    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.row_number().over(W.partitionBy("c_nationkey").orderBy(number, "c_custkey")).alias("place"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", number.alias("number"))
+    return placed(c, [F.col("number").asc(), F.col("c_custkey").asc()], ["c_nationkey"]).select("c_nationkey", "c_custkey", "place")
 
 
 _PREFERRED = ("purchase", "click", "signup")

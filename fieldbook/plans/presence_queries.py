@@ -39,7 +39,7 @@ dense AS (SELECT e.entity, r.n_name AS region, r.n_nationkey AS pos, m.month, co
 
 PM = "WITH " + _cte("p_brand")
 SPARSE = "WITH " + _cte("p_brand || '/' || p_type")
-HOME, MONTH = "NATION_9", 1
+HOME, MONTH = "NATION_19", 8
 
 
 @query("present_in", f"{PM} SELECT row_number() OVER (ORDER BY rank DESC, entity) AS position, entity, code, rank FROM cells WHERE region = '{HOME}' AND month = {MONTH} AND rank >= 1")
