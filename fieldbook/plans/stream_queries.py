@@ -17,9 +17,9 @@ def manifest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
     place = scratch(spark, "stream")
-    q = L.manifest_stream(source.select("user_id", "event_id", "event_type"), "user_id", "event_id", f"{place}/table", f"{place}/checkpoint")
-    q.awaitTermination()
-    return L.latest_view(spark.read.parquet(f"{place}/table"), "user_id", "event_id")
+    rows = source.select("user_id", "event_id", "event_type")
+    L.manifest_stream(rows, "user_id", "event_id", f"{place}/table", f"{place}/checkpoint").awaitTermination()
+    return L.current_view(spark, f"{place}/table", rows.schema, "user_id", "event_id")
 
 
 @query("idle_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events WHERE event_type <> 'view' WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")

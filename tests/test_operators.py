@@ -189,7 +189,7 @@ def test_stream_counts_once_and_takes_late_files(spark, tmp_path):
     def run():
         stream = spark.readStream.schema("k long, seq long, v string").parquet(source)
         logs.manifest_stream(stream, "k", "seq", table, checkpoint).awaitTermination()
-        return {r.k: r.v for r in logs.latest_view(spark.read.parquet(table), "k", "seq").collect()}
+        return {r.k: r.v for r in logs.current_view(spark, table, stream.schema, "k", "seq").collect()}
 
     assert run() == {1: "b", 2: "a"}
     spark.createDataFrame([(1, 3, "old"), (2, 9, "new")], "k long, seq long, v string").write.mode("append").parquet(source)
