@@ -84,14 +84,13 @@ def test_tries_that_burst_and_spill(monkeypatch, length):
         for lang, part, run in rows:
             assert 0 <= part < 16
             for line in run.split("\n"):
-                prefix, *cells = line.split("\t")
-                for cell in cells:
-                    tail, _, n = cell.partition(":")
-                    got[lang, prefix, tail] += int(n or 1)
-                    assert places.setdefault((lang, prefix, tail), part) == part
+                prefix, tail, *n = line.split("\t")
+                got[lang, prefix, tail] += int(n[0]) if n else 1
+                assert places.setdefault((lang, prefix, tail), part) == part
 
     for lang, text in docs:
         counter.take(lang, [text])
+        counter.settle()
         if counter.held > C.HELD:
             take(counter.spill(False))
             spills += 1
