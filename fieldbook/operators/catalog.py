@@ -124,3 +124,34 @@ def suspected_variants(credits: DataFrame) -> DataFrame:
     found = connected_names(keys)
     many = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     return found.join(many, "cluster").select("cluster", "name")
+
+
+def rename_credit(records: DataFrame, old: str, new: str, url: str | None = None, photos: str = "photos") -> DataFrame:
+    """records with a credit renamed in place within their photos, and renamed, the number of photos it touched.
+
+    photos is an array of structs with credit, a struct of name and url.  Names are compared trimmed; with a
+    url, that is replaced too, and '' means none.  Nothing is exploded: a record stays one row, untouched photos
+    and all other fields are as they were.
+    """
+    if not old.strip() or not new.strip():
+        raise ValueError("both names are required")
+    is_old = lambda x: F.coalesce(F.trim(x["credit"]["name"]) == old.strip(), F.lit(False))
+
+    def changed(x: Column) -> Column:
+        credit = x["credit"].withField("name", F.lit(new.strip()))
+        if url is not None:
+            credit = credit.withField("url", F.nullif(F.lit(url.strip()), F.lit("")).cast("string"))
+        return F.when(is_old(x), x.withField("credit", credit)).otherwise(x)
+
+    touched = F.coalesce(F.size(F.filter(photos, is_old)), F.lit(0)).cast("long")
+    counted = records.withColumn("renamed", F.when(F.col(photos).isNotNull(), touched).otherwise(0))
+    return counted.withColumn(photos, F.transform(photos, changed))
+
+
+def rename_account(renamed: dict[str, DataFrame]) -> DataFrame:
+    """(collection, records, photos): what a renaming touched in each collection."""
+    out = None
+    for name, t in renamed.items():
+        one = t.agg(F.count_if(F.col("renamed") > 0).alias("records"), F.coalesce(F.sum("renamed"), F.lit(0)).alias("photos")).select(F.lit(name).alias("collection"), "records", "photos")
+        out = one if out is None else out.unionByName(one)
+    return out

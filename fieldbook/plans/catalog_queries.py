@@ -237,11 +237,40 @@ def suspected_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.suspected_variants(table(spark, sf_dir, "part").select(name.alias("name"), url.alias("url")).distinct())
 
 
-@query("rename_credit", f"SELECT {_HOST} AS host, array_to_string(list_transform(list_sort(list(page_id)), lambda i: i || ':' || CASE WHEN i % 5 = 0 THEN 'New' ELSE 'Old' || (i % 5) END), ',') AS credits, count(*) FILTER (WHERE page_id % 5 = 0) AS touched FROM pages GROUP BY 1")
+_LINE_CREDIT = "CASE l_suppkey % 4 WHEN 0 THEN 'A. Bee' WHEN 1 THEN ' A. Bee ' WHEN 2 THEN 'a. bee' ELSE 'C. Dee' END"
+_LINE_URL = "CASE l_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'http://old.example/' END"
+_LINK_CREDIT = "CASE length({0}) % 3 WHEN 0 THEN 'A. Bee' ELSE 'E. Eff' END"
+
+
+def photo_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two collections with photos: orders with a photo for each line, pages with one for each link."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.expr(_LINE_CREDIT).alias("name"), F.expr(_LINE_URL).alias("url")).alias("credit"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    photo = F.struct("at", "credit")
+    orders = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(photo)).alias("photos"))  # the lines of one order
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    credit = lambda x: F.when(F.length(x) % 3 == 0, "A. Bee").otherwise("E. Eff")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.transform(links, lambda x: F.struct(x.alias("at"), F.struct(credit(x).alias("name"), x.alias("url")).alias("credit"))).alias("photos"))
+    return {"orders": orders, "pages": pages}
+
+
+_RENAMED = f"""WITH ph AS (SELECT 'orders' AS collection, l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, {_LINE_CREDIT}, {_LINE_URL} NULLS FIRST) AS i, {_LINE_CREDIT} AS name, {_LINE_URL} AS url FROM lineitem
+  UNION ALL SELECT 'pages', page_id, i, {_LINK_CREDIT.format("l")}, l FROM (SELECT page_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS ls FROM pages))),
+every AS (SELECT DISTINCT 'orders' AS collection, l_orderkey AS id FROM lineitem UNION ALL SELECT 'pages', page_id FROM pages),
+r AS (SELECT collection, id, i, trim(name) = 'A. Bee' AS hit, CASE WHEN trim(name) = 'A. Bee' THEN 'Ann Bee|-' ELSE name || '|' || coalesce(url, '-') END AS c FROM ph)"""
+
+
+@query("rename_credit", f"{_RENAMED} SELECT every.collection, every.id, coalesce(string_agg(c, ',' ORDER BY i), '') AS credits, count(*) FILTER (WHERE hit) AS renamed FROM every LEFT JOIN r USING (collection, id) GROUP BY 1, 2")
 def rename_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    photos = table(spark, sf_dir, "pages").groupBy(F.expr(_HOST).alias("host")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("Old"), F.col("page_id") % 5).alias("credit")))).alias("p"))
-    renamed = F.transform("p", lambda x: x.withField("credit", F.when(x["credit"] == "Old0", F.lit("New")).otherwise(x["credit"])))
-    return photos.select("host", F.array_join(F.transform(renamed, lambda x: F.concat_ws(":", x["page_id"].cast("string"), x["credit"])), ",").alias("credits"), F.size(F.filter("p", lambda x: x["credit"] == "Old0")).cast("long").alias("touched"))
+    """'A. Bee' becomes 'Ann Bee' without a link, in both collections; every record as it is then."""
+    shown = F.array_join(F.transform("photos", lambda x: F.concat_ws("|", x["credit"]["name"], F.coalesce(x["credit"]["url"], F.lit("-")))), ",")
+    parts = [C.rename_credit(t, "A. Bee", "Ann Bee", "").select(F.lit(name).alias("collection"), "id", shown.alias("credits"), "renamed") for name, t in photo_records(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("rename_account", f"{_RENAMED} SELECT collection, count(DISTINCT id) AS records, count(*) AS photos FROM r WHERE hit GROUP BY collection")
+def rename_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that renaming touched: records and photos of each collection."""
+    return C.rename_account({name: C.rename_credit(t, "A. Bee", "Ann Bee", "") for name, t in photo_records(spark, sf_dir).items()})
 
 
 @query("editor_index", "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END, ''), 'customer ' || c_custkey) AS name, count(o_orderkey) AS photos, coalesce(bool_or(o_orderstatus = 'F'), false) AS has_presence, c_acctbal < 0 AS needs_geocode FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_acctbal")

@@ -13,13 +13,47 @@ from fieldbook.plans.text_queries import sql_clean, sql_fold, sql_visible
 from fieldbook.sources.tables import table
 
 
-@query("schema_issues", """SELECT 'event:' || event_id AS "where", severity, message FROM (
-  SELECT event_id, 'error' AS severity, 'event_type: not one of click, view' AS message FROM events WHERE event_type NOT IN ('click', 'view')
-  UNION ALL SELECT event_id, 'error', 'value: over 50' FROM events WHERE value > 50
-  UNION ALL SELECT event_id, 'error', 'props: no object' FROM events WHERE props NOT LIKE '{%}')""")
+#: The declared schema of an order with its lines.
+ORDER = {
+    "fields": {
+        "id": {"type": "number", "required": True},
+        "status": {"required": True, "one_of": ["F", "O"]},
+        "priority": {"pattern": "^[1-4]-[A-Z ]+$"},
+        "placed": {"required": True, "fields": {"year": {"type": "number", "min": 1993}, "total": {"type": "number", "max": 400000}}},
+        "lines": {"required": True, "max_items": 6, "exactly_one": "first", "items": {"fields": {"quantity": {"type": "number", "required": True, "max": 45}, "flag": {"required": True, "one_of": ["A", "N"]}, "first": {"type": "boolean"}}}},
+    }
+}
+
+
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): orders as JSON with their lines; some quantities are words, some flags are missing, orders without lines have no list."""
+    line = table(spark, sf_dir, "lineitem").withColumn("q", F.when(F.col("l_partkey") % 50 == 0, "many").otherwise(F.col("l_quantity").cast("string"))).withColumn("f", F.when(F.col("l_suppkey") % 20 != 0, F.col("l_returnflag")))
+    one = F.struct("l_linenumber", "q", "f")
+    lists = line.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(one)).alias("l"))  # the lines of one order
+    lines = F.transform("l", lambda x: F.struct(x["q"].alias("quantity"), x["f"].alias("flag"), (x["l_linenumber"] == 1).alias("first")))
+    o = table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("k"), "left")
+    placed = F.struct(F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("total"))
+    return o.select(F.col("o_orderkey").alias("id"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), placed.alias("placed"), lines.alias("lines"))).alias("text"))
+
+
+_LINE = "SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, q, f NULLS FIRST) - 1 AS VARCHAR) AS i, l_linenumber, q, f FROM (SELECT *, CASE WHEN l_partkey % 50 = 0 THEN 'many' ELSE CAST(l_quantity AS VARCHAR) END AS q, CASE WHEN l_suppkey % 20 <> 0 THEN l_returnflag END AS f FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))"
+
+
+@query("schema_issues", f"""WITH l AS ({_LINE}), n AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE l_linenumber = 1) AS h FROM l GROUP BY id)
+SELECT o_orderkey AS id, 'status' AS path, 'not one of F, O' AS message FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT o_orderkey, 'priority', 'not like ^[1-4]-[A-Z ]+$' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-[A-Z ]+$')
+UNION ALL SELECT o_orderkey, 'placed.year', 'under 1993' FROM orders WHERE year(o_orderdate) < 1993
+UNION ALL SELECT o_orderkey, 'placed.total', 'over 400000' FROM orders WHERE o_totalprice > 400000
+UNION ALL SELECT o_orderkey, 'lines', 'required' FROM orders WHERE o_orderkey NOT IN (SELECT id FROM n)
+UNION ALL SELECT id, 'lines', 'over 6 items' FROM n WHERE n > 6
+UNION ALL SELECT id, 'lines', 'first: not exactly one' FROM n WHERE h <> 1
+UNION ALL SELECT id, 'lines.' || i || '.quantity', 'not a number' FROM l WHERE q = 'many'
+UNION ALL SELECT id, 'lines.' || i || '.quantity', 'over 45' FROM l WHERE try_cast(q AS DOUBLE) > 45
+UNION ALL SELECT id, 'lines.' || i || '.flag', 'required' FROM l WHERE f IS NULL
+UNION ALL SELECT id, 'lines.' || i || '.flag', 'not one of A, N' FROM l WHERE f NOT IN ('A', 'N')""")
 def schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [Q.rule(~F.col("event_type").isin("click", "view"), "error", "event_type: not one of click, view"), Q.rule(F.col("value") > 50, "error", "value: over 50"), Q.rule(~F.col("props").like("{%}"), "error", "props: no object")]
-    return Q.check(table(spark, sf_dir, "events"), F.concat(F.lit("event:"), "event_id"), rules)
+    checked = Q.validated(order_texts(spark, sf_dir), "text", ORDER)
+    return checked.select("id", F.explode("issues").alias("i")).select("id", "i.path", "i.message")
 
 
 _ISSUES = """SELECT doc_id, severity, message FROM (
@@ -58,8 +92,8 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empty_vs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page from which no table was read is an error only if its source shows the marker."""
     p = table(spark, sf_dir, "pages")
-    read = p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<table"), F.lit(0))).alias("n"))
-    return read.where("n = 0").join(p.select("page_id", F.contains("html", F.lit("***")).alias("m")), "page_id").select("page_id", F.when(F.col("m"), "error").otherwise("rarity").alias("verdict"))
+    read = p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<table"), F.lit(0))).alias("n"), F.contains("html", F.lit("***")).alias("m"))
+    return read.where("n = 0").select("page_id", F.when(F.col("m"), "error").otherwise("rarity").alias("verdict"))
 
 
 @query("check_sites", """SELECT 'site:' || c_custkey AS "where", severity, message FROM (
