@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,21 +200,43 @@ def crawl_frontier(links: DataFrame, log: DataFrame, site: Site) -> DataFrame:
     return new.where("tier IS NOT NULL")
 
 
+#: Rounds after which what is known is put together again.
+COMPACT_AFTER = 8
+#: A frontier of so few nodes that does not grow is followed over several hops in one round.
+NARROW, AHEAD = 1000, 8
+
+
 def reachable_set(edges: DataFrame, seed: DataFrame) -> DataFrame:
     """(node, hops) of all that edges (src, dst) lead to from seed (node).
 
-    A round joins the frontier with the edges and drops what is known; checkpoints cut the lineage and
-    the loop ends when a round finds nothing.
+    Edges are dealt by their source once.  A round joins the frontier with them and drops what is known; where the
+    frontier is narrow and does not grow, as along a chain, it takes AHEAD hops at once.  Checkpoints cut the
+    lineage; every COMPACT_AFTER rounds all that is known is written anew, dealt by node, so a long chain does
+    not end with a partition for each of its rounds.  The loop ends when a round finds nothing to follow.
     """
-    ready_checkpoints(edges.sparkSession)
-    edges = edges.select("src", "dst").checkpoint()
-    seen = frontier = seed.select("node", F.lit(0).alias("hops"))
-    for hop in count(1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)  # checkpoints of the rounds: nothing known is written again
+    spark = edges.sparkSession
+    ready_checkpoints(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.select("src", "dst").distinct().repartition(parts, "src").checkpoint()
+    known = seed.select("node").distinct().withColumn("hops", F.lit(0)).repartition(parts, "node").checkpoint()
+    frontier, recent, hop, before, width = known, [], 0, 0, known.count()
+    while width:
+        ahead = AHEAD if width <= min(NARROW, before) else 1
+        levels, at = [], frontier.select("node")
+        for k in range(ahead):
+            at = at.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            levels.append(at.withColumn("hops", F.lit(hop + k + 1)))
+        found = reduce(DataFrame.unionByName, levels)
+        if ahead > 1:
+            found = found.groupBy("node").agg(F.min("hops").alias("hops"))
+        found = reduce(lambda t, r: t.join(r, "node", "left_anti"), [known, *recent], found).checkpoint()
+        hop += ahead
+        recent.append(found)
+        frontier = found.where(F.col("hops") == hop)  # what is nearer was followed already
+        before, width = width, frontier.count()
+        if len(recent) == COMPACT_AFTER:
+            known, recent = reduce(DataFrame.unionByName, recent, known).repartition(parts, "node").checkpoint(), []
+    return reduce(DataFrame.unionByName, recent, known)
 
 
 def verify_integrity(manifest: DataFrame, files: DataFrame) -> DataFrame:

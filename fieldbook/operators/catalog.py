@@ -66,14 +66,20 @@ def fuzzy_search(index: DataFrame, queries: DataFrame, k: int = 8, cut_off: floa
 
     Candidates are tokens that share a trigram with the query, or start as it does; a token scores
     1 - distance / length of the query, 1 where it holds the query.  The best field counts, by weight.
+    Of the tokens that meet, those whose length alone puts them too far off, and that do not hold the query, go before
+    pairs are told apart and distances are measured, which stop at the farthest that counts.
     """
     q = queries.where(F.length("q") >= least).select("q", F.lower("q").alias("ql")).distinct()
     q = q.select("q", "ql", F.explode(F.array_union(trigrams(F.col("ql")), F.array(F.substring("ql", 1, 2)))).alias("gram"))
     fields = F.array(*[F.struct(F.coalesce(F.lower(F.col(f)), F.lit("")).alias("text"), F.lit(w).alias("weight")) for f, w in FIELDS if f in index.columns])
     t = index.select("href", F.explode(fields).alias("f")).select("href", "f.weight", F.explode(F.array_distinct(F.split("f.text", "[^a-z0-9#]+"))).alias("token")).where("token <> ''")
     words = t.select("token").distinct().select("token", F.explode(F.array_union(trigrams(F.col("token")), F.array(F.substring("token", 1, 2)))).alias("gram"))
-    near = words.join(q, "gram").select("q", "ql", "token").distinct()
-    miss = F.when(F.contains("token", "ql"), F.lit(0.0)).otherwise(F.levenshtein("token", "ql") / F.length("ql"))
+    farthest = F.floor(F.length("ql") * cut_off + 1e-9).cast("int")
+    holds = F.contains("token", "ql")
+    fits = holds | (F.abs(F.length("token") - F.length("ql")) <= farthest)
+    near = words.join(q, "gram").where(fits).select("q", "ql", "token").distinct()
+    distance = F.expr(f"levenshtein(token, ql, CAST(floor(length(ql) * {cut_off} + 1e-9) AS INT))")  # -1 beyond that
+    miss = F.when(holds, F.lit(0.0)).when(distance >= 0, distance / F.length("ql"))
     near = near.withColumn("miss", miss).where(F.col("miss") <= cut_off)
     best = near.join(t, "token").groupBy("q", "href").agg(F.round(F.max(F.col("weight") * (1 - F.col("miss"))), 6).alias("score"))
     return best.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "href"))).where(F.col("place") <= k)

@@ -72,3 +72,25 @@ def test_frontier_by_the_last_log_row(spark):
     got = [(r.tier, r.url.rsplit("/", 1)[1], r.referrer) for r in A.crawl_frontier(links, log, SITE).orderBy("tier", "page_id", "pos", "url").collect()]
     assert got == [(0, "B", "r1"), (0, "D", "r3"), (1, "x.png", "r1"), (1, "x_s.png", "r1"), (1, "x_t.png", "r1")]
     assert A.crawl_frontier(links.where("false"), log, SITE).collect() == []
+
+
+@pytest.mark.parametrize(("narrow", "after"), [(0, 2), (1000, 8)])
+def test_reachable_nodes_and_their_hops(spark, monkeypatch, narrow, after):
+    monkeypatch.setattr(A, "NARROW", narrow)
+    monkeypatch.setattr(A, "COMPACT_AFTER", after)
+    edges = [(i, i + 1) for i in range(21)] + [(5, 3), (21, 0), (2, 9), (30, 31), (4, 4), (4, 4), (7, 40), (40, 41), (40, 42), (42, 12), (8, None)]
+    known, frontier, hop = {0: 0, 30: 0}, {0, 30}, 0
+    while frontier:
+        hop += 1
+        frontier = {d for s, d in edges if s in frontier} - set(known)
+        known |= dict.fromkeys(frontier, hop)
+    e, seed = spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(0,), (30,), (0,)], "node int")
+    rows = [(r.node, r.hops) for r in A.reachable_set(e, seed).collect()]
+    assert len(rows) == len(known) and dict(rows) == known
+    assert A.reachable_set(e, seed.where("false")).collect() == []
+
+
+def test_a_long_chain_ends_with_few_partitions(spark):
+    chain = spark.range(120).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = A.reachable_set(chain, spark.range(1).select(F.col("id").alias("node")))
+    assert got.rdd.getNumPartitions() <= 4 * (A.COMPACT_AFTER + 1) and got.agg(F.count("*"), F.max("hops"), F.sum("hops")).first()[:] == (121, 120, 7260)
