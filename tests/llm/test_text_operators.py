@@ -524,6 +524,73 @@ def test_names_of_other_scripts_and_without_title(spark):
         assert len(two) == len(surrogates._SYLLABLES) ** 2
 
 
+def surrogates_of(spark, rows):
+    return by_id(surrogates.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), b"k"))
+
+
+def test_names_are_whole_tokens(spark):
+    names = ["McDonald", "MacArthur", "A" + "b" * 40, "Anne-Marie O'Brien", "John Michael Smith", "García Márquez López", "J. Smith", "J.R.R. Tolkien", "van der Berg", "Maria de la Cruz", "O\u2019Brien", "Jean\u2010Luc Picard", "de Souza", "Ștefan Țurcanu", "Nguyễn Thị Hoa"]
+    rows = [f"Mr. {n} came." for n in names] + ["MR. JOHN SMITH, here", "Mr.\nSmith ran", "Prof. Dr. Anna Schmidt ran", "Prof.\u00a0Dr. Med Schmidt ran", "a Mr.Smith b", "Mr. and Mrs. Meyer", "mr. smith", "Dr.", "Mr. 7"]
+    got = surrogates_of(spark, rows)
+    for i, n in enumerate(names):
+        new = got[i].text.removeprefix("Mr. ").removesuffix(" came.")
+        kept = set(re.findall(r"[\w'\u2019\u2010-]+", n)) & set(re.findall(r"[\w'\u2019\u2010-]+", new))
+        assert got[i].n_entities == 1 and kept <= {"van", "der", "de", "la"} and "came" not in new
+    initial = got[names.index("J. Smith")].surrogates[0]
+    assert re.fullmatch(r"Mr\. [A-Z]\. \w+", initial)
+    shout = got[len(names)]
+    assert re.fullmatch(r"MR\. [A-Z]+ [A-Z]+, here", shout.text) and "JOHN" not in shout.text and "SMITH" not in shout.text
+    assert re.fullmatch(r"Mr\.\n\w+ ran", got[len(names) + 1].text) and re.fullmatch(r"Prof\. Dr\. \w+ \w+ ran", got[len(names) + 2].text)
+    assert "Schmidt" not in got[len(names) + 3].text and "Smith" not in got[len(names) + 4].text and "Meyer" not in got[len(names) + 5].text
+    assert [got[len(names) + k].n_entities for k in (6, 7, 8)] == [0, 0, 0]
+
+
+def test_one_first_name_for_an_entity(spark):
+    got = surrogates_of(spark, ["Dr. John Smith met Mr. John Smith. John Smith left.", "Prof. John Smith", "Dr. Ida Lee", "Dr. Ida Lee and Frau Ida Lee", "Mr. Chris Low, Mrs. Chris Low, Dr. Chris Low", "Mr. John Smith and Mr. Smith and MR. JOHN SMITH and Mr. John Q. Smith"])
+    doctor, mister, bare = got[0].surrogates
+    assert doctor.split()[1:] == mister.split()[1:] == bare.split() == got[1].surrogates[0].split()[1:]
+    assert got[2].surrogates[0].split()[1:] == got[3].surrogates[1].split()[1:] and got[2].surrogates[0].split()[1] in surrogates._FIRST["f"]
+    man, woman, either = (x.split()[1:] for x in got[4].surrogates)
+    assert man != woman and either == woman
+    full, short, shout, middle = got[5].surrogates
+    assert short.split()[-1] == full.split()[-1] and shout == full.upper().replace("MR.", "MR.") and middle.split()[1] == full.split()[1] and middle.split()[-1] == full.split()[-1]
+
+
+def test_more_kinds_keep_their_checks(spark):
+    said = {"iban": "DE89 3704 0044 0532 0130 00", "ssn": "123-45-6789", "ipv6": "2001:db8::1", "card": "3782 822463 10005", "phone": "0171 2345678", "email": "jürgen@münchen.example.de"}
+    got = surrogates_of(spark, [*said.values(), "(030) 123456", "XX00 ABCD 0044 0532 EFGH 00", "12:30:45 and 1:2:3", "from 2001-02-03 to 0.5"])
+    for i, (kind, text) in enumerate(said.items()):
+        new = got[i].surrogates[0]
+        assert got[i].spans == f"{kind}:0:{len(text)}" and new != text and (kind == "ipv6" or re.sub(r"\w", "0", new) == re.sub(r"\w", "0", text))
+    assert surrogates.mod97(got[0].surrogates[0].replace(" ", "")) == 1 and surrogates.luhn(got[3].surrogates[0].replace(" ", ""))
+    assert ":" in got[2].surrogates[0] and got[6].spans == "phone:0:12"
+    assert [got[k].n_entities for k in (7, 8, 9)] == [0, 0, 0]
+
+
+def test_surrogates_against_a_plain_detector_and_mapping(spark):
+    """Names of one shape, found and replaced by hand: same places, one surrogate an entity, none twice, none that is real."""
+    r = random.Random(3)
+    given, families = ["Ada", "Bob", "Cleo", "Dan"], ["Quill", "Rook", "Stone", "Thorn"]
+    rows = [" ".join(r.choice(["went", "Mr.", "Mrs.", "Dr.", "then,"]) + " " + r.choice(["", r.choice(given) + " "]) + r.choice(families) + " so" for _ in range(r.randint(0, 5))) for _ in range(60)]
+    got, of, gender = surrogates_of(spark, rows), {}, {}
+    plain = re.compile(r"(Mrs?|Dr)\. ((?:(\w+) )?(\w+)) so")
+    for text in rows:
+        for m in plain.finditer(text):
+            if m[3] and m[1] != "Dr":
+                gender.setdefault((m[3], m[4]), set()).add(m[1])
+    for i, text in enumerate(rows):
+        titled = [(m.start(), m.end() - 3, m) for m in plain.finditer(text)]
+        made = dict(zip([tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s], got[i].surrogates, strict=True))
+        for a, b, m in titled:
+            *first, family = made[a, b].split()[1:]
+            assert of.setdefault(m[4], family) == family
+            if first:
+                shown = m[1] if m[1] != "Dr" else ("Mrs" if "Mrs" in gender.get((m[3], m[4]), ()) else "Mr" if gender.get((m[3], m[4])) else "n")
+                assert of.setdefault((m[3], m[4], shown), first[0]) == first[0]
+    families_made = [v for k, v in of.items() if isinstance(k, str)]
+    assert len(set(families_made)) == len(families_made) and not {x.lower() for x in families_made} & {x.lower() for x in families}
+
+
 def test_license_keywords_lose_no_match(spark):
     said = "FreeBSD,GPL1,GPL2,GNU GPL3.0,GPL v2,GPL version2,GPL 3,LGPL2,LGPL2.1,LGPL v2.1,LGPL3,AGPL3,AGPL v3,SIL Open Font License 1.1,OFL 1.1,GPLv2,BSD 2 clause".split(",")
     rows = list(enumerate(f.format(x) for x in said for f in ("{} License", "licensed under {}.", "SPDX-License-Identifier: {}")))
