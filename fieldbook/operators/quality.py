@@ -109,3 +109,19 @@ def accepted(checked: DataFrame) -> DataFrame:
 
 def quarantined(checked: DataFrame) -> DataFrame:
     return checked.where("size(issues) > 0")
+
+
+def audit_summary(asked: DataFrame, checks: DataFrame, fetches: DataFrame, key: str) -> DataFrame:
+    """(key, checked, mismatches, verdict) of every key that was asked for, checked or not.
+
+    checks has key and ok, a row for each field of an extracted record; fetches has key and status, null where nothing
+    answered.  The verdict is 'missing' without a record, 'unreachable', 'HTTP n' for any status but 200, then 'differs' or 'ok'; what was not fetched well was not compared.
+    """
+    fields = checks.groupBy(key).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("bad"))
+    got = fetches.select(key, "status", F.lit(True).alias("tried"))
+    j = asked.select(key).distinct().join(fields, key, "left").join(got, key, "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("status").isNull(), "unreachable").when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    compared = status.isNull()
+    return j.select(
+        key, F.when(compared, F.col("n")).otherwise(0).alias("checked"), F.when(compared, F.col("bad")).otherwise(0).alias("mismatches"), F.coalesce(status, F.when(F.col("bad") > 0, "differs").otherwise("ok")).alias("verdict")
+    )

@@ -82,3 +82,10 @@ def merge_override_stub(pending: DataFrame, decisions: DataFrame) -> DataFrame:
 def tokens_overlap(want: Column, got: Column) -> Column:
     """Share of the wanted words that are there; 1 where none is wanted."""
     return F.when(F.size(want) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(want, got)) / F.size(want))
+
+
+def override_progress(entries: DataFrame) -> DataFrame:
+    """(slug, state, total, resolved) of entries with slug, code and suggestion: resolved, suggested or open; one row of counts is joined to all."""
+    counts = entries.agg(F.struct(F.count("*").alias("total"), F.count("code").alias("resolved")).alias("c")).scalar()
+    state = F.when(F.col("code").isNotNull(), "resolved").when(F.col("suggestion").isNotNull(), "suggested").otherwise("open")
+    return entries.select("slug", state.alias("state"), counts.alias("c")).select("slug", "state", "c.total", "c.resolved")

@@ -198,10 +198,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("file").agg(F.max_by("dest", "prio").alias("dest"))
 
 
-@query("asset_job_plan", f"SELECT file, arg_max(dest, prio) AS dest FROM ({_REFS}) GROUP BY file")
+@query("asset_job_plan", f"SELECT file, arg_max(dest, prio) AS dest, 'image' AS kind FROM ({_REFS}) GROUP BY file UNION ALL SELECT DISTINCT CAST(p_partkey // 2 AS VARCHAR) || '.mp3', 'audio', 'audio' FROM part WHERE p_partkey % 4 <> 3")
 def asset_job_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One job for each file; the last collection that refers to it wins."""
-    return jobs(spark, sf_dir)
+    """One job for each image, the last collection that refers to it wins; recordings, here one for two parts, are kept apart and go to one place."""
+    audio = table(spark, sf_dir, "part").where("p_partkey % 4 <> 3").select(F.concat(F.expr("p_partkey DIV 2").cast("string"), F.lit(".mp3")).alias("file")).distinct()
+    return jobs(spark, sf_dir).select("file", "dest", F.lit("image").alias("kind")).unionByName(audio.select("file", F.lit("audio").alias("dest"), F.lit("audio").alias("kind")))
 
 
 @query("best_rendition", "SELECT p_partkey || '_s.jpg' AS name, CASE WHEN p_partkey % 4 = 0 THEN p_partkey || '.JPG' WHEN p_partkey % 4 = 1 THEN p_partkey || '_L.jpg' WHEN p_partkey % 4 = 2 THEN p_partkey || '_t.jpg' END AS file FROM part")

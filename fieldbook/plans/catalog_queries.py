@@ -149,10 +149,13 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(total, "grp").select("grp", "family", "n", "species")
 
 
-@query("flagged_species", "SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("flagged_species", "SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (ORDER BY CASE WHEN doc_id % 7 <> 0 THEN n_chars END NULLS LAST, lower(source), source, lower(lang), lang, doc_id) AS place FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def flagged_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
-    return d.join(d.groupBy("source").agg(F.count("*").alias("n")), "source").select("doc_id", "source", "n")
+    """In taxonomic order, here by length (unknown for every seventh), source and language; with the count of the group."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("sort"))
+    d = d.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    counts = d.groupBy("source").agg(F.count("*").alias("n"))
+    return placed(d, [*C.listing_order("sort", "source", "lang"), F.col("doc_id").asc()]).join(counts, "source").select("doc_id", "source", "n", "place")
 
 
 @query("account_join", "SELECT s_suppkey, s_name, n_name, r_name, count(*) OVER (PARTITION BY s_nationkey) AS in_family FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 8 <> 7 LEFT JOIN region ON n_regionkey = r_regionkey")

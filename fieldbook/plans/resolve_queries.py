@@ -88,6 +88,7 @@ def merge_override_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_override_stub(R.pending_review(ladder(spark, sf_dir)), overrides(spark, sf_dir))
 
 
-@query("override_progress", "SELECT count(*) AS total, sum(CASE WHEN p_partkey % 100 = 0 THEN 1 ELSE 0 END) AS resolved FROM part WHERE p_partkey % 50 = 0")
+@query("override_progress", "SELECT slug, CASE WHEN code IS NOT NULL THEN 'resolved' WHEN slug % 150 = 0 THEN 'open' ELSE 'suggested' END AS state, count(*) OVER () AS total, count(code) OVER () AS resolved FROM (SELECT p_partkey AS slug, CASE WHEN p_partkey % 100 = 0 THEN p_partkey + 1 END AS code FROM part WHERE p_partkey % 50 = 0)")
 def override_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overrides(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("code").isNotNull()).alias("resolved"))
+    """Each entry's state, and how many of all are resolved; every third has no suggestion."""
+    return R.override_progress(overrides(spark, sf_dir).withColumn("suggestion", F.when(F.col("slug") % 150 != 0, F.col("suggestion"))))
