@@ -9,9 +9,9 @@
 All but the last return the columns of documents.
 
 Defined cases: a null or empty text, or one without letters, has no language and goes in the first stage; repeated
-rows, and rows of one id with near texts, are near copies, of which one stays; rows of one id with unlike texts are judged
-each, as are rows with a null id; a text is judged whole, however long; an empty table gives no rows; further
-columns are handed on by all stages but the last.
+rows are near copies, of which one stays; rows of one id count as one document, of which the second stage keeps
+one row, and rows with a null id as documents of their own; a text is judged whole, however long; an empty table
+gives no rows; further columns are handed on by all stages but the last.
 """
 
 from __future__ import annotations
