@@ -48,3 +48,10 @@ def test_query(spark, duck, name):
     expected = duck.sql(sql)
     assert sorted(df.columns) == sorted(expected.columns)
     assert rows_of(df.columns, got) == rows_of(expected.columns, expected.fetchall())
+
+
+def test_the_flagship_gives_rows(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert rows and [r.position for r in sorted(rows, key=lambda r: r.position)] == list(range(1, len(rows) + 1))
