@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.llm.common import column, small_batches, text_chunks
 
-#: Cells that grams of one to three bytes are hashed to.
+#: Cells that trigrams of bytes are hashed to.
 CELLS = 1 << 14
 #: Added to each count.
 SMOOTH = 0.5

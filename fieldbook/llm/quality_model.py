@@ -66,7 +66,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         seen = np.bincount(np.unique(at[inner] * 1024 + slot[inner]) // 1024, minlength=total)
         distinct = seen / np.maximum(1, np.bincount(at[inner], minlength=total))
     else:
-        distinct = np.ones(total)
+        distinct = np.zeros(total)  # as in a chunk with longer rows
     gaps = kinds[:, 3] + kinds[:, 4]
     shapes = np.column_stack([kinds * 4, distinct, gaps, np.where(gaps > 0, np.minimum(1 / np.maximum(gaps, 1e-3), 40) / 10, 4), np.log1p(length) / 7, np.log1p(sizes[row]) / 12, inside == 0])
     return np.column_stack([pairs * 8, shapes]).astype(np.float32), first
