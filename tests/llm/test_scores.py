@@ -94,3 +94,15 @@ def test_quality_against_plain_scoring(spark):
         got = {x.doc_id: x.score for x in quality_model.score(docs, model).collect()}
         for i, t in enumerate(texts):
             assert got[i] == pytest.approx(plain_score(model, t), abs=2e-3)
+
+
+def test_training_texts_are_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, made(i, 60, "abcdefgh" if i % 2 else "a#b$ 1")) for i in range(40)] + [(100, "ab " * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(100, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model.Attention, "fit", lambda self, bags, y, *a: seen.append((sum(map(len, bags)), len(y), float(y.sum()))) or self)
+    quality_model.fit(docs, labels)
+    quality_model.fit(docs, labels, train_bytes=8000)
+    quality_model.fit(docs, labels, train_rows=6)
+    (passages, rows, good), (few, less, fewer), (_, six, three) = seen
+    assert rows == 41 and good == 21 and passages > 586 and few * quality_model.PASSAGE < 16_000 and 0 < fewer < less < 40 and (six, three) == (6, 3)
