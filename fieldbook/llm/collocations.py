@@ -37,6 +37,8 @@ from fieldbook.llm.common import column, materialise, mix, small, small_batches,
 BURST = 16_384
 HELD = 1_000_000
 WORDS = 1_000_000
+#: Phrases that wait to be added up before they are put into the trie.
+WAITING = 1_000_000
 #: A prefix is common if it starts one of so many phrases; and the rows of an Arrow batch.
 COMMON = 4096
 ROWS = 1000
@@ -138,11 +140,13 @@ def add(node: Node, heads: list[int], rests: list[int], counts: list[int], depth
             node[w] = {rest: n}
             gained += 1
         elif type(at) is dict:
-            size = len(at)
-            at[rest] = at.get(rest, 0) + n
-            gained += len(at) - size
-            if size >= BURST and depth > 1:
-                node[w] = burst(at, depth)
+            if rest in at:
+                at[rest] += n
+            else:
+                at[rest] = n
+                gained += 1
+                if depth > 1 and len(at) > BURST:
+                    node[w] = burst(at, depth)
         else:
             shift = _BITS * (depth - 1)
             gained += add(at, [rest >> shift], [rest & (1 << shift) - 1], [n], depth - 1)
@@ -171,15 +175,16 @@ def size(at: dict) -> int:
 class Counter:
     """Counts of the phrases of a task; what leaves it are runs (lang, part, lines).
 
-    Of two words, single words are counted too, as a word with nothing behind it.  A line is a prefix and
-    what follows it, with counts over one.
+    Of two words, single words are counted too, as a word with nothing behind it.  A line is a prefix, what
+    follows it, and a count over one.
     """
 
     def __init__(self, length: int, maps: list[BitMap], parts: int, hot: frozenset[tuple[str, str]] = frozenset()):
         self.length, self.maps, self.parts, self.hot = length, maps, parts, hot
         self.langs: dict[str, Numbers] = {}
         self.total: dict[str, int] = {}
-        self.held = 0
+        self.waiting: dict[str, list[np.ndarray]] = {}
+        self.waits = self.held = 0
 
     def take(self, lang: str, texts: list[str]) -> None:
         own = self.langs.get(lang)
@@ -204,27 +209,57 @@ class Counter:
             keys = keys << _BITS | ids[at + j]
         if n == 2:
             keys = np.concatenate([keys, ids[ids > 0] << _BITS])
-        keys, counts = np.unique(keys, return_counts=True)
-        shift = _BITS * (n - 1)
-        self.held += add(own.trie, (keys >> shift).tolist(), (keys & (1 << shift) - 1).tolist(), counts.tolist(), n - 1)
-
-    def spill(self, everything: bool) -> Iterator[tuple[str, int, str]]:
-        """Runs of the largest subtrees, until half of the entries is left, or of all."""
-        trees = sorted(((size(child), lang, w) for lang, own in self.langs.items() for w, child in own.trie.items()), reverse=True)
-        leave: dict[str, list[int]] = {}
-        for n, lang, w in trees:
-            if not everything and self.held <= HELD // 2:
-                break
-            self.held -= n
-            leave.setdefault(lang, []).append(w)
+        self.waiting.setdefault(lang, []).append(keys)
+        self.waits += len(keys)
+        if self.waits >= WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        """Add up what waits, and put it into the tries."""
+        shift = _BITS * (self.length - 1)
+        for lang, waiting in self.waiting.items():
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            self.held += add(self.langs[lang].trie, (keys >> shift).tolist(), (keys & (1 << shift) - 1).tolist(), counts.tolist(), self.length - 1)
+        self.waiting.clear()
+        self.waits = 0
+
+    def spill(self, everything: bool) -> Iterator[tuple[int, list[str], str]]:
+        """Runs of the largest subtrees, until half of the entries is left, or of all: one for each part, whose lines start with the place of their language."""
+        by_part: dict[int, tuple[list[str], list[str]]] = {}
+        for lang, part, run in self.leaving(everything):
+            langs, runs = by_part.setdefault(part, ([], []))
+            if lang not in langs[-1:]:
+                langs.append(lang)
+            at = f"{len(langs) - 1}\t"
+            runs.append(at + run.replace("\n", f"\n{at}"))
+        for part, (langs, runs) in by_part.items():
+            yield part, langs, "\n".join(runs)
+
+    def leaving(self, everything: bool) -> Iterator[tuple[str, int, str]]:
+        self.settle()
+        leave: dict[str, list[int]] = {lang: list(own.trie) for lang, own in self.langs.items()}
+        if not everything:
+            trees = sorted(((size(child), lang, w) for lang, own in self.langs.items() for w, child in own.trie.items()), reverse=True)
+            leave.clear()
+            for n, lang, w in trees:
+                if self.held <= HELD // 2:
+                    break
+                self.held -= n
+                leave.setdefault(lang, []).append(w)
+        shift = _BITS * (self.length - 1)
         for lang, heads in leave.items():
-            own = self.langs[lang]
-            yield from self.runs(own, [c for w in heads for c in containers(own.trie.pop(w), w << _BITS * (self.length - 1), self.length - 2)])
+            own, found = self.langs[lang], []
+            for w in heads:
+                child = own.trie.pop(w)
+                found.extend([(w << shift, child)] if type(child) is dict else containers(child, w << shift, self.length - 2))
+            if found:
+                yield from self.runs(own, found)
         if everything:
             for lang, n in self.total.items():
-                yield lang, 0, f"\t:{n}"
+                yield lang, 0, f"\t\t{n}"
             self.langs.clear()
             self.total.clear()
+            self.held = 0
 
     def runs(self, own: Numbers, found: list[tuple[int, dict]]) -> Iterator[tuple[str, int, str]]:
         sizes = [len(c) for _, c in found]
@@ -242,20 +277,17 @@ class Counter:
         part = (part >> np.uint64(8)) % np.uint64(self.parts)
         order = np.lexsort((keys, part))
         part, keys, counts = part[order], keys[order], counts[order]
-        cells = [t if c == 1 else f"{t}:{c}" for t, c in zip(names[keys & _MASK].tolist(), counts.tolist(), strict=True)]
-        prefix = keys >> _BITS
-        starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
-        ends = [*starts[1:].tolist(), len(cells)]
-        heads = [names[prefix[starts] >> _BITS * j & _MASK].tolist() for j in range(n - 2, -1, -1)]
-        lines = ["\t".join((" ".join(h), *cells[a:b])) for h, a, b in zip(zip(*heads, strict=True), starts.tolist(), ends, strict=True)]
-        of_line = part[starts]
-        first = np.flatnonzero(np.concatenate([[True], of_line[1:] != of_line[:-1]]))
+        behind = zip(names[keys & _MASK].tolist(), counts.tolist(), strict=True)
+        heads = [names[keys >> _BITS * j & _MASK].tolist() for j in range(n - 1, 0, -1)]
+        before = heads[0] if n == 2 else map(" ".join, zip(*heads, strict=True))
+        lines = [f"{p}\t{t}" if c == 1 else f"{p}\t{t}\t{c}" for p, (t, c) in zip(before, behind, strict=True)]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(lines)], strict=True):
-            yield own.lang, int(of_line[a]), "\n".join(lines[a:b])
+            yield own.lang, int(part[a]), "\n".join(lines[a:b])
 
 
 def runs_of(rows: DataFrame, length: int, maps: list[BitMap], parts: int, hot: frozenset[tuple[str, str]]) -> DataFrame:
-    """(lang, part, run) of the phrases of so many words in rows (lang, text)."""
+    """(part, langs, run) of the phrases of so many words in rows (lang, text)."""
     shared = rows.sparkSession.sparkContext.broadcast((maps, hot))  # of a fixed size, and a few prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +296,7 @@ def runs_of(rows: DataFrame, length: int, maps: list[BitMap], parts: int, hot: f
         def leave(everything: bool) -> Iterator[pa.RecordBatch]:
             spilled = counter.spill(everything)
             while out := list(islice(spilled, ROWS)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string()), strict=True)], names=["lang", "part", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.string()), pa.string()), strict=True)], names=["part", "langs", "run"])
 
         for batch in batches:
             for i, j, texts in string_chunks(batch.column(1)):
@@ -279,16 +311,16 @@ def runs_of(rows: DataFrame, length: int, maps: list[BitMap], parts: int, hot: f
                     yield from leave(False)
         yield from leave(True)
 
-    return rows.mapInArrow(run, "lang string, part int, run string")
+    return rows.mapInArrow(run, "part int, langs array<string>, run string")
 
 
 def counted(rows: DataFrame, length: int, maps: list[BitMap], least: int, hot: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
     """(lang, prefix, tail, n) of the phrases that occur so often; single words have no tail, and the count of all words has no prefix either."""
-    parts = max(256, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(256, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     runs = runs_of(rows, length, maps, parts, hot).repartition("part")
-    lines = runs.select("lang", "part", F.explode(F.split("run", "\n")).alias("line")).select("lang", "part", F.split("line", "\t").alias("f"))
-    cells = lines.select("lang", "part", F.get("f", F.lit(0)).alias("prefix"), F.explode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("c"))
-    each = cells.select("lang", "part", "prefix", F.substring_index("c", ":", 1).alias("tail"), F.when(F.contains("c", F.lit(":")), F.substring_index("c", ":", -1).cast("long")).otherwise(1).alias("n"))
+    lines = runs.select("part", "langs", F.explode(F.split("run", "\n")).alias("line")).select("part", "langs", F.split("line", "\t").alias("f"))
+    lang = F.get("langs", F.get("f", F.lit(0)).cast("int"))
+    each = lines.select(lang.alias("lang"), "part", F.get("f", F.lit(1)).alias("prefix"), F.get("f", F.lit(2)).alias("tail"), F.coalesce(F.get("f", F.lit(3)).cast("long"), F.lit(1)).alias("n"))
     merged = each.groupBy("lang", "part", "prefix", "tail").agg(F.sum("n").alias("n"))  # runs of a part lie together already
     return materialise(merged.where((F.col("n") >= least) | ((F.col("prefix") == "") & (F.col("tail") == ""))).select("lang", "prefix", "tail", "n"), f"phrases{length}")
 

@@ -81,10 +81,11 @@ def test_tries_that_burst_and_spill(monkeypatch, length):
     counter, got, places, spills = C.Counter(length, [full] * (length - 1), 16, hot), Counter(), {}, 0
 
     def take(rows):
-        for lang, part, run in rows:
+        for part, langs, run in rows:
             assert 0 <= part < 16
             for line in run.split("\n"):
-                prefix, tail, *n = line.split("\t")
+                at, prefix, tail, *n = line.split("\t")
+                lang = langs[int(at)]
                 got[lang, prefix, tail] += int(n[0]) if n else 1
                 assert places.setdefault((lang, prefix, tail), part) == part
 
