@@ -29,6 +29,18 @@ def brute(rows):
     return out
 
 
+def test_candidates_of_equal_words_are_scored_once(spark, parts, monkeypatch):
+    path, rows = parts
+    scored, plain = [], Q.S.score_candidates
+    monkeypatch.setattr(Q.S, "score_candidates", lambda pairs, *a: scored.append(pairs.count()) or plain(pairs, *a))
+    got = Q.score_candidates(spark, path).collect()
+    assert {(x.site, x.cand): x.score for x in got} == brute(rows) and len(got) == len(brute(rows)) > 1000
+    assert scored[0] * 4 < len(got)
+    monkeypatch.setattr(Q, "LIST", 3)  # groups of several lists
+    again = Q.score_candidates(spark, path).collect()
+    assert sorted(again) == sorted(got)
+
+
 def test_the_best_candidate_is_never_the_site(spark, parts, monkeypatch):
     path, rows = parts
     scored, plain = [], Q.S.score_candidates
