@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldbook.functions.text import clean_text, collapse_ws, strip_tags
+from fieldbook.functions.text import Entities, clean_text, collapse_ws, strip_tags
 
 
-def field(html: Column, pattern: str) -> Column:
+def field(html: Column, pattern: str, only: Entities | None = None) -> Column:
     """The text of a scalar field, '' where it is absent."""
-    return collapse_ws(strip_tags(F.regexp_extract(html, pattern, 1)))
+    return collapse_ws(strip_tags(F.regexp_extract(html, pattern, 1)), only)
 
 
 def section_map(rows: DataFrame, headings: dict[str, str], skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
