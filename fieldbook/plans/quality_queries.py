@@ -145,8 +145,8 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     Both readings fold alike; the visible text never goes through the extraction's cleaner.
     """
     p = table(spark, sf_dir, "pages")
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), T.audit_fold(T.clean_text(F.regexp_extract("html", x, 1))).alias("value")) for f, x in _FIELD.items()])
-    seen = p.select("page_id", T.audit_fold(T.visible_text(F.col("html"))).alias("seen"), F.explode(fields).alias("f"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), T.audit_fold(T.clean_text(F.regexp_extract("html", x, 1), T.ENTITIES)).alias("value")) for f, x in _FIELD.items()])
+    seen = p.select("page_id", T.audit_fold(T.visible_text(F.col("html"), T.ENTITIES)).alias("seen"), F.explode(fields).alias("f"))
     return seen.select("page_id", "f.field", F.contains("seen", F.substring("f.value", 1, 180)).alias("ok"))
 
 

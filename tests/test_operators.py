@@ -219,3 +219,20 @@ def test_bursts_and_sessions_as_streams(spark, tmp_path):
         assert got == expected, name
     assert sorted(r.n for r in runs["bursts"](batch).collect()) == [2, 4, 5, 6]
     assert sorted(r.n for r in runs["idle"](batch).collect()) == [1, 1, 2, 2]
+
+
+def test_queries_decode_the_entities_of_their_sql(spark, tmp_path):
+    """Whole tables by query and by SQL: entities without their semicolon, escaped twice, or outside the list."""
+    import duckdb
+
+    from fieldbook.plans import registry
+
+    texts = ["a&amp</title>", "&amp;lt; &nbsp;&nbsp;x", "&eacute;t&eacute; &#233; &copy 2020", "&#39;&#39;q&#39;&#39; &middot;", "&amp", "", None]
+    page = lambda t: None if t is None else f'<html lang="en"><title>{t}</title><h1>{t} h</h1><article><p>{t}</p><p>&hellip;{t}</p></article><footer>&copy; {t}</footer></html>'
+    rows = [(i, f"http://h/{i}", page(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("unescape_entities", "unescape_all", "clean_text", "node_paragraphs", "visible_text", "extract_fields", "credit_text", "audit_text_fields"):
+        got, expected = registry.queries()[name](spark, str(tmp_path)), duck.sql(registry.oracle_sql()[name])
+        assert sorted(map(str, map(tuple, got.select(*expected.columns).collect()))) == sorted(map(str, expected.fetchall())), name
