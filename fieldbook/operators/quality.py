@@ -102,6 +102,14 @@ def validated(records: DataFrame, text: str, spec: dict) -> DataFrame:
     return read.withColumn("issues", F.when(bad, said).otherwise(declared_issues(F.col("_r"), spec))).drop("_r")
 
 
+def told(checked: DataFrame, key: str) -> DataFrame:
+    """(key, path, message) of every issue of validated() rows.
+
+    A plain explode has Spark ask first whether a record has any issue, with all that reads and checks it written out anew.
+    """
+    return checked.select(key, F.explode_outer("issues").alias("_i")).where("_i IS NOT NULL").select(key, "_i.path", "_i.message")
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     """The rows of validated() without an issue; they and quarantined() are all rows, and neither looks a second time."""
     return checked.where("size(issues) = 0").drop("issues")

@@ -1,5 +1,6 @@
 """Declared schemas and renaming within nested records."""
 
+import datetime
 import json
 
 import pytest
@@ -68,3 +69,15 @@ def test_a_credit_renamed_in_place(spark):
     assert {tuple(r) for r in account.collect()} == {("birds", 1, 2), ("sites", 0, 0), ("none", 0, 0)}
     with pytest.raises(ValueError, match="both names"):
         catalog.rename_credit(t, "Ann Bee", " ")
+
+
+def test_a_record_is_read_once_to_tell_its_issues(spark, tmp_path):
+    from fieldbook.plans import quality_queries
+
+    line = [(1, k, 7, 1, 50.0 if k == 2 else 3.0, "A") for k in range(1, 4)]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, "F", "1-URGENT", datetime.date(1994, 1, 1), 5.0), (2, "F", "1-URGENT", datetime.date(1994, 1, 1), 5.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_orderdate date, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = quality_queries.schema_issues(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, "lines.1.quantity", "over 45"), (2, "lines", "required")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
