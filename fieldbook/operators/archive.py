@@ -255,9 +255,17 @@ def relative_path(source: Column, target: Column) -> Column:
 
 
 def best_rendition(names: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, file): the original, else the large, the thumb, the small rendition that exists, without regard to case."""
+    """(name, file): the original, else the large, the thumb, the small rendition that exists, without regard to case.
+
+    A file is the original of its own name and a rendition of the name without its mark; the best of each original is
+    chosen before names meet them, so a name is one row, dealt once.
+    """
     stem = F.regexp_replace("name", r"(?i)_[stl](\.[a-z]+)$", "$1")
-    base, ext = F.regexp_replace(stem, r"\.[^.]+$", ""), F.regexp_extract(stem, r"(\.[^.]+)$", 1)
-    wanted = names.select("name", F.posexplode(F.array(F.lower(stem), *[F.lower(F.concat(base, F.lit(f"_{v}"), ext)) for v in "lts"])).alias("pos", "k"))
-    have = files.select(F.lower("file").alias("k"), "file")
-    return wanted.join(have, "k", "left").groupBy("name").agg(F.min_by("file", F.when(F.col("file").isNotNull(), F.struct("pos", "file"))).alias("file"))
+    marks = (r"(?is)^(.*)_([lts])(\.[^.]+)\z", r"(?is)^([^.]*|.*\.)_([lts])()\z")  # before the extension, or at the end where there is none
+    rank = lambda p: F.array_position(F.array(*map(F.lit, "lts")), F.lower(F.regexp_extract("file", p, 2))).cast("int")
+    key = lambda p: F.lower(F.regexp_replace("file", p, "$1$3"))
+    own = F.struct(F.lower("file").alias("k"), F.lit(0).alias("pos"))
+    of = F.array_compact(F.array(own, *[F.when(F.col("file").rlike(p), F.struct(key(p).alias("k"), rank(p).alias("pos"))) for p in marks]))
+    have = files.where("file IS NOT NULL").select("file", F.explode(of).alias("o")).groupBy("o.k").agg(F.min(F.struct("o.pos", "file")).alias("best"))
+    wanted = names.select("name", F.lower(stem).alias("k"))
+    return wanted.join(have, "k", "left").select("k", "name", F.col("best.file").alias("file")).distinct().select("name", "file")

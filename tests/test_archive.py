@@ -94,3 +94,25 @@ def test_a_long_chain_ends_with_few_partitions(spark):
     chain = spark.range(120).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     got = A.reachable_set(chain, spark.range(1).select(F.col("id").alias("node")))
     assert got.rdd.getNumPartitions() <= 4 * (A.COMPACT_AFTER + 1) and got.agg(F.count("*"), F.max("hops"), F.sum("hops")).first()[:] == (121, 120, 7260)
+
+
+def test_renditions_meet_names_once(spark):
+    """Against brute force over all pairs; names are not multiplied by the renditions they may have."""
+    import random
+    import re
+
+    from fieldbook.operators import archive as A
+
+    r = random.Random(3)
+    make = lambda: "".join(r.choice(["a", "A", "_l", "_L", "_t", "_s", ".", ".jpg", ".JPG", "_"]) for _ in range(r.randint(1, 5)))
+    names, files = {make() for _ in range(300)} | {"x_s.jpg", "y_L._s"}, {make() for _ in range(900)} | {"X_T.jpg", "x_l.JPG", "y_L._l"}
+    expected = {}
+    for n in names:
+        stem = re.sub(r"(?i)_[stl](\.[a-z]+)$", r"\1", n)
+        base, ext = re.match(r"(?s)^(.*?)(\.[^.]+)?$", stem).groups()
+        wanted = [stem.lower(), *[f"{base}_{v}{ext or ''}".lower() for v in "lts"]]
+        expected[n] = min(((wanted.index(f.lower()), f) for f in files if f.lower() in wanted), default=(0, None))[1]
+    got = A.best_rendition(spark.createDataFrame([(n,) for n in names] * 2, "name string"), spark.createDataFrame([(f,) for f in files], "file string"))
+    rows = got.collect()
+    assert len(rows) == len(names) and {x.name: x.file for x in rows} == expected
+    assert "posexplode(" not in got._jdf.queryExecution().optimizedPlan().toString()
