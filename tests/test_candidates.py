@@ -52,3 +52,15 @@ def test_the_best_candidate_is_never_the_site(spark, parts, monkeypatch):
     assert set(got) == set(range(0, 700, 100)) and got[300].cand is None
     assert {s: (x.cand, x.score) for s, x in got.items() if x.cand is not None} == best
     assert scored[0] * 4 < len(brute(rows))
+
+
+def test_lists_serve_all_later_steps_and_hold_each_key_once(spark, tmp_path, monkeypatch):
+    rows = [(k, "ring" if k % 2 else "Ring", "LARGE", None if k % 3 else 20) for k in range(400)] + [(5, "RING", "LARGE", None), (7, "the park", "LARGE", 1), (9, None, "LARGE", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert "FileScan" not in Q.score_candidates(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()  # the lists serve all later steps
+    monkeypatch.setattr(Q, "LIST", 20)
+    sites, cands = (x.collect() for x in Q.lists(spark, str(tmp_path)))
+    assert sorted(k for x in sites for k in x.sites) == [0, 100, 200, 300] and {tuple(x.want) for x in sites} == {("ring",)}
+    assert sorted(k for x in cands for k in x.cands) == list(range(400)) and {tuple(x.got) for x in cands} == {("ring",)}
+    assert {k for x in cands if x.imp is None for k in x.cands} == {k for k in range(400) if k % 3}
+    assert len(cands) > 15 and max(len(x.cands) for x in cands) < 50  # a large group is cut
