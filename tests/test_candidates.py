@@ -64,3 +64,10 @@ def test_lists_serve_all_later_steps_and_hold_each_key_once(spark, tmp_path, mon
     assert sorted(k for x in cands for k in x.cands) == list(range(400)) and {tuple(x.got) for x in cands} == {("ring",)}
     assert {k for x in cands if x.imp is None for k in x.cands} == {k for k in range(400) if k % 3}
     assert len(cands) > 15 and max(len(x.cands) for x in cands) < 50  # a large group is cut
+
+
+def test_few_rows_come_of_one_pair_of_lists(spark, tmp_path):
+    spark.range(60000).selectExpr("id AS p_partkey", "'hot ring' AS p_name", "'LARGE' AS p_type", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    sites, cands = (x.collect() for x in Q.lists(spark, str(tmp_path)))
+    assert sum(len(x.sites) for x in sites) == 600 and sum(len(x.cands) for x in cands) == 60000
+    assert max(len(x.sites) for x in sites) * max(len(x.cands) for x in cands) < 100_000
