@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 400_000
 #: Rows of a table (below 100 bytes each) that are broadcast.
 BROADCAST_ROWS = 300_000
+#: Bits of a map of hashes: 16 for each, within these bounds (a table of 16 thousand to half a million rows).
+MAP_BITS = (1 << 20, 1 << 25)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, a written table of a few numbers a row, broadcast when it is counted to have few rows; beyond, Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
+def split_by_map(df: DataFrame, key: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key, a 64-bit hash, may be among those of a table of one column, and the rows whose key is not.
+
+    A bit map of the hashes is broadcast, so only the first part needs to be shuffled; beside the rows that belong there it
+    holds a sixteenth of the others at most, more beyond two million hashes.
+    """
+    bits = min(max(MAP_BITS[0], 1 << (16 * hashes.count()).bit_length()), MAP_BITS[1])
+    cell = lambda x: F.shiftright(x.bitwiseAND(F.lit(bits - 1)), 6)
+    place = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    names, h = (free_name(df, "map_cell"), free_name(df, "map_marks")), F.col(hashes.columns[0])
+    marks = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(h)))
+    cells = materialise(hashes.groupBy(cell(h).alias(names[0])).agg(marks.alias(names[1])), "map")
+    met = df.join(F.broadcast(cells), cell(key) == F.col(names[0]), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(names[1]), place(key)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return met.where(hit).drop(*names), met.where(~hit).drop(*names)
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -7,11 +7,15 @@ Two sets link when 100 * |A and B| >= percent * |A or B|.  Equal sets are one no
    bucket counts, set by set, those that another set has too (within a task a shingle of several sets
    is handed on once, so no key is hot).  Sets with too many of their own in that half are done; what is
    left is mostly near copies.
-2. The sets left meet by signatures that lose no link: sizes fall in levels, and at each level shingles
-   are dealt to so many parts by hash that linked sets, which differ in few shingles, agree in some.
-   Sets that share a signature of a part are joined to groups.
+2. Of the sets left all shingles are dealt to buckets, which count how many of these sets have each.  A set
+   with fewer shared ones than T = ceil(percent * |A| / 100) is done.  The others go by their |A| - T + 1
+   rarest shingles: two sets that link have one of these in common, as all they share lies behind the first
+   of both.  Its own shingles are the rarest of all, so little but near copies meets.  Sets that have such a
+   shingle in common are joined to groups.  A group of over BLOCK shingles is told apart once more, by
+   signatures that lose no link: sizes fall in levels, and at each level shingles are dealt to so many parts
+   by hash that linked sets, which differ in few shingles, agree in some.
 3. A group is searched for links by T-occurrence: for a set A, a partner shares at least
-   T = ceil(percent * |A| / 100) of A's shingles.  In an inverted index the L longest lists of A stay out
+   T of A's shingles.  In an inverted index the L longest lists of A stay out
    of the merge; the others are merged with a heap that skips what can't occur in T - L of them, and what
    does is probed in the long lists by binary search (DivideSkip) against the overlap that its size needs.
    All sets first meet a few leaders, which joins most of a true group; only the sets outside of its
@@ -39,7 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldbook.llm.common import column, components, free_name, materialise, mix, small, text_chunks, word_hashes
+from fieldbook.llm import common
+from fieldbook.llm.common import column, components, free_name, materialise, mix, small, split_by_map, text_chunks, word_hashes
 
 #: Shingles of a bucket, of a task's hand-over, and of a block of a group.
 BUCKET = 8_000_000
@@ -273,7 +278,7 @@ def shared_excess(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataF
 
 
 def able_sets(docs: DataFrame, rows: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(digest, node, shingles binary) of the sets that have enough in common with others to link with one.
+    """(digest, node, size, shingles binary) of the sets that have enough in common with others to link with one.
 
     In a bucket without excess a set shares half at most, so over all (n_even + excess) / 2 at most are
     shared; the others are its own, which no partner has: they are (100 - percent) / 100 of it at most.
@@ -284,8 +289,13 @@ def able_sets(docs: DataFrame, rows: DataFrame, n: int, percent: int, id_col: st
     own = (F.col("even") - F.coalesce("excess", F.lit(0))) / 2
     able = one.join(excess, "node", "left").where(own * 100 <= F.col("size") * (100 - percent))
     able = materialise(able.select("digest", F.col("row.id").alias("own"), F.col("row.hash").alias("own_hash")), "able")
+    many = able.count() > common.BROADCAST_ROWS
+    same = F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash"))
+    repeated = rows.select("id", "hash").join(small(able), same).count() > able.count()
     texts = docs.select(column(id_col).alias("id"), text_hash(column(text_col)).alias("hash"), column(text_col).alias("text"))
-    texts = texts.join(small(able), F.col("id").eqNullSafe(F.col("own")) & (F.col("hash") == F.col("own_hash"))).select("digest", "text")
+    if many:  # or all texts would be shuffled
+        texts = split_by_map(texts, F.col("hash"), able.select("own_hash"))[0]
+    texts = texts.join(able if many else F.broadcast(able), same).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,9 +303,11 @@ def able_sets(docs: DataFrame, rows: DataFrame, n: int, percent: int, id_col: st
                 sets = shingle_sets(data, offsets, n)
                 digest = batch.column(0).slice(i, j - i)
                 node = [node_of(d) for d in digest.to_pylist()]
-                yield pa.RecordBatch.from_arrays([digest, pa.array(node, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "node", "shingles"])
+                columns = [digest, pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "node", "size", "shingles"])
 
-    return materialise(texts.mapInArrow(run, "digest binary, node long, shingles binary").dropDuplicates(["digest"]), "able-sets")
+    sets = texts.mapInArrow(run, "digest binary, node long, size long, shingles binary")
+    return materialise(sets.dropDuplicates(["digest"]) if repeated else sets, "able-sets")
 
 
 def sets_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
@@ -305,49 +317,140 @@ def sets_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 # ---- groups
 
 
+def handed_on(sign: np.ndarray, node: np.ndarray) -> dict[str, pa.Array]:
+    """(sign, open, a, b): of the sets of one sign that a task holds the first goes on with it (open, a = b), the others are joined to it."""
+    order = np.lexsort((node, sign))
+    sign, node = sign[order], node[order]
+    head = np.ones(len(sign), bool)
+    head[1:] = sign[1:] != sign[:-1]
+    first = node[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    pairs = np.unique(np.stack([first[~head], node[~head]], 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    salt = mix(pairs[:, 0].view(np.uint64) * np.uint64(3) + pairs[:, 1].view(np.uint64)).view(np.int64)
+    columns = [np.concatenate(x) for x in ((sign[head].view(np.int64), salt), (node[head], pairs[:, 0]), (node[head], pairs[:, 1]))]
+    return {"sign": pa.array(columns[0]), "open": pa.array(np.repeat([True, False], [head.sum(), len(pairs)])), "a": pa.array(columns[1]), "b": pa.array(columns[2])}
+
+
+def cells_of(owner: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Where a run of elements of one owner in one bucket begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))
+
+
+def by_bucket(bucket: np.ndarray, cell: np.ndarray, columns: dict[str, np.ndarray], elements: np.ndarray) -> dict[str, pa.Array]:
+    """One row for each bucket: the columns of its cells, how many elements these have, and the elements, all as bytes."""
+    used = np.unique(bucket)
+    upto = np.searchsorted(bucket[cell], np.append(used, used[-1:] + 1)) if len(used) else np.zeros(1, int)
+    counts = np.diff(np.append(cell, len(elements))).astype(np.uint32)
+    lengths = np.diff(np.append(cell, len(elements))[upto])
+    out = {k: binaries(v, np.diff(upto)) for k, v in (columns | {"counts": counts}).items()}
+    return {"bucket": pa.array(used.astype(np.int32))} | out | {"elements": binaries(elements, lengths)}
+
+
+def prefix_rows(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(sign, open, a, b) as handed_on gives them, of the rarest shingles of each set that may link: |A| - T + 1, less those that no other set has.
+
+    Shingles go by bucket and 32 bits; what falls together in these counts as one, which brings sets together but loses none.
+    """
+    dealt_row = "bucket int, nodes binary, sizes binary, counts binary, elements binary"
+    whole = lambda table, name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            flat, sizes = np.concatenate(held), np.array([len(s) for s in held], np.uint32)
+            owner = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, owner, low = bucket[order], owner[order], (flat[order] >> np.uint64(1)).astype(np.uint32)
+            cell = cells_of(owner, bucket)
+            return pa.RecordBatch.from_pydict(by_bucket(bucket, cell, {"nodes": np.array(nodes, np.int64)[owner[cell]], "sizes": sizes[owner[cell]]}, low))
+
+        nodes, held, size = [], [], 0
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True):
+                nodes.append(node)
+                held.append(s)
+                size += len(s)
+                if size >= HELD:
+                    yield out()
+                    nodes, held, size = [], [], 0
+        if size:
+            yield out()
+
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        """Of the shingles of one bucket those of several sets, under the set again; an element is how many have it (its power of two), bucket, 32 bits."""
+        nodes, sizes, counts, low = (whole(table, *x) for x in (("nodes", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("elements", np.uint32)))
+        order = np.argsort(low)
+        head = np.flatnonzero(np.concatenate([[True], np.diff(low[order]) != 0]))
+        times = np.diff(np.append(head, len(low)))
+        power = np.empty(len(low), np.uint8)
+        power[order] = np.repeat(np.log2(times).astype(np.uint8), times)
+        several = np.zeros(len(low), bool)
+        several[order] = np.repeat(times > 1, times)
+        owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)[several]
+        part = (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)[owner]
+        elements = power[several].astype(np.uint64) << np.uint64(58) | np.uint64(key[0].as_py()) << np.uint64(32) | low[several].astype(np.uint64)
+        order = np.argsort(part, kind="stable")
+        part, owner, elements = part[order], owner[order], elements[order]
+        cell = cells_of(owner, part)
+        return pa.table(by_bucket(part, cell, {"nodes": nodes[owner[cell]], "sizes": sizes[owner[cell]]}, elements))
+
+    def rarest(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, sizes, counts, elements = (whole(table, *x) for x in (("nodes", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("elements", np.uint64)))
+        node, at, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+        owner = np.repeat(inverse, counts)
+        order = np.lexsort((elements, owner))
+        owner, elements = owner[order], elements[order]
+        n = np.bincount(owner, minlength=len(node))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        first = place < (n + 1 + (-percent * sizes[at].astype(np.int64) // 100))[owner]  # with the set's own shingles in front: size - T + 1
+        return pa.table(handed_on(elements[first], node[owner[first]]))
+
+    rows = sets.select("node", "shingles").mapInArrow(deal, dealt_row)
+    rows = rows.groupBy("bucket").applyInArrow(shared, dealt_row)
+    return rows.groupBy("bucket").applyInArrow(rarest, "sign long, open boolean, a long, b long")
+
+
 def signature_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """(sign, open, a, b): of the sets of one signature that a task holds the first goes on with it (open, a = b), the others are joined to it."""
+    """(sign, open, a, b) as handed_on gives them, of the signatures of the sets within their groups g."""
     levels = Levels(percent)
 
-    def handed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sign, node = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((node, sign))
-        sign, node = sign[order], node[order]
-        head = np.concatenate([[True], sign[1:] != sign[:-1]])
-        first = node[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        pairs = np.unique(np.stack([first[~head], node[~head]], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        salt = mix(pairs[:, 0].view(np.uint64) * np.uint64(3) + pairs[:, 1].view(np.uint64)).view(np.int64)
-        open_ = np.repeat([True, False], [head.sum(), len(pairs)])
-        columns = [np.concatenate(x) for x in ((sign[head].view(np.int64), salt), (node[head], pairs[:, 0]), (node[head], pairs[:, 1]))]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(open_), pa.array(columns[1]), pa.array(columns[2])], names=["sign", "open", "a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        out = lambda: pa.RecordBatch.from_pydict(handed_on(*(np.concatenate(x) for x in zip(*held, strict=True))))
         for batch in batches:
-            for node, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1)), strict=True):
-                signs = levels.signatures(s)
+            for node, g, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2)), strict=True):
+                signs = mix(levels.signatures(s) ^ np.full(1, g, np.int64).view(np.uint64))
                 held.append((signs, np.full(len(signs), node, np.int64)))
                 size += len(signs)
                 if size >= HELD:
-                    yield handed_on(held)
+                    yield out()
                     held, size = [], 0
         if size:
-            yield handed_on(held)
+            yield out()
 
-    return sets.select("node", "shingles").mapInArrow(run, "sign long, open boolean, a long, b long")
+    return sets.select("node", "g", "shingles").mapInArrow(run, "sign long, open boolean, a long, b long")
 
 
-def grouped(sets: DataFrame, percent: int) -> DataFrame:
-    """(g, k, digest, shingles) of the sets in groups, which are cut into k blocks."""
+def weighed(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, g, k): the sets that rows (sign, open, a, b) join to groups, which are cut into k blocks."""
     first = F.min("a").over(W.partitionBy("sign", "open").orderBy("a").rowsBetween(W.unboundedPreceding, W.currentRow))
-    near = materialise(signature_rows(sets, percent).select(first.alias("a"), "b").where("a <> b").distinct(), "near")
+    near = materialise(rows.select(first.alias("a"), "b").where("a <> b").distinct(), "near")
     groups = materialise(components(near, "groups"), "group-of")
     roots = groups.select(F.col("component").alias("node"), F.col("component").alias("g")).distinct()
-    members = groups.select("node", F.col("component").alias("g")).unionByName(roots)
-    placed = sets.join(small(materialise(members, "members")), "node")
-    weight = materialise(placed.groupBy("g").agg(F.ceil(F.sum(F.length("shingles")) / (8 * BLOCK)).cast("int").alias("k")), "weights")
-    return materialise(placed.join(small(weight), "g").select("g", "k", "digest", "shingles"), "groups")
+    members = materialise(groups.select("node", F.col("component").alias("g")).unionByName(roots), "members")
+    weight = members.join(sets.select("node", "size"), "node").groupBy("g").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("k"))
+    return materialise(members.join(small(materialise(weight, "weights")), "g").select("node", "g", "k"), "weighed")
+
+
+def grouped(sets: DataFrame, percent: int) -> DataFrame:
+    """(g, k, digest, shingles) of the sets in groups, which are cut into k blocks."""
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    of = weighed(prefix_rows(sets, percent, max(BUCKETS, -(-2 * total // BUCKET))), sets)
+    large = of.where("k > 1")
+    if not large.isEmpty():
+        finer = weighed(signature_rows(sets.join(small(large), "node"), percent), sets)
+        of = materialise(of.where("k = 1").unionByName(finer), "finer")
+    return materialise(sets.join(small(of), "node").select("g", "k", "digest", "shingles"), "groups")
 
 
 # ---- the search
@@ -563,10 +666,21 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     marked = with_class(rows, best).withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash")))
     told = materialise(marked.groupBy("id", "hash", "stays").agg(F.count("*").alias("times")).where("not stays or times > 1"), "told")
     names = free_name(docs, "own_id"), free_name(docs, "own_hash")
-    key = lambda df: df.select(F.col("id").alias(names[0]), F.col("hash").alias(names[1]))
     same = column(id_col).eqNullSafe(F.col(names[0])) & (text_hash(column(text_col)) == F.col(names[1]))
-    kept = docs.join(small(key(told.where("not stays"))), same, "left_anti")
+
+    def apart(df: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """df without the told rows, and what of it is among them; many rows meet what may be among them only, or all of df would be shuffled."""
+        rows, rest = rows.select(F.col("id").alias(names[0]), F.col("hash").alias(names[1])), None
+        if rows.count() <= common.BROADCAST_ROWS:
+            rows = F.broadcast(rows)
+        else:
+            df, rest = split_by_map(df, text_hash(column(text_col)), rows.select(names[1]))
+        out = df.join(rows, same, "left_anti")
+        return out if rest is None else rest.union(out), df.join(rows, same, "left_semi")
+
+    kept = apart(docs, told.where("not stays"))[0]
     twice = told.where("stays")
     if twice.isEmpty():
         return kept
-    return kept.join(small(key(twice)), same, "left_anti").union(kept.join(small(key(twice)), same, "left_semi").dropDuplicates([id_col, text_col]))
+    once, repeated = apart(kept, twice)
+    return once.union(repeated.dropDuplicates([id_col, text_col]))

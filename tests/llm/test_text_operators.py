@@ -681,3 +681,40 @@ def test_windows_of_a_hot_mark_are_not_indexed(spark, monkeypatch):
     one = spark.createDataFrame([(i, "x" * 10 + phrase, seg) for i in range(60)], "doc long, text string, s array<struct<key: long, start: long, end: long>>").coalesce(1)
     handed = [r for r in run_length_dedup.window_rows(one, 100).collect() if r.seg]
     assert len(handed) == 21 and {r.doc for r in handed} == {0}  # one place a window from the task
+
+
+def half_shared(n):
+    """Texts of which each shares a third with the one before and a third with the one after; no two are near copies."""
+    return [" ".join((prose(700 + i, 35), prose(701 + i, 35), prose(900 + i, 30))) for i in range(n)]
+
+
+def test_sets_that_share_too_little_do_not_meet(spark):
+    copies = near_copies(1, 30, 80, 3) + near_copies(2, 20, 300, 8)
+    rows = list(enumerate(copies + half_shared(60)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = jaccard_join.set_rows(docs, 4, "doc_id", "text").localCheckpoint()
+    sets = jaccard_join.able_sets(docs, made, 4, 80, "doc_id", "text")
+    able = {r.digest for r in sets.collect()}
+    groups = {r.digest: r.g for r in jaccard_join.grouped(sets, 80).collect()}
+    digest = {r.id: r.digest for r in made.collect()}
+    met = [i for i, _ in rows if digest[i] in groups]
+    assert sum(i >= len(copies) and digest[i] in able for i, _ in rows) > 30 and met and max(met) < len(copies)
+    own = {r.digest: set(np.frombuffer(r.shingles, np.uint64).tolist()) for r in sets.collect()}
+    for a in own:
+        for b in own:
+            both = len(own[a] & own[b])
+            assert a == b or 100 * both < 80 * (len(own[a]) + len(own[b]) - both) or groups[a] == groups[b]
+
+
+def test_many_told_rows_do_not_shuffle_all_texts(spark, monkeypatch):
+    copies = near_copies(1, 30, 80, 3) + near_copies(2, 20, 300, 8)
+    rows = list(enumerate(copies + [prose(2000 + k, 30) for k in range(400)]))
+    docs = spark.createDataFrame(rows + rows[:2] + rows[-2:], "doc_id long, text string").repartition(3)
+    expected = brute_components(rows, 4, 80)
+    seen, plain = [], jaccard_join.split_by_map
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(jaccard_join, "split_by_map", lambda df, *a: (seen.append([df.count()] + [x.count() for x in plain(df, *a)]), plain(df, *a))[1])
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(docs, 4, 80).collect()} == {i: c for i, (_, c) in expected.items()}
+    kept = jaccard_join.one_of_each(docs, 4, 80)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in expected.items() if c == i)
+    assert len(seen) >= 3 and all(some + rest == every and some < every / 2 for every, some, rest in seen)
