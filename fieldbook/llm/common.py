@@ -146,6 +146,15 @@ class RollingHash:
         return mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
 
 
+def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(((place << 8) | byte).astype(np.uint64) * _BASE + np.uint64(0xD1B54A32D192ED03))
+
+
+#: The numbers of all bytes at the first places of a word.
+_PLACES = 32
+_FIRST_NUMBERS = _numbers(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256), _PLACES))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of words, runs of data one after another: a sum of numbers that stand at random for a byte at a place.
 
@@ -155,8 +164,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    numbers = mix(((place << 8) | data[place + np.repeat(starts, lengths)]).astype(np.uint64) * _BASE + np.uint64(0xD1B54A32D192ED03))
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(int(lengths.sum()), dtype=kind) - np.repeat(first.astype(kind), lengths)
+    byte = data[place + np.repeat(starts.astype(kind), lengths)]
+    if int(lengths.max()) <= _PLACES:
+        numbers = _FIRST_NUMBERS[(place << 8) | byte]
+    else:
+        numbers, far = _FIRST_NUMBERS[(np.minimum(place, _PLACES - 1) << 8) | byte], np.flatnonzero(place >= _PLACES)
+        numbers[far] = _numbers(place[far].astype(np.int64), byte[far])
     return mix(np.add.reduceat(numbers, first) + lengths.astype(np.uint64))
 
 

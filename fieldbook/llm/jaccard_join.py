@@ -11,7 +11,7 @@ Two sets link when 100 * |A and B| >= percent * |A or B|.  Equal sets are one no
    with fewer shared ones than T = ceil(percent * |A| / 100) is done.  The others go by their |A| - T + 1
    rarest shingles: two sets that link have one of these in common, as all they share lies behind the first
    of both.  Its own shingles are the rarest of all, so little but near copies meets.  Sets that have such a
-   shingle in common are joined to groups.  A group of over BLOCK shingles is told apart once more, by
+   shingle in common are joined to groups.  A group of over LARGE shingles is told apart once more, by
    signatures that lose no link: sizes fall in levels, and at each level shingles are dealt to so many parts
    by hash that linked sets, which differ in few shingles, agree in some.
 3. A group is searched for links by T-occurrence: for a set A, a partner shares at least
@@ -20,7 +20,7 @@ Two sets link when 100 * |A and B| >= percent * |A or B|.  Equal sets are one no
    does is probed in the long lists by binary search (DivideSkip) against the overlap that its size needs.
    All sets first meet a few leaders, which joins most of a true group; only the sets outside of its
    largest component then meet all others.  Of the links a spanning forest is handed on, which joins the
-   same components.  Groups of over BLOCK shingles do both steps in blocks, so no task holds more than
+   same components.  The index goes by size in windows, and each has a T of its own for the sizes in it.  Groups of over BLOCK shingles do both steps in blocks, so no task holds more than
    two of these however large a group is, and a set is copied to few blocks.
 
 Defined cases: a document without words (or with a null text) has an empty set and links with none; one
@@ -50,12 +50,17 @@ from fieldbook.llm.common import column, components, free_name, materialise, mix
 BUCKET = 8_000_000
 HELD = 1_500_000
 BLOCK = 1_000_000
+#: Shingles of a group above which it is told apart once more.
+LARGE = 100_000
 #: Buckets at least.
 BUCKETS = 64
 #: Sets of a group that all of its sets meet first.
 LEADERS = 32
-#: Weight of the longest list in the choice of how many lists are left out of the merge.
-MU = 0.02
+#: Sets of a window of the index at least, and by how many hundredths their sizes differ at most in a larger one.
+WINDOW = 16
+WIDTH = 2
+#: Steps of the merge that a probe of a long list costs, in the choice of how many lists are left out of the merge.
+PROBE = 0.3
 #: Sizes up to which signatures are of two parts together.
 PAIRED_SIZE = 40
 #: Bytes of a digest; the first eight are the set's node, by which it is told while groups form.
@@ -66,6 +71,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique() of integers, by sorting alone; it hashes them first, which takes three times as long for a text's shingles."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """The sorted hashes of each row's different shingles of n words."""
     data = _LOWER[data]
@@ -87,7 +100,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(rolled[a : b - n + 1]))
+            out.append(distinct(rolled[a : b - n + 1]))
         elif b > a:
             x = np.full(1, b - a, np.uint64)
             for h in hashes[a:b]:
@@ -432,25 +445,26 @@ def signature_rows(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def weighed(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, g, k): the sets that rows (sign, open, a, b) join to groups, which are cut into k blocks."""
+    """(node, g, n): the sets that rows (sign, open, a, b) join to groups of n shingles."""
     first = F.min("a").over(W.partitionBy("sign", "open").orderBy("a").rowsBetween(W.unboundedPreceding, W.currentRow))
     near = materialise(rows.select(first.alias("a"), "b").where("a <> b").distinct(), "near")
     groups = materialise(components(near, "groups"), "group-of")
     roots = groups.select(F.col("component").alias("node"), F.col("component").alias("g")).distinct()
     members = materialise(groups.select("node", F.col("component").alias("g")).unionByName(roots), "members")
-    weight = members.join(sets.select("node", "size"), "node").groupBy("g").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("k"))
-    return materialise(members.join(small(materialise(weight, "weights")), "g").select("node", "g", "k"), "weighed")
+    weight = members.join(sets.select("node", "size"), "node").groupBy("g").agg(F.sum("size").alias("n"))
+    return materialise(members.join(small(materialise(weight, "weights")), "g").select("node", "g", "n"), "weighed")
 
 
 def grouped(sets: DataFrame, percent: int) -> DataFrame:
     """(g, k, digest, shingles) of the sets in groups, which are cut into k blocks."""
     total = sets.agg(F.sum("size")).first()[0] or 0
     of = weighed(prefix_rows(sets, percent, max(BUCKETS, -(-2 * total // BUCKET))), sets)
-    large = of.where("k > 1")
+    large = of.where(F.col("n") > LARGE)
     if not large.isEmpty():
         finer = weighed(signature_rows(sets.join(small(large), "node"), percent), sets)
-        of = materialise(of.where("k = 1").unionByName(finer), "finer")
-    return materialise(sets.join(small(of), "node").select("g", "k", "digest", "shingles"), "groups")
+        of = materialise(of.where(F.col("n") <= LARGE).unionByName(finer), "finer")
+    k = F.ceil(F.col("n") / BLOCK).cast("int")
+    return materialise(sets.join(small(of), "node").select("g", k.alias("k"), "digest", "shingles"), "groups")
 
 
 # ---- the search
@@ -462,21 +476,40 @@ class Postings:
     def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.places = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order].tolist()
+        places = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        self.places = places.tolist()
         self.shingles, start = np.unique(flat[order], return_index=True)
         self.bounds = np.append(start, len(flat))
+        self.keys = np.repeat(np.arange(len(self.shingles)), np.diff(self.bounds)) * len(sets) + places  # rising: list, then place
         self.sizes = [len(s) for s in sets]
+        self.windows: list[list[int]] = []  # first place, end, least and largest size
+        for k, size in enumerate(self.sizes):
+            if self.windows:
+                first, _, low, high = self.windows[-1]
+                low, high = min(low, size), max(high, size)
+                if k - first < WINDOW or high * 100 <= low * (100 + WIDTH):
+                    self.windows[-1] = [first, k + 1, low, high]
+                    continue
+            self.windows.append([k, k + 1, size, size])
+
+    def held(self, s: np.ndarray) -> np.ndarray:
+        """Which lists are of shingles of a set."""
+        if not len(self.shingles):
+            return np.zeros(0, int)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return at[self.shingles[at] == s]
 
     def lists(self, s: np.ndarray) -> list[tuple[int, int]]:
         """(start, end) of the lists of a set's shingles, short ones first."""
-        if not len(self.shingles):
-            return []
-        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
-        at = at[self.shingles[at] == s]
+        at = self.held(s)
         start, end = self.bounds[at], self.bounds[at + 1]
         order = np.argsort(end - start, kind="stable")
         return list(zip(start[order].tolist(), end[order].tolist(), strict=True))
 
+    def within(self, held: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The starts and the ends of what these lists have of the places from first on, before end."""
+        return np.searchsorted(self.keys, held * len(self.sizes) + first), np.searchsorted(self.keys, held * len(self.sizes) + end)
+
 
 def merge_skip(places: list[int], lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
     """(place, lists that hold it) of what is in at least so many of the lists, rising: a heap of their fronts."""
@@ -500,28 +533,44 @@ def merge_skip(places: list[int], lists: list[tuple[int, int]], least: int) -> I
                 heappush(heap, (places[a], a, b))
 
 
-def divide_skip(index: Postings, s: np.ndarray, percent: int, wanted: Callable[[int], bool]) -> Iterator[int]:
-    """Places of the sets in the index that link with s, of those wanted when they are met."""
-    need = -(-percent * len(s) // 100)
-    lists = index.lists(s)
-    if len(lists) < need:
-        return
-    longest = lists[-1][1] - lists[-1][0]
-    left_out = min(need - 1, int(need / (MU * math.log2(longest + 1) + 1)))
-    short, long_ = lists[: len(lists) - left_out], lists[len(lists) - left_out :]
-    places = index.places
-    for place, hits in merge_skip(places, short, need - left_out):
-        size = index.sizes[place]
-        if size * 100 < percent * len(s) or len(s) * 100 < percent * size or not wanted(place):
+def left_out(lengths: np.ndarray, need: int) -> int:
+    """How many of the lists, short ones first, to leave out of the merge: for the least cost of merging the others and probing for what they may hold often enough."""
+    out = np.arange(min(need, len(lengths)))
+    merged = np.cumsum(lengths)[len(lengths) - 1 - out]
+    return int(np.argmin(merged * (np.log2(len(lengths) - out) + 1 + PROBE * out / (need - out))))
+
+
+def divide_skip(index: Postings, s: np.ndarray, percent: int, wanted: Callable[[int], bool], own: int | None = None) -> Iterator[int]:
+    """Places of the sets in the index that link with s, of those wanted when they are met.  own: the place of s itself, if it is there and not wanted."""
+    held = index.held(s)
+    for first, end, low, high in index.windows:
+        if high * 100 < percent * len(s) or len(s) * 100 < percent * low:
             continue
-        missing = -(-percent * (len(s) + size) // (100 + percent)) - hits
-        for done, (a, b) in enumerate(long_):
-            if missing <= 0 or missing > len(long_) - done:
-                break
-            a = bisect_left(places, place, a, b)
-            missing -= a < b and places[a] == place
-        if missing <= 0:
-            yield place
+        need = -(-percent * (len(s) + max(low, -(-percent * len(s) // 100))) // (100 + percent))
+        if len(held) < need:
+            continue
+        start, stop = index.within(held, first, end)
+        length = stop - start - (own is not None and first <= own < end)
+        order = np.argsort(length, kind="stable")
+        order = order[length[order] > 0]
+        if len(order) < need:  # too many shingles that nothing else in the window has
+            continue
+        lists = list(zip(start[order].tolist(), stop[order].tolist(), strict=True))
+        out = left_out(length[order], need)
+        short, long_ = lists[: len(lists) - out], lists[len(lists) - out :]
+        places = index.places
+        for place, hits in merge_skip(places, short, need - out):
+            size = index.sizes[place]
+            if size * 100 < percent * len(s) or len(s) * 100 < percent * size or not wanted(place):
+                continue
+            missing = -(-percent * (len(s) + size) // (100 + percent)) - hits
+            for done, (a, b) in enumerate(long_):
+                if missing <= 0 or missing > len(long_) - done:
+                    break
+                a = bisect_left(places, place, a, b)
+                missing -= a < b and places[a] == place
+            if missing <= 0:
+                yield place
 
 
 class Forest:
@@ -539,13 +588,16 @@ class Forest:
             x = self.parent[x]
         return x
 
-    def search(self, sets: list[np.ndarray], indexed: Iterable[int], queries: Iterable[int], percent: int) -> None:
-        indexed = list(indexed)
+    def search(self, sets: list[np.ndarray], indexed: Iterable[int], queries: Iterable[int], percent: int, names: list | None = None) -> None:
+        """Join all that queries link with; a query is in the index too where a set there has its name (else its number)."""
+        indexed = sorted(indexed, key=lambda k: len(sets[k]))
         index = Postings([sets[k] for k in indexed])
+        place_of = {k if names is None else names[k]: p for p, k in enumerate(indexed)}
         for q in queries:
             if self.count == 1:
                 return
-            for place in divide_skip(index, sets[q], percent, lambda p, q=q: self.root(indexed[p]) != self.root(q)):
+            own = place_of.get(q if names is None else names[q])
+            for place in divide_skip(index, sets[q], percent, lambda p, q=q: self.root(indexed[p]) != self.root(q), own):
                 a, b = self.root(indexed[place]), self.root(q)
                 if a != b:
                     self.parent[b] = a
@@ -590,7 +642,7 @@ def near_links(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame |
         forest = Forest(table["label"].to_pylist())
         few_, many = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
         indexed, queries = (few_, many) if key[1].as_py() < 0 else (many, few_)
-        forest.search(sets, indexed, queries, percent)
+        forest.search(sets, indexed, queries, percent, digests)
         return found(forest, digests)
 
     schema = "a binary, b binary"

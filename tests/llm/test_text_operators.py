@@ -718,3 +718,36 @@ def test_many_told_rows_do_not_shuffle_all_texts(spark, monkeypatch):
     kept = jaccard_join.one_of_each(docs, 4, 80)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in expected.items() if c == i)
     assert len(seen) >= 3 and all(some + rest == every and some < every / 2 for every, some, rest in seen)
+
+
+def test_sets_off_a_large_family_meet_few_of_it(monkeypatch):
+    """Copies of one text, of which half are too far from all others: the merge leaves few places to probe."""
+    r = random.Random(4)
+    vocabulary = prose(50, 300).split()
+    base, copies = [r.choice(vocabulary) for _ in range(400)], []
+    for _ in range(240):
+        w = list(base)
+        for _ in range(int(r.random() ** 1.3 * 28)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice(([r.choice(vocabulary)], [], [w[k], r.choice(vocabulary)]))
+        copies.append(" ".join(w).encode())
+    sets = jaccard_join.shingle_sets(np.frombuffer(b"".join(copies), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in copies])]), 4)
+    probed, plain = [], jaccard_join.merge_skip
+    monkeypatch.setattr(jaccard_join, "merge_skip", lambda *a: (probed.append(x[0]) or x for x in plain(*a)))
+    names = [jaccard_join.digest_of(s) for s in sets]
+    for again in (None, names):
+        probed.clear()
+        forest = jaccard_join.Forest(list(range(len(sets))))
+        forest.search(sets, range(8), range(len(sets)), 85, *[again] * (again is not None))
+        rest = forest.rest()
+        leaders = len(probed)
+        forest.search(sets, range(len(sets)), rest, 85, *[again] * (again is not None))
+        assert len(rest) > 60 and len(probed) - leaders < 15 * len(rest)
+        brute = jaccard_join.Forest(list(range(len(sets))))
+        for a, x in enumerate(sets):
+            for b in range(a):
+                both = len(np.intersect1d(x, sets[b], assume_unique=True))
+                if 100 * both >= 85 * (len(x) + len(sets[b]) - both):
+                    brute.parent[brute.root(a)] = brute.root(b)
+        same = lambda f: [f.root(k) for k in range(len(sets))]
+        assert len(set(zip(same(forest), same(brute), strict=True))) == len(set(same(forest))) == len(set(same(brute)))
