@@ -14,14 +14,14 @@ Two sets link when 100 * |A and B| >= percent * |A or B|.  Equal sets are one no
    shingle in common are joined to groups.  A group of over LARGE shingles is told apart once more, by
    signatures that lose no link: sizes fall in levels, and at each level shingles are dealt to so many parts
    by hash that linked sets, which differ in few shingles, agree in some.
-3. A group is searched for links by T-occurrence: for a set A, a partner shares at least
-   T of A's shingles.  In an inverted index the L longest lists of A stay out
-   of the merge; the others are merged with a heap that skips what can't occur in T - L of them, and what
+3. A group is searched for links by T-occurrence: for a set A, a partner shares at least T of A's
+   shingles.  In an inverted index the L longest lists of A stay out of the merge; the others are merged with a heap that skips what can't occur in T - L of them, and what
    does is probed in the long lists by binary search (DivideSkip) against the overlap that its size needs.
    All sets first meet a few leaders, which joins most of a true group; only the sets outside of its
    largest component then meet all others.  Of the links a spanning forest is handed on, which joins the
-   same components.  The index goes by size in windows, and each has a T of its own for the sizes in it.  Groups of over BLOCK shingles do both steps in blocks, so no task holds more than
-   two of these however large a group is, and a set is copied to few blocks.
+   same components.  The index goes by size in windows, and each has a T of its own for the sizes in it.
+   Groups of over BLOCK shingles do both steps in blocks, so no task holds more than two of these however
+   large a group is, and a set is copied to few blocks.
 
 Defined cases: a document without words (or with a null text) has an empty set and links with none; one
 with fewer words than a shingle has its whole sequence as its one shingle; repeated rows of one id are
@@ -32,7 +32,6 @@ a component of such rows alone is null; ids may be of any type that can be order
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
